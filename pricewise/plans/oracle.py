@@ -70,7 +70,7 @@ def cleaned_ctes(min_price=K.DEFAULT_MIN_PRICE, max_price=K.DEFAULT_MAX_PRICE, t
 filtered AS (
   SELECT * FROM listings WHERE price >= {float(min_price)} AND price <= {float(max_price)} AND NOT isnan(price)
 ),
-split AS (
+catsplit AS (
   SELECT *, string_split(coalesce(category_name, 'unknown/unknown/unknown'), '/') AS _parts
   FROM filtered
 ),
@@ -83,7 +83,7 @@ cleaned0 AS (
     CASE WHEN len(_parts) >= 3 THEN array_to_string(_parts[3:], '/') ELSE 'unknown' END AS cat_sub2,
     {clean_text_sql('name')} AS name,
     {clean_text_sql("CASE WHEN item_description = 'No description yet' THEN '' ELSE item_description END")} AS item_description
-  FROM split
+  FROM catsplit
 )"""
     if not features:
         return "WITH " + LISTINGS.strip() + "," + lv + ",\ncleaned AS (SELECT * FROM cleaned0)\n"
@@ -122,3 +122,157 @@ SELECT c.train_id, c.cat_main, c.brand_name, c.name_len, c.desc_len, c.is_top_br
     AS brand_encoded
 FROM cleaned c LEFT JOIN tgt t ON t.category = c.brand_name
 """)
+
+
+# ------------------------------------------------------------ sources ------
+register("scan_head_n", "WITH " + LISTINGS.strip() + "\nSELECT * FROM listings ORDER BY train_id LIMIT 100")
+
+# ------------------------------------------------- projections/filters -----
+register("price_range_filter", "WITH " + LISTINGS.strip() + """
+SELECT train_id, price FROM listings WHERE price >= 1.0 AND price <= 2000.0 AND NOT isnan(price)""")
+
+register("fill_missing_brand", "WITH " + LISTINGS.strip() + """
+SELECT train_id, coalesce(brand_name, 'unknown') AS brand_name FROM listings""")
+
+register("split_category", "WITH " + LISTINGS.strip() + """,
+s AS (SELECT train_id, coalesce(category_name, 'unknown/unknown/unknown') AS category_name,
+             string_split(coalesce(category_name, 'unknown/unknown/unknown'), '/') AS p FROM listings)
+SELECT train_id, category_name, coalesce(p[1], 'unknown') AS cat_main, coalesce(p[2], 'unknown') AS cat_sub1,
+  CASE WHEN len(p) >= 3 THEN array_to_string(p[3:], '/') ELSE 'unknown' END AS cat_sub2 FROM s""")
+
+register("clean_name", "WITH " + LISTINGS.strip() + f"""
+SELECT train_id, {clean_text_sql('name')} AS name FROM listings""")
+
+register("clean_description", "WITH " + LISTINGS.strip() + f"""
+SELECT train_id,
+  {clean_text_sql("CASE WHEN item_description = 'No description yet' THEN '' ELSE item_description END")} AS item_description
+FROM listings""")
+
+register("clean_listings", cleaned_ctes() + """
+SELECT train_id, name, item_condition_id, category_name, brand_name, price, shipping, item_description,
+  cat_main, cat_sub1, cat_sub2, name_len, desc_len, has_description, is_top_brand FROM cleaned""")
+
+register("listing_text_features", cleaned_ctes() + """
+SELECT train_id, name_len, desc_len, has_description FROM cleaned""")
+
+register("top_brand_flag", cleaned_ctes(top_n=10) + """
+SELECT train_id, brand_name, is_top_brand FROM cleaned""")
+
+register("passthrough_numeric", cleaned_ctes() + """
+SELECT train_id, item_condition_id, shipping FROM cleaned""")
+
+# --------------------------------------------------------- aggregates ------
+_PROFILE_COLS = [("train_id", "bigint", 8), ("name", "string", None), ("item_condition_id", "int", 4),
+                 ("category_name", "string", None), ("brand_name", "string", None), ("price", "double", 8),
+                 ("shipping", "int", 4), ("item_description", "string", None)]
+
+
+def _profile_sql() -> str:
+    parts = []
+    for i, (c, t, w) in enumerate(_PROFILE_COLS):
+        miss = f"({c} IS NULL OR isnan({c}))" if t == "double" else f"{c} IS NULL"
+        nmiss = f"sum(CASE WHEN {miss} THEN 1 ELSE 0 END)"
+        size = f"coalesce(sum(strlen({c})), 0)" if w is None else f"(count(*) - {nmiss}) * {w}"
+        parts.append(f"""SELECT '{c}' AS "column", {i} AS position, '{t}' AS dtype, count(*) AS n_rows,
+  CAST({nmiss} AS BIGINT) AS n_missing,
+  round(CASE WHEN count(*) > 0 THEN {nmiss} * 100.0 / count(*) END, 2) AS pct_missing,
+  CAST({size} AS BIGINT) AS approx_bytes FROM listings""")
+    return "WITH " + LISTINGS.strip() + "\n" + "\nUNION ALL\n".join(parts)
+
+
+register("table_profile", _profile_sql())
+
+register("clean_stats", cleaned_ctes() + """
+SELECT count(*) AS n_rows, CAST(15 AS BIGINT) AS n_cols, min(price) AS price_min, max(price) AS price_max,
+  round(avg(price), 6) AS price_mean, median(price) AS price_median,
+  count(DISTINCT cat_main) AS n_categories_main, count(DISTINCT brand_name) AS n_brands,
+  round(avg(CASE WHEN brand_name = 'unknown' THEN 1.0 ELSE 0.0 END) * 100.0, 6) AS pct_unknown_brand,
+  round(avg(name_len), 6) AS avg_name_len, round(avg(desc_len), 6) AS avg_desc_len
+FROM cleaned""")
+
+register("category_level_counts", cleaned_ctes(features=False) + """
+SELECT count(DISTINCT cat_main) AS n_cat_main, count(DISTINCT cat_sub1) AS n_cat_sub1,
+  count(DISTINCT cat_sub2) AS n_cat_sub2 FROM cleaned""")
+
+_LONG_VALUES = """,
+lv AS (
+  SELECT 'cat_main' AS "column", cat_main AS value FROM cleaned
+  UNION ALL SELECT 'cat_sub1', cat_sub1 FROM cleaned
+  UNION ALL SELECT 'cat_sub2', cat_sub2 FROM cleaned
+  UNION ALL SELECT 'brand_name', brand_name FROM cleaned
+  UNION ALL SELECT 'item_condition_id', CAST(item_condition_id AS VARCHAR) FROM cleaned
+  UNION ALL SELECT 'shipping', CAST(shipping AS VARCHAR) FROM cleaned
+)"""
+
+register("category_stats", cleaned_ctes(features=False) + _LONG_VALUES + """
+SELECT "column", count(DISTINCT value) AS n_unique, CAST(sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing
+FROM lv GROUP BY "column\"""")
+
+register("top_k_values", cleaned_ctes(features=False) + _LONG_VALUES + """,
+vc AS (SELECT "column", value, count(*) AS n FROM lv WHERE value IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS INTEGER) AS rank FROM vc)
+SELECT "column", value, n, rank FROM r WHERE rank <= 5""")
+
+register("brand_value_counts", cleaned_ctes(features=False) + """
+SELECT brand_name, count(*) AS n_listings FROM cleaned WHERE brand_name <> 'unknown' GROUP BY brand_name""")
+
+register("top_k_brands", cleaned_ctes(features=False) + """,
+bc AS (SELECT brand_name, count(*) AS n_listings FROM cleaned WHERE brand_name <> 'unknown' GROUP BY brand_name)
+SELECT brand_name, n_listings, CAST(row_number() OVER (ORDER BY n_listings DESC, brand_name) AS INTEGER) AS rank
+FROM bc ORDER BY n_listings DESC, brand_name LIMIT 10""")
+
+
+def _kw_any(expr: str, groups) -> str:
+    return " + ".join(keyword_count_sql(expr, K.QUALITY_KEYWORDS[g]) for g in groups)
+
+
+register("removal_report", cleaned_ctes() + f""",
+b AS (SELECT count(*) AS n_before FROM listings),
+a AS (SELECT count(*) AS n_after,
+        sum(CASE WHEN brand_name = 'unknown' THEN 1 ELSE 0 END) AS n_unknown_brand,
+        sum(is_top_brand) AS n_top_brand,
+        sum(CASE WHEN ({_kw_any('item_description', ['excellent', 'good', 'fair', 'poor'])}) > 0 THEN 1 ELSE 0 END) AS n_quality_keywords,
+        sum(CASE WHEN {keyword_count_sql('item_description', K.VALUE_KEYWORDS['luxury'])} > 0 THEN 1 ELSE 0 END) AS n_luxury_keywords,
+        avg(name_len) AS avg_name_len, avg(desc_len) AS avg_desc_len FROM cleaned)
+SELECT n_before, n_after, n_before - n_after AS n_removed,
+  CASE WHEN n_before > 0 THEN round((n_before - n_after) * 100.0 / n_before, 4) ELSE 0.0 END AS pct_removed,
+  CAST(n_unknown_brand AS BIGINT) AS n_unknown_brand, CAST(n_top_brand AS BIGINT) AS n_top_brand,
+  CAST(n_quality_keywords AS BIGINT) AS n_quality_keywords, CAST(n_luxury_keywords AS BIGINT) AS n_luxury_keywords,
+  round(avg_name_len, 6) AS avg_name_len, round(avg_desc_len, 6) AS avg_desc_len
+FROM b, a""")
+
+# ------------------------------------------------ sampling and splits ------
+
+
+def split_ctes(test_size=K.SPLIT_TEST_SIZE, seed=K.SPLIT_SEED) -> str:
+    """CTE ``split`` (cleaned columns + split) after cleaned_ctes()."""
+    return f""",
+sb AS (SELECT *, cat_main AS _s, md5(CAST(train_id AS VARCHAR) || '|{seed}') AS _h FROM cleaned),
+cnt AS (SELECT _s, count(*) AS c FROM sb GROUP BY _s),
+tot AS (SELECT sum(c) AS n, sum(c) - ceil({float(test_size)} * sum(c)) AS ntr FROM cnt),
+q0 AS (SELECT _s, c, ntr, n, floor(c * ntr / n) AS base, c * ntr - floor(c * ntr / n) * n AS rem FROM cnt, tot),
+q1 AS (SELECT _s, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, _s) <= ntr - sum(base) OVER () THEN 1 ELSE 0 END
+         AS quota FROM q0),
+split AS (
+  SELECT sb.*, CASE WHEN row_number() OVER (PARTITION BY sb._s ORDER BY sb._h, sb.train_id) - 1 < q1.quota
+                    THEN 'train' ELSE 'val' END AS split
+  FROM sb JOIN q1 ON sb._s = q1._s
+)"""
+
+
+register("exact_sample", "WITH " + LISTINGS.strip() + """,
+r AS (SELECT train_id, price, row_number() OVER (ORDER BY md5(CAST(train_id AS VARCHAR) || '|42'), train_id) AS rn
+      FROM listings)
+SELECT train_id, price FROM r WHERE rn <= 10000""")
+
+register("train_val_split", cleaned_ctes() + split_ctes() + """
+SELECT train_id, cat_main, split FROM split""")
+
+register("kfold_assign", cleaned_ctes() + split_ctes() + """
+SELECT train_id, CAST((row_number() OVER (ORDER BY _h, train_id) - 1) % 5 AS INTEGER) AS fold
+FROM split WHERE split = 'train'""")
+
+register("target_summary", cleaned_ctes() + split_ctes() + """
+SELECT min(price) AS price_min, max(price) AS price_max, median(price) AS price_median,
+  round(min(ln(1 + price)), 6) AS log_price_min, round(max(ln(1 + price)), 6) AS log_price_max
+FROM split WHERE split = 'train'""")

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import cleaning as CL
 from ..operators import encoders as EN
+from ..operators import profiling as PR
+from ..operators import sampling as SP
 from ..sources import listings as SRC
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +40,140 @@ def listing_brand_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (enc.transform(df)
               .select("train_id", "cat_main", "brand_name", "name_len", "desc_len", "is_top_brand",
                       F.round("brand_name_encoded", 6).alias("brand_encoded")))
+
+
+# ------------------------------------------------------------ sources ------
+
+@query("scan_head_n")
+def scan_head_n(spark, sf_dir):
+    """nrows=100: the first 100 listings in key order."""
+    return SRC.head_n(SRC.listings(spark, sf_dir), 100)
+
+
+# ------------------------------------------------- projections/filters -----
+
+@query("price_range_filter")
+def price_range_filter(spark, sf_dir):
+    return CL.price_range_filter(SRC.listings(spark, sf_dir)).select("train_id", "price")
+
+
+@query("fill_missing_brand")
+def fill_missing_brand(spark, sf_dir):
+    return CL.fill_missing_brand(SRC.listings(spark, sf_dir)).select("train_id", "brand_name")
+
+
+@query("split_category")
+def split_category(spark, sf_dir):
+    return CL.split_category(SRC.listings(spark, sf_dir)).select(
+        "train_id", "category_name", "cat_main", "cat_sub1", "cat_sub2")
+
+
+@query("clean_name")
+def clean_name(spark, sf_dir):
+    return CL.clean_name(SRC.listings(spark, sf_dir)).select("train_id", "name")
+
+
+@query("clean_description")
+def clean_description(spark, sf_dir):
+    return CL.clean_description(SRC.listings(spark, sf_dir)).select("train_id", "item_description")
+
+
+@query("clean_listings")
+def clean_listings(spark, sf_dir):
+    """The full cleaning chain with default parameters (top 100 brands)."""
+    return cleaned(spark, sf_dir)
+
+
+@query("listing_text_features")
+def listing_text_features(spark, sf_dir):
+    return cleaned(spark, sf_dir, add_features=False).transform(CL.add_text_features).select(
+        "train_id", "name_len", "desc_len", "has_description")
+
+
+@query("top_brand_flag")
+def top_brand_flag(spark, sf_dir):
+    return cleaned(spark, sf_dir, top_n=10).select("train_id", "brand_name", "is_top_brand")
+
+
+@query("passthrough_numeric")
+def passthrough_numeric(spark, sf_dir):
+    return cleaned(spark, sf_dir, add_features=False).select("train_id", "item_condition_id", "shipping")
+
+
+# --------------------------------------------------------- aggregates ------
+
+@query("table_profile")
+def table_profile(spark, sf_dir):
+    return PR.table_profile(SRC.listings(spark, sf_dir))
+
+
+@query("clean_stats")
+def clean_stats(spark, sf_dir):
+    s = PR.clean_stats(cleaned(spark, sf_dir))
+    return s.select("n_rows", "n_cols", "price_min", "price_max", F.round("price_mean", 6).alias("price_mean"),
+                    "price_median", "n_categories_main", "n_brands",
+                    F.round("pct_unknown_brand", 6).alias("pct_unknown_brand"),
+                    F.round("avg_name_len", 6).alias("avg_name_len"), F.round("avg_desc_len", 6).alias("avg_desc_len"))
+
+
+@query("category_level_counts")
+def category_level_counts(spark, sf_dir):
+    return PR.category_level_counts(cleaned(spark, sf_dir, add_features=False))
+
+
+@query("category_stats")
+def category_stats(spark, sf_dir):
+    return PR.category_stats(cleaned(spark, sf_dir, add_features=False))
+
+
+@query("top_k_values")
+def top_k_values(spark, sf_dir):
+    return PR.top_k_values(cleaned(spark, sf_dir, add_features=False), 5)
+
+
+@query("brand_value_counts")
+def brand_value_counts(spark, sf_dir):
+    return CL.brand_counts(cleaned(spark, sf_dir, add_features=False))
+
+
+@query("top_k_brands")
+def top_k_brands(spark, sf_dir):
+    top = CL.top_brands(cleaned(spark, sf_dir, add_features=False), 10)
+    return top.select("brand_name", "n_listings",
+                      F.row_number().over(Window.orderBy(F.desc("n_listings"), F.asc("brand_name"))).cast("int").alias("rank"))
+
+
+@query("removal_report")
+def removal_report(spark, sf_dir):
+    raw = SRC.listings(spark, sf_dir)
+    return PR.removal_report(raw, CL.clean_listings(raw))
+
+
+# ------------------------------------------------ sampling and splits ------
+
+def split_listings(spark, sf_dir):
+    return SP.train_val_split(cleaned(spark, sf_dir), stratify_col="cat_main")
+
+
+@query("exact_sample")
+def exact_sample(spark, sf_dir):
+    return SP.exact_sample(SRC.listings(spark, sf_dir), 10000, seed=42).select("train_id", "price")
+
+
+@query("train_val_split")
+def train_val_split(spark, sf_dir):
+    return split_listings(spark, sf_dir).select("train_id", "cat_main", "split")
+
+
+@query("kfold_assign")
+def kfold_assign(spark, sf_dir):
+    train = split_listings(spark, sf_dir).filter(F.col("split") == "train")
+    return SP.kfold_assign(train, 5).select("train_id", "fold")
+
+
+@query("target_summary")
+def target_summary(spark, sf_dir):
+    train = split_listings(spark, sf_dir).filter(F.col("split") == "train")
+    s = PR.target_summary(train)
+    return s.select("price_min", "price_max", "price_median",
+                    F.round("log_price_min", 6).alias("log_price_min"), F.round("log_price_max", 6).alias("log_price_max"))
