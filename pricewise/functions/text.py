@@ -53,6 +53,12 @@ def word_count(c) -> Column:
     return F.size(F.filter(parts, lambda t: t != F.lit(""))).cast("int")
 
 
+def word_count_clean(c) -> Column:
+    """Word count of text already collapsed and trimmed (single spaces)."""
+    x = F.coalesce(_c(c), F.lit(""))
+    return F.when(x == "", F.lit(0)).otherwise(F.size(F.split(x, " "))).cast("int")
+
+
 def split_category(c) -> tuple[Column, Column, Column, Column]:
     """Return (category_name filled, cat_main, cat_sub1, cat_sub2).
 
@@ -66,10 +72,21 @@ def split_category(c) -> tuple[Column, Column, Column, Column]:
 
 
 def normalize_text(c) -> Column:
-    """lower; every char outside [a-z0-9] and whitespace -> ' '; collapse; strip."""
-    low = F.lower(F.coalesce(_c(c), F.lit("")))
-    kept = F.regexp_replace(low, "(?U)[^a-z0-9\\s\\x1c-\\x1f]", " ")
-    return collapse_ws(kept)
+    """lower; every char outside [a-z0-9] and whitespace -> ' '; collapse; strip.
+
+    Every maximal run of characters outside [a-z0-9] ends up as one space
+    (non-whitespace becomes a space, whitespace is kept, then runs collapse),
+    so a single ASCII regex pass plus a space trim is exact.
+    """
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(_c(c), F.lit(""))), "[^a-z0-9]+", " "))
+
+
+def raw_tokens(text) -> Column:
+    """Tokens of two or more [a-z0-9] characters of the normalised text.
+
+    They are the maximal [a-z0-9] runs of the lowered text, so the text does
+    not have to be normalised first."""
+    return F.regexp_extract_all(F.lower(F.coalesce(_c(text), F.lit(""))), F.lit("[a-z0-9]{2,}"), 0)
 
 
 def combine_text(*cols) -> Column:
@@ -79,10 +96,13 @@ def combine_text(*cols) -> Column:
 
 def keyword_count(text, keywords: Iterable[str]) -> Column:
     """How many keywords occur in the lowered text as substrings (each
-    counted once)."""
+    counted once). A sum of plain CASE expressions: stays in whole-stage
+    codegen, and subexpression elimination lowers the text once per row."""
     t = F.lower(F.coalesce(_c(text), F.lit("")))
-    arr = F.array(*[F.lit(k) for k in keywords])
-    return F.size(F.filter(arr, lambda k: F.contains(t, k))).cast("int")
+    total = F.lit(0)
+    for k in keywords:
+        total = total + F.when(F.contains(t, F.lit(k)), F.lit(1)).otherwise(F.lit(0))
+    return total.cast("int")
 
 
 def keyword_features(text) -> dict[str, Column]:
@@ -112,31 +132,35 @@ def tokens(normalized) -> Column:
 
 
 def unigrams_bigrams(toks) -> Column:
-    """Unigrams followed by bigrams built on the stop-word-filtered tokens."""
+    """Unigrams followed by bigrams built on the stop-word-filtered tokens.
+
+    Lambdas only touch their own arguments (``zip_with`` over two shifted
+    slices), so the token array is evaluated once per row, not per element.
+    """
     u = _c(toks)
-    bi = F.when(F.size(u) >= 2,
-                F.transform(F.sequence(F.lit(0), F.size(u) - 2),
-                            lambda i: F.concat(F.get(u, i), F.lit(" "), F.get(u, i + 1)))
+    n = F.size(u)
+    bi = F.when(n >= 2, F.zip_with(F.slice(u, 1, F.greatest(n - 1, F.lit(1))),
+                                   F.slice(u, 2, F.greatest(n - 1, F.lit(1))),
+                                   lambda a, b: F.concat(a, F.lit(" "), b))
                 ).otherwise(F.array().cast("array<string>"))
     return F.concat(u, bi)
 
 
 def term_counts(terms) -> Column:
-    """Per-row (term, tf) pairs computed inside the row, no shuffle:
-    sort the terms, then measure the length of each run of equal terms."""
+    """Per-row (term, tf) pairs computed inside the row, no shuffle: sort the
+    terms, flag where a run of equal terms starts, and measure the runs.
+    Every lambda only reads its own arguments (linear time per row)."""
     s = F.array_sort(_c(terms))
     n = F.size(s)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                      lambda i: (n > 0) & ((i == 1) | (F.element_at(s, i) != F.element_at(s, i - 1))))
-    m = F.size(starts)
-    return F.when(n == 0, F.array().cast("array<struct<term:string,tf:int>>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(m, F.lit(1))),
-            lambda k: F.struct(
-                F.element_at(s, F.element_at(starts, k)).alias("term"),
-                (F.when(k < m, F.element_at(starts, F.least(k + 1, m))).otherwise(n + 1)
-                 - F.element_at(starts, k)).cast("int").alias("tf"),
-            )))
+    prev = F.concat(F.array(F.lit(None).cast("string")), F.slice(s, 1, F.greatest(n - 1, F.lit(1))))
+    flags = F.zip_with(s, prev, lambda cur, p: p.isNull() | (cur != p))
+    starts = F.filter(F.transform(flags, lambda f, i: F.when(f, i).otherwise(F.lit(-1))), lambda x: x >= 0)
+    ends = F.when(F.size(starts) <= 1, F.array(n)).otherwise(
+        F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(1))), F.array(n)))
+    distinct = F.filter(F.zip_with(s, flags, lambda x, f: F.when(f, x)), lambda x: x.isNotNull())
+    counts = F.zip_with(starts, ends, lambda a, b: (b - a).cast("int"))
+    pairs = F.zip_with(distinct, counts, lambda t, c: F.struct(t.alias("term"), c.alias("tf")))
+    return F.when(n == 0, F.array().cast("array<struct<term:string,tf:int>>")).otherwise(pairs)
 
 
 def condition_phrase(cond) -> Column:

@@ -41,9 +41,12 @@ def clean_description(df: DataFrame) -> DataFrame:
     return df.withColumn("item_description", TX.clean_description("item_description"))
 
 
-def add_text_features(df: DataFrame) -> DataFrame:
-    return (df.withColumn("name_len", TX.word_count("name"))
-              .withColumn("desc_len", TX.word_count("item_description"))
+def add_text_features(df: DataFrame, cleaned: bool = True) -> DataFrame:
+    """name_len / desc_len = whitespace word counts; has_description.
+    On cleaned text (single spaces, trimmed) a plain split is exact."""
+    wc = TX.word_count_clean if cleaned else TX.word_count
+    return (df.withColumn("name_len", wc("name"))
+              .withColumn("desc_len", wc("item_description"))
               .withColumn("has_description", (F.col("desc_len") > 0).cast("int")))
 
 

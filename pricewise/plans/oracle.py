@@ -276,3 +276,199 @@ register("target_summary", cleaned_ctes() + split_ctes() + """
 SELECT min(price) AS price_min, max(price) AS price_max, median(price) AS price_median,
   round(min(ln(1 + price)), 6) AS log_price_min, round(max(ln(1 + price)), 6) AS log_price_max
 FROM split WHERE split = 'train'""")
+
+
+# ------------------------------------------------------------ scalars ------
+def strip_sql(expr: str) -> str:
+    return f"regexp_replace({expr}, '^{WSP}|{WSP}$', '', 'g')"
+
+
+def combine_sql(a: str = "name", b: str = "item_description") -> str:
+    return strip_sql(f"concat_ws(' ', coalesce({a}, ''), coalesce({b}, ''))")
+
+
+register("combine_text", "WITH " + LISTINGS.strip() + f"""
+SELECT train_id, {combine_sql()} AS text FROM listings""")
+
+register("normalize_text", cleaned_ctes(features=False) + f"""
+SELECT train_id, {normalize_sql(combine_sql())} AS text FROM cleaned""")
+
+register("keyword_count", "WITH " + LISTINGS.strip() + f"""
+SELECT train_id, {keyword_count_sql('item_description', K.QUALITY_KEYWORDS['poor'])} AS kw_poor FROM listings""")
+
+
+def _kw_cols(expr: str) -> str:
+    q, v = K.QUALITY_KEYWORDS, K.VALUE_KEYWORDS
+    return f"""{keyword_count_sql(expr, q['excellent'])} AS kw_excellent,
+  {keyword_count_sql(expr, q['good'])} AS kw_good,
+  {keyword_count_sql(expr, q['fair'])} AS kw_fair,
+  {keyword_count_sql(expr, q['poor'])} AS kw_poor,
+  {keyword_count_sql(expr, v['luxury'])} AS kw_luxury,
+  {keyword_count_sql(expr, v['budget'])} AS kw_budget"""
+
+
+register("keyword_features", cleaned_ctes(features=False) + f""",
+k AS (SELECT train_id, {_kw_cols('item_description')} FROM cleaned)
+SELECT train_id, kw_excellent, kw_good, kw_fair, kw_poor, kw_luxury, kw_budget,
+  CAST((kw_excellent * 1.0 + kw_good * 0.5) - (kw_fair * 0.5 + kw_poor * 1.0) AS DOUBLE) AS quality_score,
+  CAST(kw_excellent + kw_good + kw_fair + kw_poor > 0 AS INTEGER) AS has_quality_keywords,
+  CAST(kw_luxury > 0 AS INTEGER) AS has_luxury_keywords
+FROM k""")
+
+
+def terms_ctes(source: str, name: str = "terms") -> str:
+    """CTE ``name``(train_id, terms) over ``source`` (a CTE with name/description)."""
+    return f""",
+{name}_tok AS (
+  SELECT train_id, list_filter(regexp_extract_all({normalize_sql(combine_sql())}, '[a-z0-9]{{2,}}'),
+                               lambda t: NOT list_contains({_list(K.STOPWORDS)}, t)) AS u
+  FROM {source}
+),
+{name} AS (
+  SELECT train_id, list_concat(u, CASE WHEN len(u) >= 2
+      THEN list_transform(range(1, len(u)), lambda i: u[i] || ' ' || u[i + 1]) ELSE [] END) AS terms
+  FROM {name}_tok
+)"""
+
+
+register("tokenize_ngrams", cleaned_ctes(features=False) + terms_ctes("cleaned") + """
+SELECT train_id, CAST(len(terms) AS INTEGER) AS n_terms, array_to_string(terms, '|') AS terms FROM terms""")
+
+register("log_target", cleaned_ctes(features=False) + """
+SELECT train_id, round(ln(1 + price), 6) AS log_price, round(exp(ln(1 + price)) - 1, 6) AS price_back FROM cleaned""")
+
+
+def _cond_phrase(expr: str) -> str:
+    return "CASE " + " ".join(f"WHEN {expr} = {k} THEN {_q(v)}" for k, v in K.CONDITION_PHRASES.items()) + " ELSE '' END"
+
+
+_REQUEST = f""",
+e0 AS (
+  SELECT *, CASE WHEN brand_name IS NOT NULL AND brand_name <> '' AND brand_name <> 'unknown'
+                 THEN lower(brand_name) ELSE '' END AS bt,
+         lower(coalesce(cat_main, '') || ' ' || coalesce(cat_sub1, '')) AS ct,
+         lower({strip_sql("coalesce(name, '')")}) AS bn,
+         lower({strip_sql("coalesce(item_description, '')")}) AS dc
+  FROM cleaned
+),
+e1 AS (
+  SELECT *, CASE WHEN bt <> '' AND NOT contains(bn, bt) THEN bt || ' ' || bn ELSE bn END AS en FROM e0
+),
+req AS (
+  SELECT train_id, en AS name, CAST(item_condition_id AS INTEGER) AS item_condition_id,
+    coalesce(cat_main, '') || '/' || coalesce(cat_sub1, '') || '/' AS category_name,
+    CASE WHEN brand_name IS NULL OR brand_name = '' THEN 'unknown' ELSE brand_name END AS brand_name,
+    CAST(shipping AS INTEGER) AS shipping,
+    concat_ws(' ', CASE WHEN dc <> '' THEN dc ELSE en END,
+              CASE WHEN NOT contains(dc || en, ct) THEN ct END,
+              CASE WHEN bt <> '' AND NOT contains(dc, bt) THEN bt END,
+              {_cond_phrase('item_condition_id')}) AS item_description,
+    cat_main, cat_sub1, '' AS cat_sub2
+  FROM e1
+)"""
+
+register("enrich_listing", cleaned_ctes(features=False) + _REQUEST + """
+SELECT train_id, name, item_description FROM req""")
+
+register("scoring_request", cleaned_ctes(features=False) + _REQUEST + """
+SELECT * FROM req""")
+
+register("meaningful_words", cleaned_ctes(features=False) + f""",
+m AS (SELECT train_id, CAST(len(list_filter(regexp_split_to_array(lower(coalesce(name, '') || ' ' ||
+        coalesce(item_description, '')), '{WSP}'), lambda w: length(w) > 2)) AS INTEGER) AS n_meaningful FROM cleaned)
+SELECT train_id, n_meaningful, CAST(n_meaningful < {K.MIN_WORDS_FOR_RELIABLE_ESTIMATE} AS INTEGER) AS low_confidence FROM m""")
+
+
+# ------------------------------------------------------------ lookups ------
+def _labels_values() -> str:
+    from ..operators.i18n import label_rows
+    rows = ", ".join(f"({_q(a)}, {_q(b)}, {_q(c)}, {_q(d)})" for a, b, c, d in label_rows())
+    return f"lbl(lang, section, key, label) AS (VALUES {rows})"
+
+
+def _taxonomy_values() -> str:
+    rows = ", ".join(f"({_q(m)}, {_q(s)})" for m, subs in K.SUB_CATEGORIES.items() for s in subs)
+    return f"tax(main, sub) AS (VALUES {rows})"
+
+
+register("localize_labels", cleaned_ctes(features=False) + ",\n" + _labels_values() + """
+SELECT c.train_id,
+  coalesce(nullif(l1.label, ''), nullif(l2.label, ''), CAST(c.item_condition_id AS VARCHAR)) AS condition_label,
+  coalesce(nullif(l3.label, ''), c.cat_main) AS cat_main_label,
+  coalesce(nullif(l4.label, ''), c.cat_sub1) AS cat_sub1_label
+FROM cleaned c
+LEFT JOIN lbl l1 ON l1.lang = 'fr' AND l1.section = 'conditions' AND l1.key = CAST(c.item_condition_id AS VARCHAR)
+LEFT JOIN lbl l2 ON l2.lang = 'en' AND l2.section = 'conditions' AND l2.key = CAST(c.item_condition_id AS VARCHAR)
+LEFT JOIN lbl l3 ON l3.lang = 'fr' AND l3.section = 'categories' AND l3.key = c.cat_main
+LEFT JOIN lbl l4 ON l4.lang = 'fr' AND l4.section = 'sub_categories' AND l4.key = c.cat_sub1""")
+
+register("taxonomy_conformity", cleaned_ctes(features=False) + ",\n" + _taxonomy_values() + """
+SELECT c.train_id,
+  CASE WHEN EXISTS (SELECT 1 FROM tax t WHERE t.main = c.cat_main AND t.sub = c.cat_sub1) THEN 1
+       WHEN c.cat_main NOT IN (SELECT main FROM tax) AND c.cat_sub1 = 'Other' THEN 1 ELSE 0 END AS conforms
+FROM cleaned c""")
+
+# ----------------------------------------------------------- encoders ------
+_TRVA = """,
+tr AS (SELECT * FROM split WHERE split = 'train'),
+va AS (SELECT * FROM split WHERE split = 'val')"""
+
+register("label_encode", cleaned_ctes() + split_ctes() + _TRVA + """,
+cls AS (SELECT value, CAST(row_number() OVER (ORDER BY value) - 1 AS INTEGER) AS idx
+        FROM (SELECT DISTINCT coalesce(cat_sub2, 'unknown') AS value FROM tr))
+SELECT va.train_id, coalesce(cls.idx, -1) AS cat_sub2_label
+FROM va LEFT JOIN cls ON cls.value = coalesce(va.cat_sub2, 'unknown')""")
+
+register("one_hot_encode", cleaned_ctes() + split_ctes() + _TRVA + """,
+cls AS (SELECT value, CAST(row_number() OVER (ORDER BY value) - 1 AS INTEGER) AS idx
+        FROM (SELECT DISTINCT coalesce(cat_main, 'unknown') AS value FROM tr))
+SELECT va.train_id, cls.idx AS cat_main_idx, CAST((SELECT count(*) FROM cls) AS INTEGER) AS n_categories
+FROM va LEFT JOIN cls ON cls.value = coalesce(va.cat_main, 'unknown')""")
+
+
+def _te(col: str) -> str:
+    return f""",
+st_{col} AS (SELECT coalesce(CAST({col} AS VARCHAR), 'unknown') AS category, count(*) AS n, sum(ln(1 + price)) AS s
+             FROM tr GROUP BY 1),
+g_{col} AS (SELECT sum(s) / sum(n) AS g FROM st_{col}),
+enc_{col} AS (SELECT category, CASE WHEN n < 5 THEN (SELECT g FROM g_{col})
+                                ELSE (s + 10.0 * (SELECT g FROM g_{col})) / (n + 10.0) END AS encoded FROM st_{col})"""
+
+
+register("target_encode", cleaned_ctes() + split_ctes() + _TRVA + _te("brand_name") + _te("cat_sub1") + _te("cat_sub2") + """
+SELECT va.train_id,
+  round(coalesce(e1.encoded, (SELECT g FROM g_brand_name)), 6) AS brand_name_encoded,
+  round(coalesce(e2.encoded, (SELECT g FROM g_cat_sub1)), 6) AS cat_sub1_encoded,
+  round(coalesce(e3.encoded, (SELECT g FROM g_cat_sub2)), 6) AS cat_sub2_encoded
+FROM va
+LEFT JOIN enc_brand_name e1 ON e1.category = coalesce(va.brand_name, 'unknown')
+LEFT JOIN enc_cat_sub1 e2 ON e2.category = coalesce(va.cat_sub1, 'unknown')
+LEFT JOIN enc_cat_sub2 e3 ON e3.category = coalesce(va.cat_sub2, 'unknown')""")
+
+register("unknown_values", cleaned_ctes() + split_ctes() + _TRVA + "\n" + "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS "column", count(*) AS n_unknown FROM va
+WHERE coalesce({c}, 'unknown') NOT IN (SELECT DISTINCT coalesce({c}, 'unknown') FROM tr)"""
+    for c in ("brand_name", "cat_sub1", "cat_sub2")))
+
+
+# ------------------------------------------------------------- tf-idf ------
+def vocab_ctes(max_features: int = K.TFIDF_MAX_FEATURES) -> str:
+    return terms_ctes("tr", "tterms") + f""",
+tex AS (SELECT train_id, unnest(terms) AS term FROM tterms),
+ttf AS (SELECT train_id, term, count(*) AS tf FROM tex GROUP BY 1, 2),
+tst AS (SELECT term, count(*) AS df, sum(tf) AS tf_total FROM ttf GROUP BY term),
+ndocs AS (SELECT count(*) AS nd FROM tterms),
+kept AS (SELECT * FROM tst WHERE df >= {K.TFIDF_MIN_DF} AND df <= {K.TFIDF_MAX_DF} * (SELECT nd FROM ndocs)
+         ORDER BY tf_total DESC, term LIMIT {int(max_features)}),
+vocab AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS idx, df, tf_total,
+            ln((1.0 + (SELECT nd FROM ndocs)) / (1.0 + df)) + 1.0 AS idf FROM kept)"""
+
+
+register("tfidf_document_frequency", cleaned_ctes() + split_ctes() + _TRVA + vocab_ctes() + """
+SELECT term, idx, CAST(df AS BIGINT) AS df, CAST(tf_total AS BIGINT) AS tf_total, round(idf, 6) AS idf FROM vocab""")
+
+register("tfidf_weights", cleaned_ctes() + split_ctes() + _TRVA + vocab_ctes() + terms_ctes("va", "vterms") + """,
+vex AS (SELECT train_id, unnest(terms) AS term FROM vterms),
+vtf AS (SELECT train_id, term, count(*) AS tf FROM vex GROUP BY 1, 2),
+w AS (SELECT v.train_id, v.term, (1.0 + ln(v.tf)) * b.idf AS w FROM vtf v JOIN vocab b ON b.term = v.term)
+SELECT train_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY train_id)), 6) AS weight FROM w""")

@@ -12,7 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import cleaning as CL
+from ..functions import text as TX
 from ..operators import encoders as EN
+from ..operators import i18n as I18N
+from ..operators import scoring as SC
+from ..operators import tfidf as TF
 from ..operators import profiling as PR
 from ..operators import sampling as SP
 from ..sources import listings as SRC
@@ -177,3 +181,144 @@ def target_summary(spark, sf_dir):
     s = PR.target_summary(train)
     return s.select("price_min", "price_max", "price_median",
                     F.round("log_price_min", 6).alias("log_price_min"), F.round("log_price_max", 6).alias("log_price_max"))
+
+
+# ------------------------------------------------------------ scalars ------
+
+@query("combine_text")
+def combine_text(spark, sf_dir):
+    return SRC.listings(spark, sf_dir).select("train_id", TX.combine_text("name", "item_description").alias("text"))
+
+
+@query("normalize_text")
+def normalize_text(spark, sf_dir):
+    return cleaned(spark, sf_dir, add_features=False).select(
+        "train_id", TX.normalize_text(TX.combine_text("name", "item_description")).alias("text"))
+
+
+
+@query("keyword_count")
+def keyword_count(spark, sf_dir):
+    """Substring keyword count of the 'poor' list over the raw description."""
+    from .. import constants as K
+    return SRC.listings(spark, sf_dir).select(
+        "train_id", TX.keyword_count("item_description", K.QUALITY_KEYWORDS["poor"]).alias("kw_poor"))
+
+
+@query("keyword_features")
+def keyword_features(spark, sf_dir):
+    kw = TX.keyword_features("item_description")
+    return cleaned(spark, sf_dir, add_features=False).select("train_id", *[c.alias(n) for n, c in kw.items()])
+
+
+@query("tokenize_ngrams")
+def tokenize_ngrams(spark, sf_dir):
+    terms = TF.listing_terms(cleaned(spark, sf_dir, add_features=False))
+    return terms.select("train_id", F.size("terms").alias("n_terms"), F.array_join("terms", "|").alias("terms"))
+
+
+@query("log_target")
+def log_target(spark, sf_dir):
+    lp = F.log1p("price")
+    return cleaned(spark, sf_dir, add_features=False).select(
+        "train_id", F.round(lp, 6).alias("log_price"), F.round(F.expm1(lp), 6).alias("price_back"))
+
+
+def scoring_requests(spark, sf_dir):
+    return SC.scoring_request(cleaned(spark, sf_dir, add_features=False))
+
+
+@query("enrich_listing")
+def enrich_listing(spark, sf_dir):
+    return scoring_requests(spark, sf_dir).select("train_id", "name", "item_description")
+
+
+@query("scoring_request")
+def scoring_request(spark, sf_dir):
+    return scoring_requests(spark, sf_dir)
+
+
+@query("meaningful_words")
+def meaningful_words(spark, sf_dir):
+    from .. import constants as K
+    d = cleaned(spark, sf_dir, add_features=False).select(
+        "train_id", TX.meaningful_words("name", "item_description").alias("n_meaningful"))
+    return d.withColumn("low_confidence", (F.col("n_meaningful") < K.MIN_WORDS_FOR_RELIABLE_ESTIMATE).cast("int"))
+
+
+# ------------------------------------------------------------ lookups ------
+
+@query("localize_labels")
+def localize_labels(spark, sf_dir):
+    d = cleaned(spark, sf_dir, add_features=False).select("train_id", "cat_main", "cat_sub1", "item_condition_id")
+    return I18N.localize_labels(d, "fr", I18N.labels(spark)).select(
+        "train_id", "condition_label", "cat_main_label", "cat_sub1_label")
+
+
+@query("taxonomy_conformity")
+def taxonomy_conformity(spark, sf_dir):
+    d = cleaned(spark, sf_dir, add_features=False).select("train_id", "cat_main", "cat_sub1")
+    return I18N.taxonomy_conformity(d, spark).select("train_id", "conforms")
+
+
+# ----------------------------------------------------------- encoders ------
+
+def split_frames(spark, sf_dir):
+    s = split_listings(spark, sf_dir).withColumn("label", F.log1p("price"))
+    return s.filter(F.col("split") == "train"), s.filter(F.col("split") == "val")
+
+
+@query("label_encode")
+def label_encode(spark, sf_dir):
+    train, val = split_frames(spark, sf_dir)
+    enc = EN.fit_label_encoder(train, "cat_sub2", unknown_value=-1)
+    return enc.transform(val).select("train_id", "cat_sub2_label")
+
+
+@query("one_hot_encode")
+def one_hot_encode(spark, sf_dir):
+    train, val = split_frames(spark, sf_dir)
+    enc = EN.fit_one_hot(train, "cat_main")
+    return enc.transform_index(val).select("train_id", F.col("cat_main_idx").cast("int").alias("cat_main_idx"),
+                                           F.lit(enc.n_categories).cast("int").alias("n_categories"))
+
+
+@query("target_encode")
+def target_encode(spark, sf_dir):
+    train, val = split_frames(spark, sf_dir)
+    out = val
+    for c in ("brand_name", "cat_sub1", "cat_sub2"):
+        out = EN.fit_target_encoder(train, c, "label").transform(out)
+    return out.select("train_id", *[F.round(f"{c}_encoded", 6).alias(f"{c}_encoded")
+                                    for c in ("brand_name", "cat_sub1", "cat_sub2")])
+
+
+@query("unknown_values")
+def unknown_values(spark, sf_dir):
+    train, val = split_frames(spark, sf_dir)
+    parts = [EN.unknown_values(val, c, train.select(EN.filled(c).alias("value")).distinct())
+             for c in ("brand_name", "cat_sub1", "cat_sub2")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# ------------------------------------------------------------- tf-idf ------
+
+def tfidf_parts(spark, sf_dir, max_features=10000):
+    train, val = split_frames(spark, sf_dir)
+    vocab = TF.fit_vocabulary(TF.listing_terms(train), max_features=max_features)
+    return vocab, TF.listing_terms(val)
+
+
+@query("tfidf_document_frequency")
+def tfidf_document_frequency(spark, sf_dir):
+    vocab, _ = tfidf_parts(spark, sf_dir)
+    return vocab.table.select("term", "idx", "df", "tf_total", F.round("idf", 6).alias("idf"))
+
+
+@query("tfidf_weights")
+def tfidf_weights(spark, sf_dir):
+    vocab, val_terms = tfidf_parts(spark, sf_dir)
+    return TF.tfidf_long(val_terms, vocab).select("train_id", "term", F.round("weight", 6).alias("weight"))

@@ -34,8 +34,11 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     description is document ``k mod |documents|`` (part and document ids are
     dense), so every part and every document is used and no row is dropped.
     Both table sizes are parquet-footer counts. The joins are equi-joins on
-    a computed key; AQE decides between broadcast and sort-merge from the
-    real sizes, so nothing here assumes a side is small.
+    a computed key; AQE decides between broadcast and sort-merge for part and
+    customer from the real sizes. Documents carry the whole texts (the
+    largest table), so that join is always a sort-merge join: the text is
+    never broadcast, and the per-row text work downstream runs in the join's
+    shuffle partitions.
     """
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
@@ -48,7 +51,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = orders.withColumn("_pk", F.pmod(k, F.lit(n_part))).withColumn("_dk", F.pmod(k, F.lit(n_doc)))
     j = (o.join(part, o["_pk"] == part["p_partkey"], "left")
           .join(customer, o["o_custkey"] == customer["c_custkey"], "left")
-          .join(docs, o["_dk"] == docs["doc_id"], "left"))
+          .join(docs.hint("merge"), o["_dk"] == docs["doc_id"], "left"))
     seg = F.col("c_mktsegment")
     text = F.col("text")
     return j.select(
