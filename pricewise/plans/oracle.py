@@ -472,3 +472,41 @@ vex AS (SELECT train_id, unnest(terms) AS term FROM vterms),
 vtf AS (SELECT train_id, term, count(*) AS tf FROM vex GROUP BY 1, 2),
 w AS (SELECT v.train_id, v.term, (1.0 + ln(v.tf)) * b.idf AS w FROM vtf v JOIN vocab b ON b.term = v.term)
 SELECT train_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY train_id)), 6) AS weight FROM w""")
+
+
+# ------------------------------------------- metrics on a baseline model ----
+_BASELINE = _TRVA + _te("cat_sub1") + """,
+pred AS (SELECT va.train_id, va.price, ln(1 + va.price) AS label,
+           coalesce(e.encoded, (SELECT g FROM g_cat_sub1)) AS prediction
+         FROM va LEFT JOIN enc_cat_sub1 e ON e.category = coalesce(va.cat_sub1, 'unknown'))"""
+
+register("rmsle", cleaned_ctes() + split_ctes() + _BASELINE + """
+SELECT round(sqrt(avg(pow(label - prediction, 2))), 6) AS rmsle, count(*) AS n FROM pred""")
+
+register("price_band", cleaned_ctes() + split_ctes() + _BASELINE + f""",
+pb AS (SELECT train_id, (exp(prediction) - 1) * {K.PRICE_INFLATION} AS p FROM pred)
+SELECT train_id, round(greatest(1.0, p), 6) AS predicted_price, round(greatest(1.0, p * {K.PRICE_LOW_FACTOR}), 6) AS price_low,
+  round(p * {K.PRICE_HIGH_FACTOR}, 6) AS price_high FROM pb""")
+
+register("abs_error_example", cleaned_ctes() + split_ctes() + _BASELINE + """
+SELECT train_id, round(abs(price - (exp(prediction) - 1)), 6) AS abs_error FROM pred""")
+
+# ---------------------------------------------------------------- jobs -----
+register("etl_pipeline", cleaned_ctes() + """
+SELECT (SELECT count(*) FROM listings) AS n_rows_initial, (SELECT count(*) FROM cleaned) AS n_rows_final,
+  CAST(8 AS BIGINT) AS n_cols_initial, CAST(15 AS BIGINT) AS n_cols_final""")
+
+
+def _feature_tail() -> str:
+    tail = ([f"{c}_encoded" for c in K.DEFAULT_TARGET_COLUMNS] + list(K.DEFAULT_PASSTHROUGH_COLUMNS)
+            + list(K.NUMERIC_FEATURE_COLUMNS) + list(K.KEYWORD_FEATURE_COLUMNS))
+    return "tail(pos, name) AS (VALUES " + ", ".join(f"({i}, {_q(n)})" for i, n in enumerate(tail)) + ")"
+
+
+register("feature_names", cleaned_ctes() + split_ctes() + _TRVA + vocab_ctes() + """,
+cls AS (SELECT value, CAST(row_number() OVER (ORDER BY value) - 1 AS INTEGER) AS idx
+        FROM (SELECT DISTINCT coalesce(cat_main, 'unknown') AS value FROM tr)),
+""" + _feature_tail() + """
+SELECT idx, 'tfidf_' || term AS name FROM vocab
+UNION ALL SELECT CAST(idx + (SELECT count(*) FROM vocab) AS INTEGER), 'cat_main_' || value FROM cls
+UNION ALL SELECT CAST(pos + (SELECT count(*) FROM vocab) + (SELECT count(*) FROM cls) AS INTEGER), name FROM tail""")

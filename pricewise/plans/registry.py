@@ -15,11 +15,13 @@ from ..operators import cleaning as CL
 from ..functions import text as TX
 from ..operators import encoders as EN
 from ..operators import i18n as I18N
+from ..operators import models as MD
 from ..operators import scoring as SC
 from ..operators import tfidf as TF
 from ..operators import profiling as PR
 from ..operators import sampling as SP
 from ..sources import listings as SRC
+from . import jobs as J
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -322,3 +324,145 @@ def tfidf_document_frequency(spark, sf_dir):
 def tfidf_weights(spark, sf_dir):
     vocab, val_terms = tfidf_parts(spark, sf_dir)
     return TF.tfidf_long(val_terms, vocab).select("train_id", "term", F.round("weight", 6).alias("weight"))
+
+
+# ------------------------------------------- metrics on a baseline model ----
+
+def baseline_predictions(spark, sf_dir):
+    """Validation listings with a category-mean prediction: cat_sub1 target
+    encoding fitted on the training split (log1p price)."""
+    train, val = split_frames(spark, sf_dir)
+    enc = EN.fit_target_encoder(train, "cat_sub1", "label")
+    return enc.transform(val, "prediction")
+
+
+@query("rmsle")
+def rmsle(spark, sf_dir):
+    p = baseline_predictions(spark, sf_dir)
+    return SC.rmsle(p).select(F.round("rmsle", 6).alias("rmsle"), "n")
+
+
+@query("price_band")
+def price_band(spark, sf_dir):
+    p = SC.with_price_band(baseline_predictions(spark, sf_dir))
+    return p.select("train_id", *[F.round(c, 6).alias(c) for c in ("predicted_price", "price_low", "price_high")])
+
+
+@query("abs_error_example")
+def abs_error_example(spark, sf_dir):
+    p = baseline_predictions(spark, sf_dir).withColumn("abs_error", F.abs(F.col("price") - F.expm1("prediction")))
+    return p.select("train_id", F.round("abs_error", 6).alias("abs_error"))
+
+
+# ---------------------------------------------------------------- jobs -----
+
+@query("etl_pipeline")
+def etl_pipeline(spark, sf_dir):
+    return J.etl_pipeline(spark, SRC.listings(spark, sf_dir))
+
+
+@query("feature_names")
+def feature_names(spark, sf_dir):
+    """(idx, name) of the assembled feature vector, built from the fitted
+    vocabulary and one-hot categories (training split)."""
+    from .. import constants as K
+    train, _ = split_frames(spark, sf_dir)
+    vocab = TF.fit_vocabulary(TF.listing_terms(train))
+    oh = EN.fit_one_hot(train, "cat_main")
+    v, k = vocab.size, oh.n_categories
+    tail = ([f"{c}_encoded" for c in K.DEFAULT_TARGET_COLUMNS] + list(K.DEFAULT_PASSTHROUGH_COLUMNS)
+            + list(K.NUMERIC_FEATURE_COLUMNS) + list(K.KEYWORD_FEATURE_COLUMNS))
+    fixed = spark.createDataFrame([(i, n) for i, n in enumerate(tail)], "pos int, name string")
+    return (vocab.table.select("idx", F.concat(F.lit("tfidf_"), "term").alias("name"))
+            .unionByName(oh.categories.select((F.col("idx") + F.lit(v)).cast("int").alias("idx"),
+                                              F.concat(F.lit("cat_main_"), "value").alias("name")))
+            .unionByName(fixed.select((F.col("pos") + F.lit(v + k)).cast("int").alias("idx"), "name")))
+
+
+QUICK_GBT = dict(n_estimators=30, max_depth=5, early_stopping_rounds=10)
+
+
+def _train(spark, sf_dir, model_type, cv=0):
+    from ..operators.models import GBTConfig
+    cfg = J.TrainConfig(model_type=model_type, gbt=GBTConfig(**QUICK_GBT), top_n_features=300, cv=cv)
+    return J.train_pipeline(spark, sf_dir, cfg)
+
+
+@query("train_ridge")
+def train_ridge(spark, sf_dir):
+    return J.metrics_frame(spark, _train(spark, sf_dir, "ridge").metrics)
+
+
+@query("train_gbt")
+def train_gbt(spark, sf_dir):
+    return J.metrics_frame(spark, _train(spark, sf_dir, "gbt").metrics)
+
+
+@query("train_ensemble")
+def train_ensemble(spark, sf_dir):
+    return J.metrics_frame(spark, _train(spark, sf_dir, "ensemble").metrics)
+
+
+@query("cross_validate")
+def cross_validate(spark, sf_dir):
+    r = _train(spark, sf_dir, "ridge")
+    folds = SP.kfold_assign(r.train, 5)
+    scores = MD.cross_validate(folds, lambda tr, te: J.predict(MD.train_ridge(tr), te), 5)
+    return MD.cv_summary(scores).select("rmsle_mean", "rmsle_std", F.size("scores").alias("n_folds"))
+
+
+@query("select_top_features")
+def select_top_features(spark, sf_dir):
+    r = _train(spark, sf_dir, "gbt")
+    names = r.preprocessor.feature_names()
+    imp = r.model.gbt.featureImportances.toArray()
+    sel = r.model.selected
+    top = MD.top_features_by_importance(imp, 50)
+    rows = [(int(sel[i]), names[sel[i]], float(imp[i])) for i in top]
+    return spark.createDataFrame(rows, "idx int, name string, importance double")
+
+
+@query("score_listings")
+def score_listings(spark, sf_dir):
+    from ..streaming.score_stream import scored
+    r = _train(spark, sf_dir, "ridge")
+    _, val = split_frames(spark, sf_dir)
+    return scored(r.preprocessor, r.model, val)
+
+
+@query("score_stream")
+def score_stream(spark, sf_dir):
+    """Validation listings landed as files in the shared checkpoint folder,
+    then scored by a streaming query (availableNow)."""
+    import os
+    import uuid
+    from .. import session as S
+    from ..streaming.score_stream import score_stream as run
+    r = _train(spark, sf_dir, "ridge")
+    _, val = split_frames(spark, sf_dir)
+    base = os.path.join(S.checkpoint_dir(spark), "stream-" + uuid.uuid4().hex[:8])
+    src = os.path.join(base, "incoming")
+    val.select(*SRC.RAW_COLUMNS, "cat_main", "cat_sub1", "cat_sub2").repartition(4).write.parquet(src)
+    name = "scored_" + uuid.uuid4().hex[:8]
+    return run(spark, r.preprocessor, r.model, src, name, os.path.join(base, "checkpoint"))
+
+
+@query("feature_nonzeros")
+def feature_nonzeros(spark, sf_dir):
+    """Non-zero features per validation listing (hand-checked scoring cases
+    in the reference print the same count)."""
+    r = _train(spark, sf_dir, "ridge")
+    nnz = F.udf(lambda v: int(v.numNonzeros()), "int")
+    return r.val.select("train_id", nnz("features").alias("n_nonzero"))
+
+
+@query("model_metadata")
+def model_metadata(spark, sf_dir):
+    import os
+    import uuid
+    from .. import session as S
+    from ..operators.models import GBTConfig
+    out = os.path.join(S.checkpoint_dir(spark), "models-" + uuid.uuid4().hex[:8])
+    cfg = J.TrainConfig(model_type="ridge", gbt=GBTConfig(**QUICK_GBT), save_dir=out)
+    J.train_pipeline(spark, sf_dir, cfg)
+    return spark.read.json(os.path.join(out, "metadata")).select("version", "model_type", "metrics")
