@@ -133,7 +133,7 @@ def fit_target_encoder(df: DataFrame, column: str, label: str = "label",
     map-side); the global mean is a scalar derived from the same aggregate.
     """
     stats = (df.groupBy(filled(column).alias("category"))
-               .agg(F.count(F.col(label)).alias("n"), F.sum(F.col(label)).alias("s")))
+               .agg(F.count(F.col(label)).alias("n"), F.sum(F.col(label)).alias("s"))).cache()
     tot = stats.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     g = float(tot["s"]) / float(tot["n"]) if tot["n"] else float("nan")
     sm = float(smoothing)

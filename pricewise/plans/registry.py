@@ -53,7 +53,7 @@ def listing_brand_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("scan_head_n")
 def scan_head_n(spark, sf_dir):
     """nrows=100: the first 100 listings in key order."""
-    return SRC.head_n(SRC.listings(spark, sf_dir), 100)
+    return SRC.listings(spark, sf_dir, nrows=100)
 
 
 # ------------------------------------------------- projections/filters -----

@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def listings(spark: SparkSession, sf_dir: str, nrows: int | None = None) -> DataFrame:
     """One raw listing per order, derived from whole tables and whole texts.
 
     Every order becomes a listing. Its item is part ``k mod |part|`` and its
@@ -39,8 +39,14 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     largest table), so that join is always a sort-merge join: the text is
     never broadcast, and the per-row text work downstream runs in the join's
     shuffle partitions.
+
+    ``nrows`` reads only the first n listings (in key order): the top-n is
+    taken on the orders before any join, since every join keeps one row per
+    order, so no text of later listings is read.
     """
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    if nrows is not None:
+        orders = orders.orderBy("o_orderkey").limit(int(nrows))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
