@@ -510,3 +510,18 @@ cls AS (SELECT value, CAST(row_number() OVER (ORDER BY value) - 1 AS INTEGER) AS
 SELECT idx, 'tfidf_' || term AS name FROM vocab
 UNION ALL SELECT CAST(idx + (SELECT count(*) FROM vocab) AS INTEGER), 'cat_main_' || value FROM cls
 UNION ALL SELECT CAST(pos + (SELECT count(*) FROM vocab) + (SELECT count(*) FROM cls) AS INTEGER), name FROM tail""")
+
+register("encode_categoricals", cleaned_ctes() + split_ctes() + _TRVA + """,
+cls AS (SELECT value, CAST(row_number() OVER (ORDER BY value) - 1 AS INTEGER) AS idx
+        FROM (SELECT DISTINCT coalesce(cat_main, 'unknown') AS value FROM tr))""" + _te("brand_name") + _te("cat_sub1")
+         + _te("cat_sub2") + """
+SELECT va.train_id, cls.idx AS cat_main_idx,
+  round(coalesce(e1.encoded, (SELECT g FROM g_brand_name)), 6) AS brand_name_encoded,
+  round(coalesce(e2.encoded, (SELECT g FROM g_cat_sub1)), 6) AS cat_sub1_encoded,
+  round(coalesce(e3.encoded, (SELECT g FROM g_cat_sub2)), 6) AS cat_sub2_encoded,
+  CAST(va.item_condition_id AS DOUBLE) AS item_condition_id, CAST(va.shipping AS DOUBLE) AS shipping
+FROM va
+LEFT JOIN cls ON cls.value = coalesce(va.cat_main, 'unknown')
+LEFT JOIN enc_brand_name e1 ON e1.category = coalesce(va.brand_name, 'unknown')
+LEFT JOIN enc_cat_sub1 e2 ON e2.category = coalesce(va.cat_sub1, 'unknown')
+LEFT JOIN enc_cat_sub2 e3 ON e3.category = coalesce(va.cat_sub2, 'unknown')""")

@@ -466,3 +466,48 @@ def model_metadata(spark, sf_dir):
     cfg = J.TrainConfig(model_type="ridge", gbt=GBTConfig(**QUICK_GBT), save_dir=out)
     J.train_pipeline(spark, sf_dir, cfg)
     return spark.read.json(os.path.join(out, "metadata")).select("version", "model_type", "metrics")
+
+
+@query("encode_categoricals")
+def encode_categoricals(spark, sf_dir):
+    """The default categorical block for validation listings: one-hot slot
+    of cat_main, smoothed target encodings of brand, cat_sub1 and cat_sub2
+    (fitted on the training split), passthrough condition and shipping."""
+    train, val = split_frames(spark, sf_dir)
+    oh = EN.fit_one_hot(train, "cat_main")
+    out = oh.transform_index(val)
+    for c in ("brand_name", "cat_sub1", "cat_sub2"):
+        out = EN.fit_target_encoder(train, c, "label").transform(out)
+    return out.select("train_id", F.col("cat_main_idx").cast("int").alias("cat_main_idx"),
+                      *[F.round(f"{c}_encoded", 6).alias(f"{c}_encoded") for c in ("brand_name", "cat_sub1", "cat_sub2")],
+                      F.col("item_condition_id").cast("double").alias("item_condition_id"),
+                      F.col("shipping").cast("double").alias("shipping"))
+
+
+@query("write_cleaned")
+def write_cleaned(spark, sf_dir):
+    """ETL with persistence: the cleaned table is written as an immutable
+    snapshot and as 'latest' in the shared checkpoint folder, then the
+    latest copy is read back (the cleaned-table scan)."""
+    import os
+    import uuid
+    from .. import session as S
+    out = os.path.join(S.checkpoint_dir(spark), "cleaned-" + uuid.uuid4().hex[:8])
+    J.etl_pipeline(spark, SRC.listings(spark, sf_dir), out_dir=out)
+    latest = spark.read.parquet(os.path.join(out, "latest"))
+    return latest.agg(F.count(F.lit(1)).cast("long").alias("n_rows"),
+                      F.countDistinct("train_id").cast("long").alias("n_ids"),
+                      F.lit(len(latest.columns)).cast("long").alias("n_cols"))
+
+
+@query("fit_preprocessor")
+def fit_preprocessor(spark, sf_dir):
+    """Fit the default preprocessor on the training split and report its
+    blocks (10,000 TF-IDF terms + one-hot + 3 + 2 + 3 + 9)."""
+    from ..operators.features import ListingPreprocessor
+    train, _ = split_frames(spark, sf_dir)
+    pre = ListingPreprocessor().fit(train)
+    names = pre.feature_names()
+    return spark.createDataFrame(
+        [(len(names), len(pre.vocab_terms), len(pre.onehot["cat_main"]), names[0], names[-1])],
+        "n_features int, n_tfidf int, n_onehot int, first_name string, last_name string")
