@@ -525,3 +525,5 @@ LEFT JOIN cls ON cls.value = coalesce(va.cat_main, 'unknown')
 LEFT JOIN enc_brand_name e1 ON e1.category = coalesce(va.brand_name, 'unknown')
 LEFT JOIN enc_cat_sub1 e2 ON e2.category = coalesce(va.cat_sub1, 'unknown')
 LEFT JOIN enc_cat_sub2 e3 ON e3.category = coalesce(va.cat_sub2, 'unknown')""")
+
+register("scan_listings_tsv", "WITH " + LISTINGS.strip() + "\nSELECT * FROM listings")

@@ -511,3 +511,16 @@ def fit_preprocessor(spark, sf_dir):
     return spark.createDataFrame(
         [(len(names), len(pre.vocab_terms), len(pre.onehot["cat_main"]), names[0], names[-1])],
         "n_features int, n_tfidf int, n_onehot int, first_name string, last_name string")
+
+
+@query("scan_listings_tsv")
+def scan_listings_tsv(spark, sf_dir):
+    """The TSV scan: the whole listings view written as TSV to the shared
+    checkpoint folder (texts with newlines and quotes), read back with the
+    listing reader (schema, quoting, missing-value tokens)."""
+    import os
+    import uuid
+    from .. import session as S
+    path = os.path.join(S.checkpoint_dir(spark), "tsv-" + uuid.uuid4().hex[:8])
+    SRC.write_listings_tsv(SRC.listings(spark, sf_dir), path, n_files=8)
+    return SRC.read_listings_tsv(spark, path)

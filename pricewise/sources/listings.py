@@ -105,6 +105,7 @@ def read_listings_tsv(spark: SparkSession, path: str, schema: T.StructType = RAW
            .option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"')
            .option("multiLine", True).option("mode", "FAILFAST").option("nullValue", None)
            .option("emptyValue", "")
+           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
            .csv(path))
     raw = null_tokens_to_null(raw)
     return raw.select(*[
@@ -120,3 +121,14 @@ def land_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 def head_n(df: DataFrame, n: int, key: str = "train_id") -> DataFrame:
     """First ``n`` rows in key order (deterministic ``nrows``)."""
     return df.orderBy(key).limit(n)
+
+
+def write_listings_tsv(df: DataFrame, path: str, n_files: int | None = None) -> str:
+    """Write listings as header + tab-separated cells, quoting every cell
+    that needs it (tabs, newlines, quotes doubled). Several files, so the
+    multi-line reader still gets one split per file."""
+    out = df.repartition(n_files) if n_files else df
+    (out.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", '"')
+        .option("escape", '"').option("quoteAll", False)
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return path
