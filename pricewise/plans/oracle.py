@@ -527,3 +527,46 @@ LEFT JOIN enc_cat_sub1 e2 ON e2.category = coalesce(va.cat_sub1, 'unknown')
 LEFT JOIN enc_cat_sub2 e3 ON e3.category = coalesce(va.cat_sub2, 'unknown')""")
 
 register("scan_listings_tsv", "WITH " + LISTINGS.strip() + "\nSELECT * FROM listings")
+
+register("write_cleaned", cleaned_ctes() + """
+SELECT count(*) AS n_rows, count(DISTINCT train_id) AS n_ids, CAST(15 AS BIGINT) AS n_cols FROM cleaned""")
+
+register("fit_preprocessor", cleaned_ctes() + split_ctes() + _TRVA + vocab_ctes() + """,
+cls AS (SELECT DISTINCT coalesce(cat_main, 'unknown') AS value FROM tr)
+SELECT CAST((SELECT count(*) FROM vocab) + (SELECT count(*) FROM cls) + 17 AS INTEGER) AS n_features,
+  CAST((SELECT count(*) FROM vocab) AS INTEGER) AS n_tfidf, CAST((SELECT count(*) FROM cls) AS INTEGER) AS n_onehot,
+  (SELECT 'tfidf_' || min(term) FROM vocab) AS first_name, 'has_luxury_keywords' AS last_name""")
+
+
+def _nz(expr: str) -> str:
+    return f"CASE WHEN ({expr}) <> 0 THEN 1 ELSE 0 END"
+
+
+def _true(expr: str) -> str:
+    return f"CASE WHEN ({expr}) THEN 1 ELSE 0 END"
+
+
+register("feature_nonzeros", cleaned_ctes() + split_ctes() + _TRVA + vocab_ctes() + terms_ctes("va", "vterms")
+         + _te("brand_name") + _te("cat_sub1") + _te("cat_sub2") + f""",
+vex AS (SELECT train_id, unnest(terms) AS term FROM vterms),
+vn AS (SELECT v.train_id, count(DISTINCT v.term) AS n FROM vex v JOIN vocab b ON b.term = v.term GROUP BY 1),
+cls AS (SELECT DISTINCT coalesce(cat_main, 'unknown') AS value FROM tr),
+kw AS (SELECT train_id, {_kw_cols('item_description')},
+         {word_count_sql('name')} AS nl, {word_count_sql('item_description')} AS dl FROM va)
+SELECT va.train_id, CAST(coalesce(vn.n, 0)
+  + CASE WHEN coalesce(va.cat_main, 'unknown') IN (SELECT value FROM cls) THEN 1 ELSE 0 END
+  + {_nz("coalesce(e1.encoded, (SELECT g FROM g_brand_name))")}
+  + {_nz("coalesce(e2.encoded, (SELECT g FROM g_cat_sub1))")}
+  + {_nz("coalesce(e3.encoded, (SELECT g FROM g_cat_sub2))")}
+  + {_nz("va.item_condition_id")} + {_nz("va.shipping")} + {_nz("kw.nl")} + {_nz("kw.dl")} + {_true("kw.dl > 0")}
+  + {_nz("kw.kw_excellent")} + {_nz("kw.kw_good")} + {_nz("kw.kw_fair")} + {_nz("kw.kw_poor")}
+  + {_nz("kw.kw_luxury")} + {_nz("kw.kw_budget")}
+  + {_nz("(kw.kw_excellent * 1.0 + kw.kw_good * 0.5) - (kw.kw_fair * 0.5 + kw.kw_poor * 1.0)")}
+  + {_true("kw.kw_excellent + kw.kw_good + kw.kw_fair + kw.kw_poor > 0")} + {_true("kw.kw_luxury > 0")}
+  AS INTEGER) AS n_nonzero
+FROM va
+LEFT JOIN vn ON vn.train_id = va.train_id
+LEFT JOIN kw ON kw.train_id = va.train_id
+LEFT JOIN enc_brand_name e1 ON e1.category = coalesce(va.brand_name, 'unknown')
+LEFT JOIN enc_cat_sub1 e2 ON e2.category = coalesce(va.cat_sub1, 'unknown')
+LEFT JOIN enc_cat_sub2 e3 ON e3.category = coalesce(va.cat_sub2, 'unknown')""")
