@@ -3,11 +3,14 @@
 Randomness is a hash: ``h = md5(key || '|' || seed)``; rows are ordered by
 (h, key). Exact global ranks in that order are computed without a
 single-partition window: rows are bucketed by the first ``digits`` hex
-characters of ``h`` (16**digits buckets, data-independent), ranked inside
-their bucket, and shifted by the number of rows in earlier buckets. The
-bucket-count table has a proven size bound (strata x 16**digits rows), so
-it is broadcast. A stratum or bucket never becomes one task: a stratum that
-holds a third of the rows is still spread over all of its buckets.
+characters of ``h`` (16**digits buckets, data-independent; the digit count
+grows with the row count), and a bucket's rows start at the number of rows
+in earlier buckets. The bucket-count table has a proven size bound
+(strata x 16**digits rows), so it is broadcast. Splits, samples and folds
+only need to know on which side of a cut a row falls: whole buckets are
+labelled from that table, and only the few buckets that straddle a cut are
+sorted. A stratum that holds a third of the rows is still spread over all
+of its buckets.
 """
 
 from __future__ import annotations
@@ -20,6 +23,17 @@ from pyspark.sql import functions as F
 from .. import constants as K
 
 DEFAULT_DIGITS = 3
+ROWS_PER_BUCKET = 500_000
+MAX_DIGITS = 6
+
+
+def digits_for(n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Hex digits of the bucket key so that a bucket holds about
+    ``rows_per_bucket`` rows (at least 16**3 buckets, at most 16**6)."""
+    d = DEFAULT_DIGITS
+    while d < MAX_DIGITS and n_rows > rows_per_bucket * 16 ** d:
+        d += 1
+    return d
 
 
 def hash_col(key: str = "train_id", seed: int = K.SPLIT_SEED):
@@ -27,10 +41,13 @@ def hash_col(key: str = "train_id", seed: int = K.SPLIT_SEED):
 
 
 def ranked(df: DataFrame, key: str = "train_id", seed: int = K.SPLIT_SEED,
-           by: list[str] | None = None, digits: int = DEFAULT_DIGITS,
+           by: list[str] | None = None, digits: int | None = None,
            rank_col: str = "_rank") -> DataFrame:
-    """Add a 0-based rank in (h, key) order, global or within ``by`` groups."""
+    """Add a 0-based rank in (h, key) order, global or within ``by`` groups.
+    Without ``digits`` the bucket count follows the row count (one count)."""
     by = list(by or [])
+    if digits is None:
+        digits = digits_for(df.count())
     h = hash_col(key, seed)
     d = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, digits))
     w = Window.partitionBy(*by, "_b").orderBy("_h", key)
@@ -42,10 +59,49 @@ def ranked(df: DataFrame, key: str = "train_id", seed: int = K.SPLIT_SEED,
     return out.withColumn(rank_col, (F.col("_off") + F.col("_rb")).cast("long")).drop("_h", "_b", "_rb", "_off")
 
 
+def bucket_offsets(df: DataFrame, key: str, seed: int, by: list[str], digits: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with _h/_b, per-(group, bucket) table with _nb rows and _off
+    rows in earlier buckets). The table has at most groups x 16**digits rows."""
+    d = df.withColumn("_h", hash_col(key, seed)).withColumn("_b", F.substring("_h", 1, digits))
+    counts = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_nb"))
+    wo = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return d, counts.withColumn("_off", F.coalesce(F.sum("_nb").over(wo), F.lit(0)))
+
+
+def label_by_rank(df: DataFrame, thresholds: DataFrame | list[int], key: str = "train_id",
+                  seed: int = K.SPLIT_SEED, by: list[str] | None = None, digits: int | None = None,
+                  label_col: str = "_label") -> DataFrame:
+    """label = number of thresholds <= the row's rank in (h, key) order
+    (per ``by`` group; ``thresholds`` is a list, or a DataFrame of
+    (by..., _t array<long>) with one row per group).
+
+    Only rows in a bucket that straddles a threshold are ranked (a window
+    over those few buckets); every other bucket gets its label from the
+    broadcast bucket table, so the bulk of the rows is never shuffled."""
+    by = list(by or [])
+    if digits is None:
+        digits = digits_for(df.count())
+    d, offs = bucket_offsets(df, key, seed, by, digits)
+    if isinstance(thresholds, list):
+        offs = offs.withColumn("_t", F.array(*[F.lit(int(t)).cast("long") for t in thresholds]))
+    else:
+        offs = offs.join(F.broadcast(thresholds), on=by, how="inner")
+    below = lambda x: F.size(F.filter("_t", lambda t: t <= x))
+    offs = (offs.withColumn("_lo", below(F.col("_off")))
+                .withColumn("_hi", below(F.col("_off") + F.col("_nb") - 1)))
+    j = d.join(F.broadcast(offs.select(*by, "_b", "_off", "_t", "_lo", "_hi")), on=[*by, "_b"], how="inner")
+    fast = j.filter(F.col("_lo") == F.col("_hi")).withColumn(label_col, F.col("_lo"))
+    w = Window.partitionBy(*by, "_b").orderBy("_h", key)
+    slow = (j.filter(F.col("_lo") != F.col("_hi"))
+             .withColumn("_r", F.col("_off") + F.row_number().over(w) - 1)
+             .withColumn(label_col, below(F.col("_r"))).drop("_r"))
+    return fast.unionByName(slow).drop("_h", "_b", "_off", "_t", "_lo", "_hi")
+
+
 def exact_sample(df: DataFrame, n: int = K.SAMPLE_SIZE, seed: int = 42, key: str = "train_id") -> DataFrame:
-    """Exactly ``n`` rows without replacement (all rows when n >= count).
-    A filter on the distributed rank: no row cap on a single task."""
-    return ranked(df, key, seed).filter(F.col("_rank") < F.lit(n)).drop("_rank")
+    """Exactly ``n`` rows without replacement (all rows when n >= count):
+    the first n rows in hash order. No row cap on a single task."""
+    return label_by_rank(df, [n], key, seed).filter(F.col("_label") == 0).drop("_label")
 
 
 def stratum_quotas(df: DataFrame, stratify_col: str | None, test_size: float = K.SPLIT_TEST_SIZE) -> DataFrame:
@@ -70,6 +126,7 @@ def train_val_split(df: DataFrame, test_size: float = K.SPLIT_TEST_SIZE, seed: i
                     stratify_col: str | None = "cat_main", key: str = "train_id") -> DataFrame:
     """Add ``split`` = 'train' / 'val' with exact sizes (stratified when the
     column exists; an absent column means unstratified, as in the reference).
+    Within each stratum the first ``quota`` rows in hash order are train.
 
     The strata table is one row per stratum (a handful of main categories),
     so the quota computation runs on a tiny table and is broadcast back.
@@ -79,17 +136,22 @@ def train_val_split(df: DataFrame, test_size: float = K.SPLIT_TEST_SIZE, seed: i
     strat = stratify_col if stratify_col and stratify_col in df.columns else None
     s = F.coalesce(F.col(strat).cast("string"), F.lit("\u0000null")) if strat else F.lit("")
     d = df.withColumn("_s", s)
-    quotas = F.broadcast(stratum_quotas(df, strat, test_size))
-    r = ranked(d, key, seed, by=["_s"])
-    return (r.join(quotas, on="_s", how="inner")
-             .withColumn("split", F.when(F.col("_rank") < F.col("_quota"), F.lit("train")).otherwise(F.lit("val")))
-             .drop("_s", "_rank", "_quota"))
+    quotas = stratum_quotas(df, strat, test_size).select("_s", F.array(F.col("_quota")).alias("_t"))
+    r = label_by_rank(d, quotas, key, seed, by=["_s"])
+    return (r.withColumn("split", F.when(F.col("_label") == 0, F.lit("train")).otherwise(F.lit("val")))
+             .drop("_s", "_label"))
 
 
 def kfold_assign(df: DataFrame, k: int = K.CV_FOLDS, seed: int = K.SPLIT_SEED, key: str = "train_id",
                  fold_col: str = "fold") -> DataFrame:
-    """Shuffled k-fold: fold = global hash rank mod k (sizes differ by <= 1)."""
-    return ranked(df, key, seed).withColumn(fold_col, (F.col("_rank") % k).cast("int")).drop("_rank")
+    """Shuffled k-fold: the hash order cut into k contiguous chunks; the
+    first n mod k folds hold one row more (sizes differ by <= 1)."""
+    n = df.count()
+    q, rem = divmod(n, k)
+    sizes = [q + 1 if i < rem else q for i in range(k)]
+    cuts = [sum(sizes[:i + 1]) for i in range(k - 1)]
+    return (label_by_rank(df, cuts, key, seed, digits=digits_for(n))
+            .withColumn(fold_col, F.col("_label").cast("int")).drop("_label"))
 
 
 def n_test_rows(n: int, test_size: float = K.SPLIT_TEST_SIZE) -> int:

@@ -268,9 +268,12 @@ SELECT train_id, price FROM r WHERE rn <= 10000""")
 register("train_val_split", cleaned_ctes() + split_ctes() + """
 SELECT train_id, cat_main, split FROM split""")
 
-register("kfold_assign", cleaned_ctes() + split_ctes() + """
-SELECT train_id, CAST((row_number() OVER (ORDER BY _h, train_id) - 1) % 5 AS INTEGER) AS fold
-FROM split WHERE split = 'train'""")
+register("kfold_assign", cleaned_ctes() + split_ctes() + """,
+kf AS (SELECT train_id, row_number() OVER (ORDER BY _h, train_id) - 1 AS r, count(*) OVER () AS n
+       FROM split WHERE split = 'train'),
+kq AS (SELECT train_id, r, n // 5 AS q, n % 5 AS rem FROM kf)
+SELECT train_id, CAST(CASE WHEN r < rem * (q + 1) THEN r // (q + 1) ELSE rem + (r - rem * (q + 1)) // q END
+                      AS INTEGER) AS fold FROM kq""")
 
 register("target_summary", cleaned_ctes() + split_ctes() + """
 SELECT min(price) AS price_min, max(price) AS price_max, median(price) AS price_median,
