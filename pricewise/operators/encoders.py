@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -52,17 +52,29 @@ class LabelEncoding:
 
 def fit_label_encoder(df: DataFrame, column: str, unknown_value: int | str = -1) -> LabelEncoding:
     """Sorted distinct values -> 0..k-1. The distinct is a partial+final
-    aggregate; the index is a rank over distinct values only."""
+    aggregate; the index is a distributed dense rank (:func:`sorted_index`)."""
     values = df.select(filled(column).alias("value")).distinct()
-    classes = values.select("value", (F.row_number().over(_global_order("value")) - 1).cast("int").alias("idx"))
-    n = values.count()
+    classes = sorted_index(values, "value")
+    n = classes.count()
     return LabelEncoding(column, classes, n, unknown_value)
 
 
-def _global_order(col: str):
-    from pyspark.sql import Window
-    # Only used over distinct category values (bounded by cardinality).
-    return Window.orderBy(col)
+def sorted_index(values: DataFrame, col: str, idx_col: str = "idx") -> DataFrame:
+    """(col, idx) with idx = 0-based position in ascending order, without a
+    single-partition window.
+
+    The values are range-sorted and tagged with their partition position,
+    then checkpointed into the shared folder, so the partition contents are
+    fixed. Each partition's offset (rows in earlier partitions) comes from a
+    table with one row per partition, which is broadcast."""
+    from ..session import cut_lineage
+    s = cut_lineage(values.orderBy(col).withColumn("_mid", F.monotonically_increasing_id()))
+    part = F.shiftright(F.col("_mid"), 33)
+    counts = s.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)   # one row per partition
+    offs = counts.withColumn("_o", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    return (s.join(F.broadcast(offs), part == F.col("_p"), "inner")
+             .select(col, (F.col("_o") + F.col("_mid") - F.shiftleft(F.col("_p"), 33)).cast("int").alias(idx_col)))
 
 
 # -------------------------------------------------------------- one-hot ----
