@@ -443,8 +443,7 @@ def score_stream(spark, sf_dir):
     base = os.path.join(S.checkpoint_dir(spark), "stream-" + uuid.uuid4().hex[:8])
     src = os.path.join(base, "incoming")
     val.select(*SRC.RAW_COLUMNS, "cat_main", "cat_sub1", "cat_sub2").repartition(4).write.parquet(src)
-    name = "scored_" + uuid.uuid4().hex[:8]
-    return run(spark, r.preprocessor, r.model, src, name, os.path.join(base, "checkpoint"))
+    return run(spark, r.preprocessor, r.model, src, os.path.join(base, "scored"), os.path.join(base, "checkpoint"))
 
 
 @query("feature_nonzeros")
