@@ -1,9 +1,9 @@
 """Table profiles and statistics.
 
 Every statistic is one aggregate pass with partial (map-side) aggregation.
-Exact medians avoid the single-buffer ``percentile`` aggregate: a tight
-approximate bracket is found first, then only the rows inside it are
-ranked (see :func:`exact_median`).
+Exact medians avoid the single-buffer ``percentile`` aggregate: approximate
+brackets narrow the candidates round by round, and only a bounded number of
+values is ever fetched (see :func:`kth_smallest`).
 """
 
 from __future__ import annotations
@@ -45,34 +45,64 @@ def table_profile(df: DataFrame) -> DataFrame:
                        "approx_bytes")
 
 
-def exact_median(df: DataFrame, col: str, accuracy: int = 1_000_000) -> float | None:
-    """Exact median (mean of the two middle values for even counts).
-
-    1. N and an approximate bracket [lo, hi] around the middle ranks
-       (relative rank error 1/accuracy), in one aggregate pass.
-    2. Count rows below ``lo`` and rank only the rows inside the bracket
-       (about 4N/accuracy rows), widening the bracket if needed.
-    """
+def kth_smallest(df: DataFrame, col: str, ranks: list[int], accuracy: int = 10_000,
+                 collect_max: int = 100_000) -> list[float]:
+    """Exact values at 0-based ``ranks`` of a numeric column (nulls and NaN
+    excluded), without sorting the column or holding it in one buffer.
+
+    Each round brackets the wanted ranks with ``percentile_approx`` (rank
+    error about n/accuracy) on the rows still in play, then counts the rows
+    below the bracket, equal to either end and strictly inside. Ranks that
+    fall on an end are answered at once (ties never force a fetch); the rest
+    continue with the strict interior, which shrinks every round (an end is
+    always a data value). Values are fetched only once at most
+    ``collect_max`` rows remain."""
+    v = F.col("v")
+    base = df.select(F.col(col).cast("double").alias("v")).filter(v.isNotNull() & ~F.isnan(v))
+    answers: dict[int, float] = {}
+    pending = sorted(set(ranks))
+    below, sub = 0, base
+    m = sub.count()
+    while pending:
+        if m <= collect_max:
+            vals = [r["v"] for r in sub.orderBy("v").limit(max(pending) - below + 1).collect()]
+            answers.update({k: vals[k - below] for k in pending})
+            break
+        eps = 2.0 / accuracy
+        while True:
+            f_lo = max(0.0, (min(pending) - below) / m - eps)
+            f_hi = min(1.0, (max(pending) - below) / m + eps)
+            q0, q1 = sub.agg(F.percentile_approx("v", [f_lo, f_hi], accuracy).alias("q")).first()["q"]
+            st = sub.agg(F.sum((v < F.lit(q0)).cast("long")).alias("nb"),
+                         F.sum((v == F.lit(q0)).cast("long")).alias("c0"),
+                         F.sum(((v > F.lit(q0)) & (v < F.lit(q1))).cast("long")).alias("cm"),
+                         F.sum(((v == F.lit(q1)) & F.lit(q1 > q0)).cast("long")).alias("c1")).first()
+            nb, c0, cm, c1 = (int(st[x] or 0) for x in ("nb", "c0", "cm", "c1"))
+            if below + nb <= min(pending) and max(pending) < below + nb + c0 + cm + c1:
+                break
+            eps *= 4                         # the bracket missed: widen and retry
+        rest = []
+        for k in pending:
+            r = k - below - nb
+            if r < c0:
+                answers[k] = q0
+            elif r >= c0 + cm:
+                answers[k] = q1
+            else:
+                rest.append(k)
+        pending, below, m = rest, below + nb + c0, cm
+        sub = base.filter((v > F.lit(q0)) & (v < F.lit(q1)))
+    return [answers[k] for k in ranks]
+
+
+def exact_median(df: DataFrame, col: str, accuracy: int = 10_000, collect_max: int = 100_000) -> float | None:
+    """Exact median (mean of the two middle values for even counts)."""
     v = F.col(col)
-    base = df.select(v.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    n = base.count()
+    n = df.filter(v.isNotNull() & ~F.isnan(v.cast("double"))).count()
     if n == 0:
         return None
-    k1, k2 = (n - 1) // 2, n // 2          # 0-based middle ranks
-    eps = 2.0 / accuracy
-    while True:
-        lo_q, hi_q = max(0.0, 0.5 - 2 * eps), min(1.0, 0.5 + 2 * eps)
-        qs = base.agg(F.percentile_approx("v", [lo_q, hi_q], accuracy).alias("q")).first()["q"]
-        lo, hi = (float("-inf"), float("inf")) if eps >= 0.25 else (qs[0], qs[1])
-        stats = base.agg(F.sum((F.col("v") < F.lit(lo)).cast("long")).alias("below"),
-                         F.sum(((F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi))).cast("long")).alias("mid")).first()
-        below, mid = int(stats["below"] or 0), int(stats["mid"] or 0)
-        if below <= k1 and k2 < below + mid:
-            vals = (base.filter((F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi)))
-                        .orderBy("v").limit(k2 - below + 1).select("v").collect())
-            a, b = vals[k1 - below]["v"], vals[k2 - below]["v"]
-            return (a + b) / 2.0
-        eps *= 8
+    a, b = kth_smallest(df, col, [(n - 1) // 2, n // 2], accuracy, collect_max)
+    return (a + b) / 2.0
 
 
 def clean_stats(df: DataFrame) -> DataFrame:

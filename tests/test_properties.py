@@ -59,6 +59,12 @@ def test_exact_sample(cleaned):
 def test_exact_median(spark, cleaned):
     prices = np.array([r.price for r in cleaned.select("price").collect()])
     assert PR.exact_median(cleaned, "price", accuracy=100) == pytest.approx(float(np.median(prices)), abs=1e-12)
+    # force the bracketing rounds: tiny collect limit, coarse sketches
+    assert PR.exact_median(cleaned, "price", accuracy=50, collect_max=20) == pytest.approx(float(np.median(prices)), abs=1e-12)
+    ks = [0, 7, len(prices) // 3, len(prices) - 1]
+    assert PR.kth_smallest(cleaned, "price", ks, accuracy=50, collect_max=20) == [float(x) for x in np.sort(prices)[ks]]
+    ties = spark.createDataFrame([(float(x % 3),) for x in range(1000)], "v double")
+    assert PR.exact_median(ties, "v", accuracy=50, collect_max=10) == 1.0
     odd = spark.createDataFrame([(float(x),) for x in [5, 1, 3]], "v double")
     assert PR.exact_median(odd, "v") == 3.0
 
