@@ -1,9 +1,9 @@
 """TF-IDF over listing text: tokens, 1-2-grams, vocabulary and weights.
 
 Tokenising is per row in the JVM (regex extraction, Spark ML
-``StopWordsRemover`` and ``NGram``). The vocabulary comes from two
-aggregates with map-side partial aggregation: per (row, term), which drops
-repeats inside a row before the shuffle, then per term. The kept vocabulary has at most ``max_features`` rows,
+``StopWordsRemover`` and ``NGram``). The vocabulary is one aggregate by
+term over occurrences and per-row distinct terms, with map-side partial
+aggregation, so only per-partition partial counts are shuffled. The kept vocabulary has at most ``max_features`` rows,
 which is the bound that lets it be broadcast.
 
 Weights: (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), L2-normalised per row;
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import NGram, StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,18 +46,18 @@ class Vocabulary:
         return [r["idf"] for r in self.table.orderBy("idx").select("idf").collect()]
 
 
-def term_statistics(terms: DataFrame, key: str = "train_id") -> DataFrame:
-    """(term, df, tf_total) over all rows.
-
-    Occurrences are counted per (row, term) first: all of a row's terms sit
-    in one partition, so the map-side partial aggregate already removes the
-    repeats inside each row and only distinct pairs are shuffled. The second
-    aggregate by term is again combined map-side (a term present in every
-    row is reduced to one partial count per partition)."""
-    pairs = (terms.select(key, F.explode("terms").alias("term"))
-                  .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
-    return pairs.groupBy("term").agg(F.count(F.lit(1)).cast("long").alias("df"),
-                                     F.sum("tf").cast("long").alias("tf_total"))
+def term_statistics(terms: DataFrame) -> DataFrame:
+    """(term, df, tf_total) over all rows in one aggregate by term:
+    occurrences give the term frequency, each row's distinct terms give the
+    document frequency. Map-side partial aggregation combines every term
+    inside each partition (a term present in every row becomes one partial
+    count per partition), so only per-partition partial counts are
+    shuffled, never (row, term) pairs."""
+    occ = terms.select(F.explode("terms").alias("term"), F.lit(1).alias("_tf"), F.lit(0).alias("_df"))
+    per_doc = terms.select(F.explode(F.array_distinct("terms")).alias("term"), F.lit(0).alias("_tf"),
+                           F.lit(1).alias("_df"))
+    return (occ.unionByName(per_doc).groupBy("term")
+               .agg(F.sum("_df").cast("long").alias("df"), F.sum("_tf").cast("long").alias("tf_total")))
 
 
 def fit_vocabulary(terms: DataFrame, max_features: int | None = K.TFIDF_MAX_FEATURES,
@@ -65,10 +66,13 @@ def fit_vocabulary(terms: DataFrame, max_features: int | None = K.TFIDF_MAX_FEAT
     """Keep min_df <= df <= max_df (a float bound is a fraction of the
     rows), then the ``max_features`` most frequent terms (ties by term);
     index terms alphabetically."""
-    n_docs = terms.count()
+    # The terms feed two explodes and a count: persist them once (memory,
+    # spilling to disk; lost blocks are recomputed from the lineage).
+    tc = terms.persist(StorageLevel.MEMORY_AND_DISK)
+    n_docs = tc.count()
     lo = min_df if isinstance(min_df, int) else min_df * n_docs
     hi = max_df if isinstance(max_df, int) else max_df * n_docs
-    kept = term_statistics(terms, key).filter((F.col("df") >= F.lit(lo)) & (F.col("df") <= F.lit(hi)))
+    kept = term_statistics(tc).filter((F.col("df") >= F.lit(lo)) & (F.col("df") <= F.lit(hi)))
     if max_features is not None:
         kept = kept.orderBy(F.desc("tf_total"), F.asc("term")).limit(int(max_features))
     # The alphabetical index is a rank over at most max_features rows.
@@ -77,6 +81,7 @@ def fit_vocabulary(terms: DataFrame, max_features: int | None = K.TFIDF_MAX_FEAT
         (F.log((F.lit(1.0) + F.lit(float(n_docs))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
     table = table.cache()
     size = table.count()
+    tc.unpersist()
     return Vocabulary(table, n_docs, size)
 
 
