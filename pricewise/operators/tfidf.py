@@ -79,7 +79,11 @@ def fit_vocabulary(terms: DataFrame, max_features: int | None = K.TFIDF_MAX_FEAT
     table = kept.select(
         "term", (F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("idx"), "df", "tf_total",
         (F.log((F.lit(1.0) + F.lit(float(n_docs))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
-    table = table.cache()
+    # Written as a small table (<= max_features rows) before the terms are
+    # released: a cache built on the persisted terms would be invalidated by
+    # their unpersist and silently recomputed.
+    from ..session import materialize
+    table = materialize(table, "vocabulary")
     size = table.count()
     tc.unpersist()
     return Vocabulary(table, n_docs, size)

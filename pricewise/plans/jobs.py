@@ -1,10 +1,10 @@
 """End-to-end jobs: the ETL run and the training run.
 
 Both are a single Spark application: one lazy plan per step, actions only
-where a fitted state or a metric is needed. Intermediate frames that feed
-iterative optimisers are written to the shared checkpoint folder
-(``cut_lineage``), so a lost executor re-reads them instead of recomputing
-the text pipeline.
+where a fitted state or a metric is needed. Frames read several times (the
+split listings, the feature vectors fed to iterative optimisers) are written
+as Parquet tables in the shared checkpoint folder (``materialize``), so a
+lost executor re-reads them instead of recomputing the text pipeline.
 """
 
 from __future__ import annotations
@@ -76,7 +76,7 @@ def prepare(spark: SparkSession, sf_dir: str, cfg: TrainConfig):
     """Clean, split (stratified by cat_main), add label = log1p(price)."""
     cleaned = CL.clean_listings(SRC.listings(spark, sf_dir))
     split = SP.train_val_split(cleaned, cfg.test_size, cfg.seed, "cat_main").withColumn("label", F.log1p("price"))
-    split = S.cut_lineage(split)
+    split = S.materialize(split, "split")
     return split.filter(F.col("split") == "train"), split.filter(F.col("split") == "val")
 
 
@@ -92,8 +92,8 @@ def train_pipeline(spark: SparkSession, sf_dir: str, cfg: TrainConfig | None = N
         raise ValueError(f"unknown model type: {cfg.model_type}")
     train, val = prepare(spark, sf_dir, cfg)
     pre = FE.ListingPreprocessor(tfidf_max_features=cfg.tfidf_max_features).fit(train)
-    xtr = S.cut_lineage(pre.transform(train, keep=["label", "price"]))
-    xva = S.cut_lineage(pre.transform(val, keep=["label", "price"]))
+    xtr = S.materialize(pre.transform(train, keep=["label", "price"]), "features-train")
+    xva = S.materialize(pre.transform(val, keep=["label", "price"]), "features-val")
     metrics: dict = {"model_type": cfg.model_type, "n_features": pre.n_features}
     if cfg.model_type == "ridge":
         model = M.train_ridge(xtr, cfg.alpha)

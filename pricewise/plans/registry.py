@@ -266,7 +266,11 @@ def taxonomy_conformity(spark, sf_dir):
 # ----------------------------------------------------------- encoders ------
 
 def split_frames(spark, sf_dir):
-    s = split_listings(spark, sf_dir).withColumn("label", F.log1p("price"))
+    """Train and validation listings with label = log1p(price). The split is
+    read by several passes (fits, transforms, counts), so it is written once
+    as a Parquet table in the shared checkpoint folder."""
+    from ..session import materialize
+    s = materialize(split_listings(spark, sf_dir).withColumn("label", F.log1p("price")), "split")
     return s.filter(F.col("split") == "train"), s.filter(F.col("split") == "val")
 
 

@@ -76,3 +76,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     executors; never a local checkpoint)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table under the shared checkpoint folder and
+    read it back: cuts the lineage like a checkpoint, but stays columnar and
+    compressed, so later reads prune columns and push filters down."""
+    import uuid
+    path = os.path.join(checkpoint_dir(df.sparkSession), "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
