@@ -1,10 +1,12 @@
 """End-to-end jobs: the ETL run and the training run.
 
 Both are a single Spark application: one lazy plan per step, actions only
-where a fitted state or a metric is needed. Frames read several times (the
-split listings, the feature vectors fed to iterative optimisers) are written
-as Parquet tables in the shared checkpoint folder (``materialize``), so a
-lost executor re-reads them instead of recomputing the text pipeline.
+where a fitted state or a metric is needed. Frames read several times are
+written once to the shared checkpoint folder, so a lost executor re-reads
+them instead of recomputing the text pipeline: the split listings as a
+Parquet table (``materialize``: later fits read only the columns they need),
+the feature vectors fed to iterative optimisers as reliable checkpoints
+(``cut_lineage``).
 """
 
 from __future__ import annotations
@@ -92,8 +94,8 @@ def train_pipeline(spark: SparkSession, sf_dir: str, cfg: TrainConfig | None = N
         raise ValueError(f"unknown model type: {cfg.model_type}")
     train, val = prepare(spark, sf_dir, cfg)
     pre = FE.ListingPreprocessor(tfidf_max_features=cfg.tfidf_max_features).fit(train)
-    xtr = S.materialize(pre.transform(train, keep=["label", "price"]), "features-train")
-    xva = S.materialize(pre.transform(val, keep=["label", "price"]), "features-val")
+    xtr = S.cut_lineage(pre.transform(train, keep=["label", "price"]))
+    xva = S.cut_lineage(pre.transform(val, keep=["label", "price"]))
     metrics: dict = {"model_type": cfg.model_type, "n_features": pre.n_features}
     if cfg.model_type == "ridge":
         model = M.train_ridge(xtr, cfg.alpha)

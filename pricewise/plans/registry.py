@@ -267,8 +267,9 @@ def taxonomy_conformity(spark, sf_dir):
 
 def split_frames(spark, sf_dir):
     """Train and validation listings with label = log1p(price). The split is
-    read by several passes (fits, transforms, counts), so it is written once
-    as a Parquet table in the shared checkpoint folder."""
+    read by several passes (fits, transforms, counts) that each need a few
+    columns, so it is written once as a Parquet table in the shared
+    checkpoint folder (column pruning on every re-read)."""
     from ..session import materialize
     s = materialize(split_listings(spark, sf_dir).withColumn("label", F.log1p("price")), "split")
     return s.filter(F.col("split") == "train"), s.filter(F.col("split") == "val")
