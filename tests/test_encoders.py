@@ -48,3 +48,17 @@ def test_unknown_values(spark):
     data = spark.createDataFrame([("a",), ("x",), (None,)], "c string")
     fitted = spark.createDataFrame([("a",), ("unknown",)], "value string")
     assert EN.unknown_values(data, "c", fitted).first().n_unknown == 1
+
+
+def test_sorted_index_across_partitions(spark):
+    import random
+    vals = [f"v{i:05d}" for i in range(3000)]
+    random.Random(3).shuffle(vals)
+    df = spark.createDataFrame([(v,) for v in vals], "value string").repartition(7)
+    prev = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.value: r.idx for r in EN.sorted_index(df, "value").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", prev)
+    assert got == {v: i for i, v in enumerate(sorted(vals))}
