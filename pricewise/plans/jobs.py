@@ -22,7 +22,6 @@ from .. import session as S
 from ..operators import cleaning as CL
 from ..operators import features as FE
 from ..operators import models as M
-from ..operators import profiling as PR
 from ..operators import sampling as SP
 from ..sources import listings as SRC
 
