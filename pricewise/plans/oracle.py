@@ -184,7 +184,7 @@ register("table_profile", _profile_sql())
 
 register("clean_stats", cleaned_ctes() + """
 SELECT count(*) AS n_rows, CAST(15 AS BIGINT) AS n_cols, min(price) AS price_min, max(price) AS price_max,
-  round(avg(price), 6) AS price_mean, median(price) AS price_median,
+  round(avg(price), 6) AS price_mean, round(median(price), 6) AS price_median,
   count(DISTINCT cat_main) AS n_categories_main, count(DISTINCT brand_name) AS n_brands,
   round(avg(CASE WHEN brand_name = 'unknown' THEN 1.0 ELSE 0.0 END) * 100.0, 6) AS pct_unknown_brand,
   round(avg(name_len), 6) AS avg_name_len, round(avg(desc_len), 6) AS avg_desc_len
@@ -276,7 +276,7 @@ SELECT train_id, CAST(CASE WHEN r < rem * (q + 1) THEN r // (q + 1) ELSE rem + (
                       AS INTEGER) AS fold FROM kq""")
 
 register("target_summary", cleaned_ctes() + split_ctes() + """
-SELECT min(price) AS price_min, max(price) AS price_max, median(price) AS price_median,
+SELECT min(price) AS price_min, max(price) AS price_max, round(median(price), 6) AS price_median,
   round(min(ln(1 + price)), 6) AS log_price_min, round(max(ln(1 + price)), 6) AS log_price_max
 FROM split WHERE split = 'train'""")
 

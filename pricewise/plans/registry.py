@@ -117,7 +117,7 @@ def table_profile(spark, sf_dir):
 def clean_stats(spark, sf_dir):
     s = PR.clean_stats(cleaned(spark, sf_dir))
     return s.select("n_rows", "n_cols", "price_min", "price_max", F.round("price_mean", 6).alias("price_mean"),
-                    "price_median", "n_categories_main", "n_brands",
+                    F.round("price_median", 6).alias("price_median"), "n_categories_main", "n_brands",
                     F.round("pct_unknown_brand", 6).alias("pct_unknown_brand"),
                     F.round("avg_name_len", 6).alias("avg_name_len"), F.round("avg_desc_len", 6).alias("avg_desc_len"))
 
@@ -181,7 +181,7 @@ def kfold_assign(spark, sf_dir):
 def target_summary(spark, sf_dir):
     train = split_listings(spark, sf_dir).filter(F.col("split") == "train")
     s = PR.target_summary(train)
-    return s.select("price_min", "price_max", "price_median",
+    return s.select("price_min", "price_max", F.round("price_median", 6).alias("price_median"),
                     F.round("log_price_min", 6).alias("log_price_min"), F.round("log_price_max", 6).alias("log_price_max"))
 
 
