@@ -9,7 +9,7 @@ in earlier buckets. The bucket-count table has a proven size bound
 (strata x 16**digits rows), so it is broadcast. Splits, samples and folds
 only need to know on which side of a cut a row falls: whole buckets are
 labelled from that table, and only the few buckets that straddle a cut are
-sorted. A stratum that holds a third of the rows is still spread over all
+sorted, on a narrow key projection whose labels are broadcast back. A stratum that holds a third of the rows is still spread over all
 of its buckets.
 """
 
@@ -75,9 +75,11 @@ def label_by_rank(df: DataFrame, thresholds: DataFrame | list[int], key: str = "
     (per ``by`` group; ``thresholds`` is a list, or a DataFrame of
     (by..., _t array<long>) with one row per group).
 
-    Only rows in a bucket that straddles a threshold are ranked (a window
-    over those few buckets); every other bucket gets its label from the
-    broadcast bucket table, so the bulk of the rows is never shuffled."""
+    Whole buckets get their label from the broadcast bucket table. Only the
+    rows of buckets that straddle a threshold are ranked, on a narrow
+    (key, group, hash) projection; their labels (at most about
+    ROWS_PER_BUCKET rows per threshold) are broadcast back. The full rows are
+    read once and never shuffled."""
     by = list(by or [])
     if digits is None:
         digits = digits_for(df.count())
@@ -88,14 +90,21 @@ def label_by_rank(df: DataFrame, thresholds: DataFrame | list[int], key: str = "
         offs = offs.join(F.broadcast(thresholds), on=by, how="inner")
     below = lambda x: F.size(F.filter("_t", lambda t: t <= x))
     offs = (offs.withColumn("_lo", below(F.col("_off")))
-                .withColumn("_hi", below(F.col("_off") + F.col("_nb") - 1)))
-    j = d.join(F.broadcast(offs.select(*by, "_b", "_off", "_t", "_lo", "_hi")), on=[*by, "_b"], how="inner")
-    fast = j.filter(F.col("_lo") == F.col("_hi")).withColumn(label_col, F.col("_lo"))
+                .withColumn("_hi", below(F.col("_off") + F.col("_nb") - 1))
+                .select(*by, "_b", "_off", "_t", "_lo", "_hi"))
     w = Window.partitionBy(*by, "_b").orderBy("_h", key)
-    slow = (j.filter(F.col("_lo") != F.col("_hi"))
-             .withColumn("_r", F.col("_off") + F.row_number().over(w) - 1)
-             .withColumn(label_col, below(F.col("_r"))).drop("_r"))
-    return fast.unionByName(slow).drop("_h", "_b", "_off", "_t", "_lo", "_hi")
+    boundary = (d.select(key, *by, "_h", "_b")
+                 .join(F.broadcast(offs.filter(F.col("_lo") != F.col("_hi"))), on=[*by, "_b"], how="inner")
+                 .withColumn("_r", F.col("_off") + F.row_number().over(w) - 1)
+                 .select(F.col(key).alias("_bk"), *[F.col(c).alias(f"_bk_{c}") for c in by],
+                         below(F.col("_r")).alias("_bl")))
+    cond = F.col(key) == F.col("_bk")
+    for c in by:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_bk_{c}"))
+    j = (d.join(F.broadcast(offs.select(*by, "_b", "_lo", "_hi")), on=[*by, "_b"], how="inner")
+          .join(F.broadcast(boundary), cond, "left"))
+    return (j.withColumn(label_col, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.col("_bl")))
+             .drop("_h", "_b", "_lo", "_hi", "_bk", "_bl", *[f"_bk_{c}" for c in by]))
 
 
 def exact_sample(df: DataFrame, n: int = K.SAMPLE_SIZE, seed: int = 42, key: str = "train_id") -> DataFrame:
