@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pricewise.llm import quality_rules
+from pricewise.llm import decontaminate, quality_rules
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op7_quality_rules": quality_rules.op7_quality_rules,
 }
 
 ORACLE = {
+    "op1_decontaminate": decontaminate.OP1_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
 }
