@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pricewise.llm import decontaminate, quality_rules
+from pricewise.llm import decontaminate, near_dup, quality_rules, url_filter, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op3_url_filter": url_filter.op3_url_filter,
+    "op5_warc": warc.op5_warc,
+    "op6_near_dup": near_dup.op6_near_dup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
 }
 
 ORACLE = {
     "op1_decontaminate": decontaminate.OP1_SQL,
+    "op3_url_filter": url_filter.OP3_SQL,
+    "op5_warc": warc.OP5_SQL,
+    "op6_near_dup": near_dup.OP6_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
 }
