@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pricewise.llm import decontaminate, near_dup, quality_rules, url_filter, warc
+from pricewise.llm import decontaminate, near_dup, quality_rules, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_warc": warc.op5_warc,
     "op6_near_dup": near_dup.op6_near_dup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
@@ -15,6 +16,7 @@ QUERIES = {
 ORACLE = {
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op3_url_filter": url_filter.OP3_SQL,
+    "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
     "op6_near_dup": near_dup.OP6_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
