@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pricewise.llm import decontaminate, near_dup, quality_rules, substring_dedup, url_filter, warc
+from pricewise.llm import decontaminate, near_dup, quality_rules, rule_ensemble, secrets, sentencepiece_codec, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_rule_ensemble": rule_ensemble.op2_rule_ensemble,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_warc": warc.op5_warc,
     "op6_near_dup": near_dup.op6_near_dup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op9_secrets": secrets.op9_secrets,
+    "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
 }
 
 ORACLE = {
