@@ -201,9 +201,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
-    """The rows whose document is the smallest of its component, all columns."""
-    found = near_duplicates(docs, key, text, k).filter("id <> component").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(found, docs[key] == found["__gone"], "left_anti")
+    """One row of each component, that with the smallest id, with all columns.
+
+    Repeated rows count once; rows without an id cannot be named and stay."""
+    found = written(near_duplicates(docs, key, text, k), "near-duplicates")
+    named = found.filter("id IS NOT NULL")
+    if named.groupBy("id").count().filter("count > 1").limit(1).count():
+        docs = docs.dropDuplicates()
+    gone = named.filter("id <> component").select(F.col("id").alias("__gone")).distinct()
+    return docs.join(gone, docs[key] == gone["__gone"], "left_anti")
 
 
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

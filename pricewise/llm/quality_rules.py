@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pricewise.llm.common import read, sql_words
+from pricewise.llm.common import let, read, sql_words
 
 #: Rows of the sample on which cost and rejected share are estimated.
 SAMPLE_ROWS = 2000
@@ -31,15 +31,6 @@ WORD_CHARS = (2, 20)
 SHOUT_PERCENT = 50
 
 
-def n_words(text: Column) -> Column:
-    return F.size(sql_words(text)).cast("long")
-
-
-def word_chars(text: Column) -> Column:
-    """Code points inside words."""
-    return F.length(F.array_join(sql_words(text), "")).cast("long")
-
-
 def n_symbols(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[#*$%&|<>]")).cast("long")
 
@@ -55,7 +46,7 @@ def n_lines(text: Column) -> Column:
 
 def n_dup_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
-    return F.element_at(F.transform(F.array(_lines(text)), lambda x: F.size(x) - F.size(F.array_distinct(x))), 1).cast("long")
+    return let(_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
 def n_shouted(text: Column) -> Column:
@@ -74,26 +65,26 @@ def _repeat_positions(tri: Column) -> Column:
                        lambda k: F.when(k > 0, same(k, k - 1)).otherwise(False) | F.when(k < F.size(p) - 1, same(k, k + 1)).otherwise(False))
         return F.array_sort(F.transform(hit, lambda k: p[k]["i"]))
 
-    return F.element_at(F.transform(F.array(pairs), kept), 1)
+    return let(pairs, kept)
 
 
-def with_repeat_words(df: DataFrame, words: str, out: str, size: int = 3) -> DataFrame:
+def n_repeat_words(words: Column, size: int = 3) -> Column:
     """Words inside ``size``-word windows that occur twice or more in the text.
 
-    The window hashes are one array column; texts in which they are all
-    distinct stop there, the others sort (hash, start) pairs: n log n in the
-    length of a text. The coverage is a running sum over the sorted starts."""
-    h, tri, pos = f"__{out}_h", f"__{out}_t", f"__{out}_p"
-    n = F.size(words)
-    df = df.withColumn(h, F.transform(F.col(words), lambda w: F.xxhash64(w)))
-    df = df.withColumn(tri, F.when(n < size, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.col(h)[i + j] for j in range(size)]))))
-    df = df.withColumn(pos, F.when(F.size(F.array_distinct(tri)) < F.size(tri), _repeat_positions(F.col(tri)))
-                       .otherwise(F.array().cast("array<int>")))
-    start = F.struct(F.lit(-size).alias("last"), F.lit(0).alias("covered"))
-    covered = F.aggregate(pos, start, lambda a, p: F.struct(p.alias("last"), (a["covered"] + F.least(F.lit(size), p - a["last"])).alias("covered")),
-                          lambda a: a["covered"])
-    return df.withColumn(out, covered.cast("long")).drop(h, tri, pos)
+    Texts whose window hashes are all distinct stop there, the others sort
+    (hash, start) pairs: n log n in the length of a text. The coverage is a
+    running sum over the sorted starts. Every array is a lambda variable, so it
+    is computed once wherever the optimizer moves the expression."""
+    def windows(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: F.xxhash64(*[h[i + j] for j in range(size)]))
+
+    def covered(tri: Column) -> Column:
+        pos = F.when(F.size(F.array_distinct(tri)) < F.size(tri), _repeat_positions(tri)).otherwise(F.array().cast("array<int>"))
+        start = F.struct(F.lit(-size).alias("last"), F.lit(0).alias("covered"))
+        return F.aggregate(pos, start, lambda a, p: F.struct(p.alias("last"), (a["covered"] + F.least(F.lit(size), p - a["last"])).alias("covered")), lambda a: a["covered"])
+
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return let(hashes, lambda h: F.when(F.size(h) < size, F.lit(0)).otherwise(let(windows(h), covered))).cast("long")
 
 
 @dataclass(frozen=True)
@@ -120,13 +111,12 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 
 def measured(df: DataFrame, text: str = "text", wanted: tuple[str, ...] = MEASURES) -> DataFrame:
     """``df`` with the wanted measures in the struct ``__m``."""
-    plain = {"word_chars": word_chars, "n_symbols": n_symbols, "n_lines": n_lines, "n_dup_lines": n_dup_lines, "n_shouted": n_shouted}
+    plain = {"n_symbols": n_symbols, "n_lines": n_lines, "n_dup_lines": n_dup_lines, "n_shouted": n_shouted}
     df = df.withColumn("__w", sql_words(F.col(text)))
-    if "n_repeat_words" in wanted:
-        df = with_repeat_words(df, "__w", "__repeat")
-    value = {"n_words": F.size("__w").cast("long"), "word_chars": F.length(F.array_join("__w", "")).cast("long"), "n_repeat_words": F.col("__repeat") if "n_repeat_words" in wanted else None}
+    w = F.col("__w")
+    value = {"n_words": F.size(w).cast("long"), "word_chars": F.length(F.array_join(w, "")).cast("long"), "n_repeat_words": n_repeat_words(w)}
     fields = [(value[m] if m in value else plain[m](F.col(text))).alias(m) for m in wanted]
-    return df.withColumn("__m", F.struct(*fields)).drop("__w", "__repeat")
+    return df.withColumn("__m", F.struct(*fields)).drop("__w")
 
 
 def _condition(rule: Rule, m: str = "__m") -> Column:

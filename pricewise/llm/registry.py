@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pricewise.llm import decontaminate, near_dup, quality_rules, rule_ensemble, secrets, sentencepiece_codec, substring_dedup, url_filter, warc
+from pricewise.llm import decontaminate, maxent_lm, near_dup, quality_rules, rule_ensemble, secrets, sentencepiece_codec, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_near_dup": near_dup.op6_near_dup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_maxent_lm": maxent_lm.op8_maxent_lm,
     "op9_secrets": secrets.op9_secrets,
     "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
 }
