@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pricewise.llm.bloom import may_hold
 from pricewise.llm.common import WordHasher, byte_texts, mix, read, shingle_hashes, small_batches, written
 
 SHINGLE = 4
@@ -159,7 +160,8 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, k: int) -
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingle_set(hasher, t, k).view(np.int64) for t in byte_texts(b.column("t"))], pa.list_(pa.int64()))], names=["id", "s"])
 
     kind = docs.schema[key].dataType.simpleString()
-    some = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi")
+    # A filter of bounded size keeps most other texts out of the join's shuffle.
+    some = may_hold(docs.select(F.col(key).alias("id"), F.col(text).alias("t")), "id", ids, "__maybe").filter("__maybe").drop("__maybe").join(ids, "id", "left_semi")
     return some.mapInArrow(run, f"id {kind}, s array<long>")
 
 
@@ -175,7 +177,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     members = written(members.select("bucket", "u", "n").join(weight, "u"), "bucket-members")
 
     pairs = written(star_edges(members.withColumn("part", F.col("u"))), "pairs")
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("hub")).distinct()
+    ids = written(pairs.select(F.col("u").alias("id")).union(pairs.select("hub")).distinct(), "pair-ids")
     sets = written(shingle_sets(docs, ids, key, text, k).dropDuplicates(["id"]), "shingle-sets")
     links = written(confirmed(pairs, sets), "links")
     found = components(links)

@@ -24,11 +24,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from pricewise.llm.bloom import MAX_BITS, bit_set, passes
 from pricewise.llm.common import ASCII_LOWER, ASCII_UPPER, read, written
 
-#: Largest bit set that is sent to the executors (8 MB).
-MAX_BITS = 1 << 26
-
 #: (verdict, host, path); the rule's name is host + path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
@@ -53,10 +51,6 @@ def suffixes(host: Column) -> Column:
         F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), ".")))
 
 
-def _positions(key: Column, bits: int, hashes: int, level: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(level * 64 + j)), F.lit(bits)) for j in range(hashes)]
-
-
 @dataclass
 class Cascade:
     """Levels as (one-row table of words, bits, number of hashes)."""
@@ -71,11 +65,7 @@ class Cascade:
 
     def _passes(self, key: Column, i: int) -> Column:
         _, bits, hashes = self.levels[i]
-        words, found = F.col(f"__level{i}"), F.lit(True)
-        for p in _positions(key, bits, hashes, i):
-            word = F.get(words, F.floor(p / 64).cast("int"))
-            found = found & (F.getbit(word, F.pmod(p, F.lit(64)).cast("int")) == 1)
-        return found
+        return passes(F.col(f"__level{i}"), key, bits, hashes, i)
 
     def contains(self, key: Column) -> Column:
         out = F.lit(len(self.levels) % 2 == 1)
@@ -84,16 +74,6 @@ class Cascade:
         return out
 
 
-def _bit_set(keys: DataFrame, bits: int, hashes: int, level: int) -> DataFrame:
-    """One row with the array of words."""
-    spark = keys.sparkSession
-    at = keys.select(F.explode(F.array(*_positions(F.col("key"), bits, hashes, level))).alias("p"))
-    some = at.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("b"))
-    every = spark.range(bits // 64).withColumnRenamed("id", "w").join(some, "w", "left")
-    pairs = every.agg(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("long")).alias("b")))).alias("a"))
-    return pairs.select(F.transform("a", lambda x: x["b"]).alias("words"))
-
-
 def cascade(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS) -> Cascade:
     """The cascade of the distinct, non-null values of column ``key``.
 
@@ -112,7 +92,7 @@ def cascade(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS) ->
         bits = max(64, -(-int(n * hashes / math.log(2)) // 64) * 64)
         if bits > max_bits:
             return Cascade(exact=yes)
-        out.levels.append((written(_bit_set(keys, bits, hashes, level), f"url-level{level}"), bits, hashes))
+        out.levels.append((written(bit_set(keys, bits, hashes, level), f"url-level{level}"), bits, hashes))
         # What the new level lets through by mistake is what the next one encodes.
         one = Cascade(out.levels)
         wrong = written(one.with_filters(other).filter(one._passes(F.col("key"), level)).select("key"), f"url-wrong{level}")
