@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import posixpath
 import re
 import uuid
@@ -34,7 +35,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     back: later steps neither recompute it nor depend on its executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete written tables whose readers have been written themselves, and let
+    Spark drop the shuffle files of plans that nothing refers to any more
+    (otherwise they stay until the driver happens to collect its garbage)."""
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -109,14 +123,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every run of ``k`` word hashes, in order; with fewer words (but
-    not none) the whole sequence is one run."""
+    """Hash of every run of ``k`` (at most 64) word hashes, in order; with fewer
+    words (but not none) the whole sequence is one run."""
     n = len(words)
     if not n:
         return words
     k = min(k, n)
-    h = np.zeros(n - k + 1, np.uint64)
-    for j in range(k):
-        h = mix(h * np.uint64(0xD6E8FEB86659FD93) + words[j : n - k + 1 + j])
-    return h
+    h = words[: n - k + 1] * _FACTORS[0]
+    for j in range(1, k):
+        h += words[j : n - k + 1 + j] * _FACTORS[j]
+    return mix(h)
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every run of ``width`` values."""
+    size = 1
+    while 2 * size <= width:
+        x, size = np.minimum(x[:-size], x[size:]), 2 * size
+    return np.minimum(x[: len(x) - (width - size)], x[width - size :])

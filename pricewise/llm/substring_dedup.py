@@ -39,7 +39,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricewise.llm.common import WordHasher, byte_texts, mix, read, shingle_hashes, small_batches, written
+from pricewise.llm.bloom import may_hold
+from pricewise.llm.common import WordHasher, byte_texts, read, release, shingle_hashes, sliding_min, small_batches, written
 
 WINDOW = 13
 GRAM = 4
@@ -101,67 +102,90 @@ class SuffixAutomaton:
 
 
 def window_anchors(words: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, last window) of every run of windows with one anchor place."""
+    """(anchor, first window, last window) of every run of windows with one anchor."""
     if len(words) < window:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    g = mix(shingle_hashes(words, gram))
-    at = np.lib.stride_tricks.sliding_window_view(g, window - gram + 1).argmin(axis=1) + np.arange(len(words) - window + 1)
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    return g[at[first]], first, np.append(first[1:], len(at)) - 1
+    least = sliding_min(shingle_hashes(words, gram), window - gram + 1)
+    first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    return least[first], first, np.append(first[1:], len(least)) - 1
 
 
-def anchors(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Distinct (id, anchor) of every document."""
+def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, same, anchors) of every document with a window: the digest of its word
+    sequence and its distinct anchors."""
+    import xxhash
     small_batches(docs.sparkSession)
 
     def run(batches):
         hasher = WordHasher()
         for b in batches:
-            found = [np.unique(window_anchors(hasher.spans(t)[0])[0]) for t in byte_texts(b.column("t"))]
-            rows = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-            yield pa.RecordBatch.from_arrays([b.column("id").take(rows), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["id", "anchor"])
+            rows, same, found = [], [], []
+            for k, t in enumerate(byte_texts(b.column("t"))):
+                words = hasher.spans(t)[0]
+                if len(words) >= WINDOW:
+                    rows.append(k)
+                    same.append(xxhash.xxh3_128_digest(words.tobytes()))
+                    found.append(np.unique(window_anchors(words)[0]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(rows, pa.int64())), pa.array(same, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["id", "same", "anchors"])
 
     kind = docs.schema[key].dataType.simpleString()
     return (docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t"))
-            .mapInArrow(run, f"id {kind}, anchor long"))
+            .mapInArrow(run, f"id {kind}, same binary, anchors array<long>"))
+
+
+def _shared(sketch: DataFrame) -> DataFrame:
+    """Anchors of two documents or more."""
+    one = sketch.select("id", F.explode("anchors").alias("anchor"))
+    return written(one.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("anchor"), "shared-anchors")
+
+
+def _touched(sketch: DataFrame, shared: DataFrame) -> DataFrame:
+    """(id, copy, shared): documents with shared anchors; ``copy``: a smaller
+    document has the same words."""
+    classes = sketch.groupBy("same").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last")
+    copies = sketch.select("id", "same").join(classes, "same").filter("id <> first").select("id", F.lit(True).alias("copy")).distinct()
+    own = sketch.select("id", F.explode("anchors").alias("anchor")).join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("shared"))
+    return written(own.join(copies, "id", "left").select("id", F.coalesce("copy", F.lit(False)).alias("copy"), F.when(F.col("copy").isNull(), F.col("shared")).alias("shared")), "touched")
 
 
 def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def _first_pass(docs: DataFrame, columns: list[str], key: str, text: str) -> DataFrame:
-    """Documents with their shared anchors: finished (``sha``) without any, else with
-    the text and the digest of the word sequence."""
-    import xxhash
-    found = anchors(docs, key, text)
-    shared = (found.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("anchor"))
-    own = found.join(shared, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("shared")).select(F.col("id").alias("__id"), F.col("shared").alias("__shared"))
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(key).alias("__key"), F.col(text).alias("__t")).join(own, F.col("__key") == F.col("__id"), "left").drop("__id")
+def _finished(docs: DataFrame, touched: DataFrame, columns: list[str], key: str, text: str) -> DataFrame:
+    """All documents: those without shared anchors and copies are finished (``__sha``),
+    the others keep their text (``__t``) and shared anchors.
+
+    Only documents that pass a filter of the touched ids go through the join."""
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(key).alias("__key"), F.col(text).alias("__t"))
+    rows = may_hold(rows, "__key", touched.select("id"), "__maybe")
+    alone = rows.filter("NOT __maybe").drop("__maybe").withColumns({"__copy": F.lit(False), "__shared": F.lit(None).cast("array<long>")})
+    joined = rows.filter("__maybe").drop("__maybe").join(touched.select(F.col("id").alias("__id"), F.col("copy").alias("__copy"), F.col("shared").alias("__shared")), F.col("__key") == F.col("__id"), "left").drop("__id")
 
     def run(batches):
-        hasher = WordHasher()
         for b in batches:
-            n, sha, text_, same = [], [], [], []
-            some = b.column("__shared").is_valid().to_pylist()
-            for t, s in zip(byte_texts(b.column("__t")), some, strict=True):
+            n, removed, sha, left = [], [], [], []
+            for t, copy, some in zip(byte_texts(b.column("__t")), b.column("__copy").to_pylist(), b.column("__shared").is_valid().to_pylist(), strict=True):
                 words = t.split()
                 n.append(len(words))
-                sha.append(None if s else _sha(words))
-                text_.append(t if s else None)
-                same.append(xxhash.xxh3_128_digest(hasher.spans(t)[0].tobytes()) if s else None)
+                removed.append(len(words) if copy else 0)
+                sha.append(_sha([]) if copy else None if some else _sha(words))
+                left.append(b"" if copy else t if some else None)
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in [*columns, "__key"]), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(text_, pa.binary()).cast(pa.string()),
-                 pa.array(same, pa.binary()), b.column("__shared")], names=[*columns, "__key", "__n", "__sha", "__t", "__same", "__shared"])
+                [*(b.column(c) for c in [*columns, "__key"]), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(left, pa.binary()).cast(pa.string()),
+                 b.column("__shared")], names=[*columns, "__key", "__n", "__removed", "__sha", "__t", "__shared"])
 
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
     kind = docs.schema[key].dataType.simpleString()
-    return written(rows.mapInArrow(run, f"{schema}__key {kind}, __n long, __sha string, __t string, __same binary, __shared array<long>"), "substring-first")
+    schema = f"{schema}__key {kind}, __n long, __removed long, __sha string, __t string, __shared array<long>"
+    return written(alone.mapInArrow(run, schema).unionByName(joined.mapInArrow(run, schema)), "substring-first")
 
 
-def _segments(rows: DataFrame) -> DataFrame:
-    """(anchor, id, start, tokens, digest): the windows around each shared anchor."""
+def _segments(rows: DataFrame, with_tokens: bool) -> DataFrame:
+    """(anchor, id, digest), with tokens also (start, tokens): the windows around each
+    shared anchor."""
     import xxhash
+    names = ["anchor", "id", "digest", *(["start", "tokens"] if with_tokens else [])]
 
     def run(batches):
         hasher = WordHasher()
@@ -172,15 +196,18 @@ def _segments(rows: DataFrame) -> DataFrame:
                 anchor, first, last = window_anchors(words)
                 anchor = anchor.view(np.int64)
                 raw = words.tobytes()
-                for k in np.flatnonzero(np.isin(anchor, shared.values.to_numpy())).tolist():
-                    tokens = raw[8 * first[k] : 8 * (last[k] + WINDOW)]
-                    for o, x in zip(out, (int(anchor[k]), i, int(first[k]), tokens, xxhash.xxh3_64_intdigest(tokens) - (1 << 63)), strict=True):
-                        o.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], b.column("__key").type), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary()),
-                                              pa.array(out[4], pa.int64())], names=["anchor", "id", "start", "tokens", "digest"])
+                own = np.flatnonzero(np.isin(anchor, shared.values.to_numpy()))
+                tokens = [raw[8 * f : 8 * (e + WINDOW)] for f, e in zip(first[own].tolist(), last[own].tolist(), strict=True)]
+                out[0] += anchor[own].tolist()
+                out[1] += [i] * len(own)
+                out[2] += [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in tokens]
+                out[3] += first[own].tolist()
+                out[4] += tokens if with_tokens else []
+            kinds = (pa.int64(), b.column("__key").type, pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out[: len(names)], kinds, strict=False)], names=names)
 
     kind = rows.schema["__key"].dataType.simpleString()
-    return rows.select("__key", "__t", "__shared").mapInArrow(run, f"anchor long, id {kind}, start int, tokens binary, digest long")
+    return rows.select("__key", "__t", "__shared").mapInArrow(run, f"anchor long, id {kind}, digest long" + ", start int, tokens binary" * with_tokens)
 
 
 def _checked(small: DataFrame) -> DataFrame:
@@ -258,36 +285,39 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", columns:
     their ``__kept`` text."""
     spark = docs.sparkSession
     columns = columns or [key]
-    first = _first_pass(docs, columns, key, text)
-    touched = first.filter("__sha IS NULL")
-    reference = touched.groupBy("__same").agg(F.min("__key").alias("__first"))
-    touched = written(touched.join(reference, "__same"), "substring-touched")
-
-    segments = written(_segments(touched.filter("__key = __first")), "segments")
-    hot = _checked(segments.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("c")).filter(F.col("c") >= HOT).select("digest", "least"))
-    known = segments.join(hot, "digest", "left")
+    sketch = written(sketches(docs, key, text), "substring-sketches")
+    shared = _shared(sketch)
+    release(spark)
+    touched = _touched(sketch, shared)
+    release(spark, sketch, shared)
+    first = _finished(docs, touched, columns, key, text)
+    release(spark, touched)
+    rows = first.filter("__sha IS NULL")
+
+    narrow = written(_segments(rows, False), "segments")
+    hot = _checked(narrow.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("c")).filter(F.col("c") >= HOT).select("digest", "least"))
+    rare = narrow.join(hot, "digest", "left").filter("least IS NULL OR id = least")
+    wide = _checked(rare.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= HOT).select("anchor", F.lit(True).alias("wide")))
+    release(spark, narrow)
+
+    known = _segments(rows, True).join(hot, "digest", "left").join(wide, "anchor", "left")
     copies = known.filter("id > least").select("id", "start", (F.col("start") + F.octet_length("tokens") / 8).cast("int").alias("end"))
-    rest = known.filter("least IS NULL OR id = least").select("anchor", "id", "start", "tokens")
-    wide = _checked(rest.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= HOT).select("anchor", F.lit(True).alias("wide")))
-    rest = rest.join(wide, "anchor", "left")
+    rest = known.filter("least IS NULL OR id = least")
     units = rest.filter("wide IS NULL").select("anchor", "id", "start", "tokens").unionByName(_single_windows(rest.filter("wide")))
     spans = _matched(units).unionByName(copies)
-    spans = spans.groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("__spans")).withColumnRenamed("id", "__id")
+    spans = written(spans.groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("__spans")).withColumnRenamed("id", "__id"), "substring-spans")
+    release(spark)
 
     def run(batches):
         for b in batches:
             removed, sha, kept = [], [], []
-            copy = [x != y for x, y in zip(b.column("__key").to_pylist(), b.column("__first").to_pylist(), strict=True)]
-            for t, c, spans in zip(byte_texts(b.column("__t")), copy, b.column("__spans").to_pylist(), strict=True):
+            for t, spans in zip(byte_texts(b.column("__t")), b.column("__spans").to_pylist(), strict=True):
                 words = t.split()
-                if c:
-                    left = []
-                else:
-                    gone = np.zeros(len(words) + 1, np.int64)
-                    for s in spans or ():
-                        gone[s["start"]] += 1
-                        gone[s["end"]] -= 1
-                    left = [words[k] for k in np.flatnonzero(np.cumsum(gone[:-1]) == 0)]
+                gone = np.zeros(len(words) + 1, np.int64)
+                for s in spans or ():
+                    gone[s["start"]] += 1
+                    gone[s["end"]] -= 1
+                left = [words[k] for k in np.flatnonzero(np.cumsum(gone[:-1]) == 0).tolist()]
                 removed.append(len(words) - len(left))
                 sha.append(_sha(left))
                 kept.append(b" ".join(left))
@@ -296,9 +326,10 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", columns:
 
     small_batches(spark)
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
-    changed = (touched.join(spans, F.col("__key") == F.col("__id"), "left").select(*[F.col(f"`{c}`") for c in columns], "__key", "__n", "__t", "__first", "__spans")
-               .mapInArrow(run, f"{schema}__n long, __removed long, __sha string, __kept string"))
-    same = first.filter("__sha IS NOT NULL").select(*[F.col(f"`{c}`") for c in columns], "__n", F.lit(0).cast("long").alias("__removed"), "__sha", F.lit(None).cast("string").alias("__kept"))
+    every = [F.col(f"`{c}`") for c in columns]
+    changed = rows.join(spans, F.col("__key") == F.col("__id"), "left").select(*every, "__key", "__n", "__t", "__spans").mapInArrow(
+        run, f"{schema}__n long, __removed long, __sha string, __kept string")
+    same = first.filter("__sha IS NOT NULL").select(*every, "__n", "__removed", "__sha", F.col("__t").alias("__kept"))
     return same.unionByName(changed)
 
 
