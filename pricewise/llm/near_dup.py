@@ -11,9 +11,10 @@ copies never meet again. Within a bucket only star edges are made, from its
 hub to the other members: at most one pair per member and band, however large
 the bucket. The hub is the member with the most company over all bands - in a
 family of edited copies the one nearest to their common origin. Candidate
-pairs are confirmed on the full sets. Then, in further rounds, buckets that
-still hold several components get a new hub from a component that the former
-hub did not reach, until no round finds a new link.
+pairs are confirmed on the full sets. Further rounds go over finer buckets, on
+which two or three bands agree, wherever such a bucket still holds more than
+one component: a random member is the hub and meets the members of the other
+components, its closest relatives.
 
 All groups are aggregated before they move, joins on ids and buckets are
 shuffle joins that Spark may split, and no task ever holds a bucket.
@@ -30,6 +31,8 @@ gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +44,8 @@ from pricewise.llm.common import WordHasher, byte_texts, mix, read, shingle_hash
 SHINGLE = 4
 PERCENT = 80
 BINS, BANDS = 128, 32
-#: Rounds of star edges after the first; each ends early if it finds nothing.
-MORE_ROUNDS = 2
+#: Further rounds of star edges: the bands that must agree, as steps from one of them.
+ROUNDS = ((0, 1), (0, 3, 7), (0, 5), (0, 2, 9))
 
 _STARTS = (np.arange(BINS, dtype=np.uint64) << np.uint64(64 - (BINS - 1).bit_length()))
 
@@ -121,6 +124,18 @@ def star_edges(members: DataFrame) -> DataFrame:
     return pairs.select("u", F.col("n").alias("n_u"), "hub", "n_hub").distinct()
 
 
+def finer(members: DataFrame, found: DataFrame, steps: tuple[int, ...]) -> DataFrame:
+    """Members of the buckets that several bands agree on (those ``steps`` after one
+    another, in a circle), as far as they hold more than one component. In such
+    a bucket the hub is a random member, so that each round tries others."""
+    part = members.join(found.withColumnRenamed("id", "u"), "u", "left").withColumn("part", F.coalesce("component", "u"))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.when(
+        reduce(and_, [F.map_contains_key("own", F.pmod(b + s, F.lit(BANDS))) for s in steps]), F.xxhash64(b, *[F.element_at("own", F.pmod(b + s, F.lit(BANDS))) for s in steps])))
+    rows = part.select("u", "n", "part", F.explode(F.filter(keys, lambda x: x.isNotNull())).alias("bucket"))
+    mixed = rows.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("bucket")
+    return rows.join(mixed, "bucket").withColumn("weight", F.xxhash64("u", "bucket"))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (u, hub) whose sets reach the similarity."""
     a = sets.select(F.col("id").alias("u"), F.col("s").alias("a"))
@@ -170,33 +185,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     sketch = written(sketches(docs, key, text, k), "sketches")
     classes = (sketch.filter("n > 0").groupBy("class").agg(F.min("id").alias("u"), F.first("n").alias("n"), F.first("bands").alias("bands")).filter("u IS NOT NULL"))
     reps = written(classes, "classes")
-    one = reps.select("u", "n", F.explode("bands").alias("bucket"))
+    one = reps.select("u", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = one.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = written(one.join(shared, "bucket"), "bucket-members")
     weight = members.groupBy("u").agg(F.sum(F.log2("size")).alias("weight"))
-    members = written(members.select("bucket", "u", "n").join(weight, "u"), "bucket-members")
+    members = written(members.select("band", "bucket", "u", "n").join(weight, "u"), "bucket-members")
 
     pairs = written(star_edges(members.withColumn("part", F.col("u"))), "pairs")
     ids = written(pairs.select(F.col("u").alias("id")).union(pairs.select("hub")).distinct(), "pair-ids")
     sets = written(shingle_sets(docs, ids, key, text, k).dropDuplicates(["id"]), "shingle-sets")
     links = written(confirmed(pairs, sets), "links")
     found = components(links)
-    for _ in range(MORE_ROUNDS):
-        part = members.join(found.withColumnRenamed("id", "u"), "u", "left").withColumn("part", F.coalesce("component", "u")).drop("component")
-        # The hubs of a new round come from the components that a bucket's heaviest member is not in.
-        first = part.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("u")).alias("m"), "part")).alias("h")).select("bucket", F.col("h.part").alias("done"))
-        again = part.join(first, "bucket")
-        hub = again.filter("part <> done").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("u")).alias("m"), "n", "part")).alias("h"))
-        hub = hub.select("bucket", (-F.col("h.m")).alias("hub"), F.col("h.n").alias("n_hub"), F.col("h.part").alias("hub_part"))
-        new = part.join(hub, "bucket").filter("part <> hub_part").filter(100 * F.least("n", "n_hub") >= PERCENT * F.greatest("n", "n_hub"))
-        new = written(new.select("u", F.col("n").alias("n_u"), "hub", "n_hub").distinct().join(pairs, ["u", "n_u", "hub", "n_hub"], "left_anti"), "pairs")
+    members = members.groupBy("u", "n", "weight").agg(F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("own"))  # at most BANDS entries
+    members = written(members, "bucket-members")
+    for steps in ROUNDS:
+        new = written(star_edges(finer(members, found, steps)).join(pairs, ["u", "n_u", "hub", "n_hub"], "left_anti"), "pairs")
+        ids = written(new.select(F.col("u").alias("id")).union(new.select("hub")).distinct().join(sets.select("id"), "id", "left_anti"), "pair-ids")
+        if ids.limit(1).count():
+            sets = sets.unionByName(written(shingle_sets(docs, ids, key, text, k).dropDuplicates(["id"]), "shingle-sets"))
         more = written(confirmed(new, sets), "links")
         n = more.count()
         log(f"{new.count()} pairs, {n} links")
-        if not n:
-            break
-        pairs, links = written(pairs.unionByName(new), "pairs"), written(links.unionByName(more), "links")
-        found = components(links)
+        pairs = written(pairs.unionByName(new), "pairs")
+        if n:
+            links = written(links.unionByName(more), "links")
+            found = components(links)
 
     label = reps.select("class", "u").join(found.withColumnRenamed("id", "u"), "u", "left").select("class", F.coalesce("component", "u").alias("component"))
     return sketch.select("id", "n", "class").join(label, "class", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
