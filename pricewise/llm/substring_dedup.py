@@ -22,7 +22,7 @@ it. So the work is cut down first, without losing a window:
 
 Hot groups: a segment that occurs ``HOT`` times or more is resolved by its
 smallest document, found by an aggregation, so its copies never meet in a
-task; an anchor with still ``HOT`` different segments or more is split into its
+task; an anchor with still ``WIDE`` different segments or more is split into its
 single windows, which are shards of their own.
 
 Words are compared by 64-bit hashes. Null and empty texts have no words; texts
@@ -44,8 +44,10 @@ from pricewise.llm.common import WordHasher, byte_texts, read, release, shingle_
 
 WINDOW = 13
 GRAM = 4
-#: Rows of one group from which on it is split up.
-HOT = 2000
+#: Equal segments from which on an aggregation resolves them, and different
+#: segments of an anchor from which on it is split into single windows. The
+#: automaton of a group below takes a second or two and about 100 MB.
+HOT, WIDE = 2000, 20_000
 #: Largest table of hot groups that is broadcast (rows of about 20 bytes).
 BROADCAST_ROWS = 200_000
 
@@ -140,12 +142,12 @@ def _shared(sketch: DataFrame) -> DataFrame:
 
 
 def _touched(sketch: DataFrame, shared: DataFrame) -> DataFrame:
-    """(id, copy, shared): documents with shared anchors; ``copy``: a smaller
-    document has the same words."""
+    """(id, copies, shared): documents with shared anchors; ``copies``: digests of
+    word sequences of this id that a smaller document has too."""
     classes = sketch.groupBy("same").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last")
-    copies = sketch.select("id", "same").join(classes, "same").filter("id <> first").select("id", F.lit(True).alias("copy")).distinct()
+    copies = sketch.select("id", "same").join(classes, "same").filter("id <> first").groupBy("id").agg(F.collect_set("same").alias("copies"))
     own = sketch.select("id", F.explode("anchors").alias("anchor")).join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("shared"))
-    return written(own.join(copies, "id", "left").select("id", F.coalesce("copy", F.lit(False)).alias("copy"), F.when(F.col("copy").isNull(), F.col("shared")).alias("shared")), "touched")
+    return written(own.join(copies, "id", "left").select("id", "copies", "shared"), "touched")
 
 
 def _sha(words: list[bytes]) -> str:
@@ -156,17 +158,21 @@ def _finished(docs: DataFrame, touched: DataFrame, columns: list[str], key: str,
     """All documents: those without shared anchors and copies are finished (``__sha``),
     the others keep their text (``__t``) and shared anchors.
 
-    Only documents that pass a filter of the touched ids go through the join."""
+    Only documents that pass a filter of the touched ids go through the join.
+    ``__row`` numbers the written rows, so that repeated ids do no harm."""
+    import xxhash
     rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(key).alias("__key"), F.col(text).alias("__t"))
     rows = may_hold(rows, "__key", touched.select("id"), "__maybe")
-    alone = rows.filter("NOT __maybe").drop("__maybe").withColumns({"__copy": F.lit(False), "__shared": F.lit(None).cast("array<long>")})
-    joined = rows.filter("__maybe").drop("__maybe").join(touched.select(F.col("id").alias("__id"), F.col("copy").alias("__copy"), F.col("shared").alias("__shared")), F.col("__key") == F.col("__id"), "left").drop("__id")
+    alone = rows.filter("NOT __maybe").drop("__maybe").withColumns({"__copies": F.lit(None).cast("array<binary>"), "__shared": F.lit(None).cast("array<long>")})
+    joined = rows.filter("__maybe").drop("__maybe").join(touched.select(F.col("id").alias("__id"), F.col("copies").alias("__copies"), F.col("shared").alias("__shared")), F.col("__key") == F.col("__id"), "left").drop("__id")
 
     def run(batches):
+        hasher = WordHasher()
         for b in batches:
             n, removed, sha, left = [], [], [], []
-            for t, copy, some in zip(byte_texts(b.column("__t")), b.column("__copy").to_pylist(), b.column("__shared").is_valid().to_pylist(), strict=True):
+            for t, copies, some in zip(byte_texts(b.column("__t")), b.column("__copies").to_pylist(), b.column("__shared").is_valid().to_pylist(), strict=True):
                 words = t.split()
+                copy = bool(copies) and xxhash.xxh3_128_digest(hasher.spans(t)[0].tobytes()) in copies
                 n.append(len(words))
                 removed.append(len(words) if copy else 0)
                 sha.append(_sha([]) if copy else None if some else _sha(words))
@@ -178,20 +184,21 @@ def _finished(docs: DataFrame, touched: DataFrame, columns: list[str], key: str,
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"{schema}__key {kind}, __n long, __removed long, __sha string, __t string, __shared array<long>"
-    return written(alone.mapInArrow(run, schema).unionByName(joined.mapInArrow(run, schema)), "substring-first")
+    every = alone.mapInArrow(run, schema).unionByName(joined.mapInArrow(run, schema))
+    return written(every.withColumn("__row", F.monotonically_increasing_id()), "substring-first")
 
 
 def _segments(rows: DataFrame, with_tokens: bool) -> DataFrame:
-    """(anchor, id, digest), with tokens also (start, tokens): the windows around each
-    shared anchor."""
+    """(anchor, id, digest), with tokens also (row, start, tokens): the windows around
+    each shared anchor."""
     import xxhash
-    names = ["anchor", "id", "digest", *(["start", "tokens"] if with_tokens else [])]
+    names = ["anchor", "id", "digest", *(["row", "start", "tokens"] if with_tokens else [])]
 
     def run(batches):
         hasher = WordHasher()
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for i, t, shared in zip(b.column("__key").to_pylist(), byte_texts(b.column("__t")), b.column("__shared"), strict=True):
+            out: list[list] = [[], [], [], [], [], []]
+            for i, r, t, shared in zip(b.column("__key").to_pylist(), b.column("__row").to_pylist(), byte_texts(b.column("__t")), b.column("__shared"), strict=True):
                 words = hasher.spans(t)[0]
                 anchor, first, last = window_anchors(words)
                 anchor = anchor.view(np.int64)
@@ -201,13 +208,14 @@ def _segments(rows: DataFrame, with_tokens: bool) -> DataFrame:
                 out[0] += anchor[own].tolist()
                 out[1] += [i] * len(own)
                 out[2] += [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in tokens]
-                out[3] += first[own].tolist()
-                out[4] += tokens if with_tokens else []
-            kinds = (pa.int64(), b.column("__key").type, pa.int64(), pa.int32(), pa.binary())
+                out[3] += [r] * len(own)
+                out[4] += first[own].tolist()
+                out[5] += tokens if with_tokens else []
+            kinds = (pa.int64(), b.column("__key").type, pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out[: len(names)], kinds, strict=False)], names=names)
 
     kind = rows.schema["__key"].dataType.simpleString()
-    return rows.select("__key", "__t", "__shared").mapInArrow(run, f"anchor long, id {kind}, digest long" + ", start int, tokens binary" * with_tokens)
+    return rows.select("__key", "__row", "__t", "__shared").mapInArrow(run, f"anchor long, id {kind}, digest long" + ", row long, start int, tokens binary" * with_tokens)
 
 
 def _checked(small: DataFrame) -> DataFrame:
@@ -221,27 +229,26 @@ def _single_windows(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            for i, start, tokens in zip(b.column("id").to_pylist(), b.column("start").to_pylist(), b.column("tokens").to_pylist(), strict=True):
+            out: list[list] = [[], [], [], [], []]
+            for i, r, start, tokens in zip(*(b.column(c).to_pylist() for c in ("id", "row", "start", "tokens")), strict=True):
                 for j in range(len(tokens) // 8 - WINDOW + 1):
                     w = tokens[8 * j : 8 * (j + WINDOW)]
-                    for o, x in zip(out, (xxhash.xxh3_64_intdigest(w) - (1 << 63), i, start + j, w), strict=True):
+                    for o, x in zip(out, (xxhash.xxh3_64_intdigest(w) - (1 << 63), i, r, start + j, w), strict=True):
                         o.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], b.column("id").type), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())],
-                                             names=["anchor", "id", "start", "tokens"])
+            kinds = (pa.int64(), b.column("id").type, pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["anchor", "id", "row", "start", "tokens"])
 
-    return rows.select("id", "start", "tokens").mapInArrow(run, f"anchor long, id {rows.schema['id'].dataType.simpleString()}, start int, tokens binary")
+    return rows.select("id", "row", "start", "tokens").mapInArrow(run, f"anchor long, id {rows.schema['id'].dataType.simpleString()}, row long, start int, tokens binary")
 
 
 def _matched(segments: DataFrame) -> DataFrame:
-    """(id, start, end) word spans covered by a window of a smaller document."""
-    kind = segments.schema["id"].dataType.simpleString()
+    """(row, start, end) word spans covered by a window of a smaller document."""
 
     def run(batches):
         shard, seen, waiting, automaton = None, {}, [], None
         for b in batches:
             out: list[list] = [[], [], []]
-            for anchor, i, start, raw in zip(*(b.column(c).to_pylist() for c in ("anchor", "id", "start", "tokens")), strict=True):
+            for anchor, i, row, start, raw in zip(*(b.column(c).to_pylist() for c in ("anchor", "id", "row", "start", "tokens")), strict=True):
                 if anchor != shard:
                     shard, seen, waiting, automaton = anchor, {}, [], None
                 while waiting and waiting[0][0] < i:
@@ -258,15 +265,15 @@ def _matched(segments: DataFrame) -> DataFrame:
                 else:
                     spans = []
                 for s, e in spans:
-                    out[0].append(i)
+                    out[0].append(row)
                     out[1].append(s)
                     out[2].append(e)
                 if raw not in seen:
                     waiting.append((i, raw))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], b.column("id").type), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], names=["id", "start", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], names=["row", "start", "end"])
 
     shards = segments.repartition("anchor").sortWithinPartitions("anchor", "id")
-    return shards.mapInArrow(run, f"id {kind}, start int, end int")
+    return shards.mapInArrow(run, "row long, start int, end int")
 
 
 def _spans(statistics: list[int], start: int) -> list[tuple[int, int]]:
@@ -297,15 +304,15 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", columns:
     narrow = written(_segments(rows, False), "segments")
     hot = _checked(narrow.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("c")).filter(F.col("c") >= HOT).select("digest", "least"))
     rare = narrow.join(hot, "digest", "left").filter("least IS NULL OR id = least")
-    wide = _checked(rare.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= HOT).select("anchor", F.lit(True).alias("wide")))
+    wide = _checked(rare.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= WIDE).select("anchor", F.lit(True).alias("wide")))
     release(spark, narrow)
 
     known = _segments(rows, True).join(hot, "digest", "left").join(wide, "anchor", "left")
-    copies = known.filter("id > least").select("id", "start", (F.col("start") + F.octet_length("tokens") / 8).cast("int").alias("end"))
+    copies = known.filter("id > least").select("row", "start", (F.col("start") + F.octet_length("tokens") / 8).cast("int").alias("end"))
     rest = known.filter("least IS NULL OR id = least")
-    units = rest.filter("wide IS NULL").select("anchor", "id", "start", "tokens").unionByName(_single_windows(rest.filter("wide")))
+    units = rest.filter("wide IS NULL").select("anchor", "id", "row", "start", "tokens").unionByName(_single_windows(rest.filter("wide")))
     spans = _matched(units).unionByName(copies)
-    spans = written(spans.groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("__spans")).withColumnRenamed("id", "__id"), "substring-spans")
+    spans = written(spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("__spans")), "substring-spans")
     release(spark)
 
     def run(batches):
@@ -327,7 +334,7 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", columns:
     small_batches(spark)
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
     every = [F.col(f"`{c}`") for c in columns]
-    changed = rows.join(spans, F.col("__key") == F.col("__id"), "left").select(*every, "__key", "__n", "__t", "__spans").mapInArrow(
+    changed = rows.join(spans.withColumnRenamed("row", "__row"), "__row", "left").select(*every, "__n", "__t", "__spans").mapInArrow(
         run, f"{schema}__n long, __removed long, __sha string, __kept string")
     same = first.filter("__sha IS NOT NULL").select(*every, "__n", "__removed", "__sha", F.col("__t").alias("__kept"))
     return same.unionByName(changed)
