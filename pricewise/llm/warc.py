@@ -40,7 +40,7 @@ BROADCAST_DIGESTS = 100_000
 BLOCK = 1 << 20
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_START = re.compile(rb"\x1f\x8b\x08|(?<![^\n])WARC/[01]\.\d")
+_START = re.compile(rb"\x1f\x8b\x08|WARC/[01]\.\d\r\n")
 
 
 def record(kind: str, key, url: str | None, payload: bytes, digest: str, refers_to, date: str) -> bytes:
