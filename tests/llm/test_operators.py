@@ -370,7 +370,7 @@ def test_language_model_probabilities_sum_to_one():
     classes = maxent_lm._classes(endings)
     model = maxent_lm.MaxEnt(classes, np.zeros(maxent_lm.CLASSES, np.float32), r.normal(0, 1, (3, maxent_lm.BUCKETS, maxent_lm.CLASSES)).astype(np.float32))
     x = maxent_lm.tokens(WordHasher(fold=True), [b"a bc def", b"", b"The end"])
-    p = model.probabilities(x, [x.buckets(j) for j in range(3)])
+    p = model.probabilities([x.buckets(j) for j in range(3)])
     assert len(p) == 8 and np.allclose(p.sum(axis=1), 1, atol=1e-5)
     table = maxent_lm.Lookup(np.arange(5, 5000, 7).astype(np.uint64) << np.uint64(40), np.arange(5, 5000, 7))
     assert list(table(np.array([5, 12, 13, 4996], np.uint64) << np.uint64(40))) == [5, 12, 0, 0 if (4996 - 5) % 7 else 4996]
