@@ -63,10 +63,11 @@ def top_brands(df: DataFrame, top_n: int = K.TOP_BRANDS_N) -> DataFrame:
     return brand_counts(df).orderBy(F.desc("n_listings"), F.asc("brand_name")).limit(top_n)
 
 
-def add_brand_features(df: DataFrame, top_n: int = K.TOP_BRANDS_N) -> DataFrame:
+def add_brand_features(df: DataFrame, top_n: int = K.TOP_BRANDS_N, brands: DataFrame | None = None) -> DataFrame:
     """is_top_brand = brand among the ``top_n`` most frequent known brands.
-    The top table has at most ``top_n`` rows, so it is broadcast."""
-    top = F.broadcast(top_brands(df, top_n).select(F.col("brand_name").alias("_tb"), F.lit(1).alias("_is_top")))
+    The top table has at most ``top_n`` rows, so it is broadcast. ``brands``:
+    the same rows with fewer columns, if the caller has them without a join."""
+    top = F.broadcast(top_brands(df if brands is None else brands, top_n).select(F.col("brand_name").alias("_tb"), F.lit(1).alias("_is_top")))
     return (df.join(top, df["brand_name"] == top["_tb"], "left")
               .withColumn("is_top_brand", F.coalesce(F.col("_is_top"), F.lit(0)).cast("int"))
               .drop("_tb", "_is_top"))
@@ -74,16 +75,22 @@ def add_brand_features(df: DataFrame, top_n: int = K.TOP_BRANDS_N) -> DataFrame:
 
 def clean_listings(df: DataFrame, min_price: float = K.DEFAULT_MIN_PRICE,
                    max_price: float = K.DEFAULT_MAX_PRICE, add_features: bool = True,
-                   top_n: int = K.TOP_BRANDS_N) -> DataFrame:
+                   top_n: int = K.TOP_BRANDS_N, brands: DataFrame | None = None) -> DataFrame:
     """Filter prices, fill brands, split categories, clean name and
-    description, then (optionally) add text features and the top-brand flag."""
-    out = (df.transform(lambda d: price_range_filter(d, min_price, max_price))
-             .transform(fill_missing_brand)
-             .transform(split_category)
-             .transform(clean_name)
-             .transform(clean_description))
+    description, then (optionally) add text features and the top-brand flag.
+    Steps for columns that a narrow view lacks are left out. ``brands``: the
+    raw rows with price and brand only, for the top-brand counts."""
+    out = price_range_filter(df, min_price, max_price)
+    for column, step in (("brand_name", fill_missing_brand), ("category_name", split_category),
+                         ("name", clean_name), ("item_description", clean_description)):
+        if column in df.columns:
+            out = step(out)
     if add_features:
-        out = out.transform(add_text_features).transform(lambda d: add_brand_features(d, top_n))
+        if {"name", "item_description"} <= set(df.columns):
+            out = add_text_features(out)
+        if brands is not None:
+            brands = fill_missing_brand(price_range_filter(brands, min_price, max_price))
+        out = add_brand_features(out, top_n, brands)
     return out
 
 

@@ -45,18 +45,17 @@ def table_profile(df: DataFrame) -> DataFrame:
                        "approx_bytes")
 
 
-def kth_smallest(df: DataFrame, col: str, ranks: list[int], accuracy: int = 10_000,
-                 collect_max: int = 100_000) -> list[float]:
+def kth_smallest(df: DataFrame, col: str, ranks: list[int], accuracy: int = 10_000) -> list[float]:
     """Exact values at 0-based ``ranks`` of a numeric column (nulls and NaN
     excluded), without sorting the column or holding it in one buffer.
 
     Each round brackets the wanted ranks with ``percentile_approx`` (rank
     error about n/accuracy) on the rows still in play, then counts the rows
     below the bracket, equal to either end and strictly inside. Ranks that
-    fall on an end are answered at once (ties never force a fetch); the rest
-    continue with the strict interior, which shrinks every round (an end is
-    always a data value). Values are fetched only once at most
-    ``collect_max`` rows remain."""
+    fall on an end are answered at once; the rest continue with the strict
+    interior, which shrinks every round (an end is always a data value). The
+    driver sees counts and bracket ends only, at every size. ``df`` is read in
+    every round: pass a narrow, written table."""
     v = F.col("v")
     base = df.select(F.col(col).cast("double").alias("v")).filter(v.isNotNull() & ~F.isnan(v))
     answers: dict[int, float] = {}
@@ -64,10 +63,6 @@ def kth_smallest(df: DataFrame, col: str, ranks: list[int], accuracy: int = 10_0
     below, sub = 0, base
     m = sub.count()
     while pending:
-        if m <= collect_max:
-            vals = [r["v"] for r in sub.orderBy("v").limit(max(pending) - below + 1).collect()]
-            answers.update({k: vals[k - below] for k in pending})
-            break
         eps = 2.0 / accuracy
         while True:
             f_lo = max(0.0, (min(pending) - below) / m - eps)
@@ -95,19 +90,23 @@ def kth_smallest(df: DataFrame, col: str, ranks: list[int], accuracy: int = 10_0
     return [answers[k] for k in ranks]
 
 
-def exact_median(df: DataFrame, col: str, accuracy: int = 10_000, collect_max: int = 100_000) -> float | None:
-    """Exact median (mean of the two middle values for even counts)."""
-    v = F.col(col)
-    n = df.filter(v.isNotNull() & ~F.isnan(v.cast("double"))).count()
+def exact_median(df: DataFrame, col: str, accuracy: int = 10_000) -> float | None:
+    """Exact median (mean of the two middle values for even counts). The
+    column is written once, so its plan is not evaluated in every round."""
+    from ..session import materialize
+    v = F.col("v")
+    one = materialize(df.select(F.col(col).cast("double").alias("v")).filter(v.isNotNull() & ~F.isnan(v)), "median")
+    n = one.count()
     if n == 0:
         return None
-    a, b = kth_smallest(df, col, [(n - 1) // 2, n // 2], accuracy, collect_max)
+    a, b = kth_smallest(one, "v", [(n - 1) // 2, n // 2], accuracy)
     return (a + b) / 2.0
 
 
-def clean_stats(df: DataFrame) -> DataFrame:
+def clean_stats(df: DataFrame, prices: DataFrame | None = None) -> DataFrame:
     """One row: n_rows, n_cols, price min/max/mean/median, distinct main
-    categories and brands, % unknown brand, mean name/desc length."""
+    categories and brands, % unknown brand, mean name/desc length.
+    ``prices``: the same rows' prices, if the caller has them without a join."""
     cols = df.columns
     aggs = [F.count(F.lit(1)).cast("long").alias("n_rows"),
             F.min("price").alias("price_min"), F.max("price").alias("price_max"),
@@ -117,7 +116,7 @@ def clean_stats(df: DataFrame) -> DataFrame:
             (F.avg((F.col("brand_name") == F.lit(K.UNKNOWN)).cast("double")) * 100.0).alias("pct_unknown_brand"),
             (F.avg("name_len") if "name_len" in cols else F.lit(None).cast("double")).alias("avg_name_len"),
             (F.avg("desc_len") if "desc_len" in cols else F.lit(None).cast("double")).alias("avg_desc_len")]
-    med = exact_median(df, "price")
+    med = exact_median(df if prices is None else prices, "price")
     return df.agg(*aggs).select("n_rows", F.lit(len(cols)).cast("long").alias("n_cols"), "price_min", "price_max",
                                 "price_mean", F.lit(med).cast("double").alias("price_median"), "n_categories_main",
                                 "n_brands", "pct_unknown_brand", "avg_name_len", "avg_desc_len")

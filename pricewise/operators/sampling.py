@@ -1,110 +1,84 @@
 """Deterministic sampling, splits and folds.
 
 Randomness is a hash: ``h = md5(key || '|' || seed)``; rows are ordered by
-(h, key). Exact global ranks in that order are computed without a
-single-partition window: rows are bucketed by the first ``digits`` hex
-characters of ``h`` (16**digits buckets, data-independent; the digit count
-grows with the row count), and a bucket's rows start at the number of rows
-in earlier buckets. The bucket-count table has a proven size bound
-(strata x 16**digits rows), so it is broadcast. Splits, samples and folds
-only need to know on which side of a cut a row falls: whole buckets are
-labelled from that table, and only the few buckets that straddle a cut are
-sorted, on a narrow key projection whose labels are broadcast back. A stratum that holds a third of the rows is still spread over all
+(h, key). Exact ranks in that order need no single-partition window: rows are
+bucketed by the first hex characters of ``h``, and a bucket's rows start at
+the number of rows in earlier buckets. Splits, samples and folds only need to
+know on which side of a cut a row falls: whole buckets are labelled from the
+table of bucket counts, and only the rows of the few buckets that straddle a
+cut are ranked, by a window inside their bucket. The two parts are put
+together by a union, so repeated and null keys neither multiply nor drop rows
+(which of several rows with one key lies before a cut is arbitrary, how many
+is exact). A stratum that holds a third of the rows is still spread over all
 of its buckets.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 
-DEFAULT_DIGITS = 3
-ROWS_PER_BUCKET = 500_000
-MAX_DIGITS = 6
-
-
-def digits_for(n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    """Hex digits of the bucket key so that a bucket holds about
-    ``rows_per_bucket`` rows (at least 16**3 buckets, at most 16**6)."""
-    d = DEFAULT_DIGITS
-    while d < MAX_DIGITS and n_rows > rows_per_bucket * 16 ** d:
-        d += 1
-    return d
+DIGITS = 4                     # 65,536 buckets for each stratum, at every size
+BROADCAST_BUCKETS = 1_000_000  # rows of the bucket table (about 40 bytes each) up to which it is broadcast
 
 
 def hash_col(key: str = "train_id", seed: int = K.SPLIT_SEED):
-    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
-
-
-def ranked(df: DataFrame, key: str = "train_id", seed: int = K.SPLIT_SEED,
-           by: list[str] | None = None, digits: int | None = None,
-           rank_col: str = "_rank") -> DataFrame:
-    """Add a 0-based rank in (h, key) order, global or within ``by`` groups.
-    Without ``digits`` the bucket count follows the row count (one count)."""
-    by = list(by or [])
-    if digits is None:
-        digits = digits_for(df.count())
-    h = hash_col(key, seed)
-    d = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, digits))
-    w = Window.partitionBy(*by, "_b").orderBy("_h", key)
-    d = d.withColumn("_rb", F.row_number().over(w) - 1)
-    counts = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_nb"))
-    wo = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_nb").over(wo), F.lit(0))).drop("_nb")
-    out = d.join(F.broadcast(offsets), on=[*by, "_b"], how="inner")
-    return out.withColumn(rank_col, (F.col("_off") + F.col("_rb")).cast("long")).drop("_h", "_b", "_rb", "_off")
+    return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("\u0000null")), F.lit(f"|{seed}")))
 
 
 def bucket_offsets(df: DataFrame, key: str, seed: int, by: list[str], digits: int) -> tuple[DataFrame, DataFrame]:
     """(rows with _h/_b, per-(group, bucket) table with _nb rows and _off
-    rows in earlier buckets). The table has at most groups x 16**digits rows."""
+    rows in earlier buckets)."""
     d = df.withColumn("_h", hash_col(key, seed)).withColumn("_b", F.substring("_h", 1, digits))
     counts = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_nb"))
-    wo = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    return d, counts.withColumn("_off", F.coalesce(F.sum("_nb").over(wo), F.lit(0)))
+    # Offsets in two steps, so that no task orders more than one prefix's buckets.
+    counts = counts.withColumn("_p", F.substring("_b", 1, digits // 2))
+    inside = Window.partitionBy(*by, "_p").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    prefixes = counts.groupBy(*by, "_p").agg(F.sum("_nb").alias("_np")).withColumn("_po", F.coalesce(F.sum("_np").over(before), F.lit(0)))
+    prefixes = prefixes.select(*[F.col(c).alias(f"_x_{c}") for c in by], F.col("_p").alias("_xp"), "_po")
+    j = counts.join(prefixes, _same(counts, by, "_x_") & (F.col("_p") == F.col("_xp")))
+    offsets = j.select(*by, "_b", "_nb", (F.col("_po") + F.coalesce(F.sum("_nb").over(inside), F.lit(0))).alias("_off"))
+    return d, offsets
+
+
+def _same(df: DataFrame, by: list[str], prefix: str):
+    cond = F.lit(True)
+    for c in by:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"{prefix}{c}"))
+    return cond
 
 
 def label_by_rank(df: DataFrame, thresholds: DataFrame | list[int], key: str = "train_id",
-                  seed: int = K.SPLIT_SEED, by: list[str] | None = None, digits: int | None = None,
+                  seed: int = K.SPLIT_SEED, by: list[str] | None = None, digits: int = DIGITS,
                   label_col: str = "_label") -> DataFrame:
     """label = number of thresholds <= the row's rank in (h, key) order
     (per ``by`` group; ``thresholds`` is a list, or a DataFrame of
     (by..., _t array<long>) with one row per group).
 
-    Whole buckets get their label from the broadcast bucket table. Only the
-    rows of buckets that straddle a threshold are ranked, on a narrow
-    (key, group, hash) projection; their labels (at most about
-    ROWS_PER_BUCKET rows per threshold) are broadcast back. The full rows are
-    read once and never shuffled."""
+    The bucket table is written once; it is broadcast up to
+    ``BROADCAST_BUCKETS`` rows and joined by a shuffle beyond."""
+    from ..session import materialize
     by = list(by or [])
-    if digits is None:
-        digits = digits_for(df.count())
     d, offs = bucket_offsets(df, key, seed, by, digits)
     if isinstance(thresholds, list):
         offs = offs.withColumn("_t", F.array(*[F.lit(int(t)).cast("long") for t in thresholds]))
     else:
-        offs = offs.join(F.broadcast(thresholds), on=by, how="inner")
+        t = thresholds.select(*[F.col(c).alias(f"_x_{c}") for c in by], "_t")
+        offs = offs.join(t, _same(offs, by, "_x_")).drop(*[f"_x_{c}" for c in by])
     below = lambda x: F.size(F.filter("_t", lambda t: t <= x))
-    offs = (offs.withColumn("_lo", below(F.col("_off")))
-                .withColumn("_hi", below(F.col("_off") + F.col("_nb") - 1))
-                .select(*by, "_b", "_off", "_t", "_lo", "_hi"))
+    offs = offs.withColumn("_lo", below(F.col("_off"))).withColumn("_hi", below(F.col("_off") + F.col("_nb") - 1))
+    offs = offs.select(*[F.col(c).alias(f"_x_{c}") for c in by], F.col("_b").alias("_xb"), "_off", "_t", "_lo", "_hi")
+    offs = materialize(offs, "buckets")
+    side = F.broadcast if offs.count() <= BROADCAST_BUCKETS else (lambda x: x)
+    own = (F.col("_b") == F.col("_xb")) & _same(d, by, "_x_")
+    whole = d.join(side(offs.filter("_lo = _hi").drop("_off", "_t")), own).withColumn(label_col, F.col("_lo"))
     w = Window.partitionBy(*by, "_b").orderBy("_h", key)
-    boundary = (d.select(key, *by, "_h", "_b")
-                 .join(F.broadcast(offs.filter(F.col("_lo") != F.col("_hi"))), on=[*by, "_b"], how="inner")
-                 .withColumn("_r", F.col("_off") + F.row_number().over(w) - 1)
-                 .select(F.col(key).alias("_bk"), *[F.col(c).alias(f"_bk_{c}") for c in by],
-                         below(F.col("_r")).alias("_bl")))
-    cond = F.col(key) == F.col("_bk")
-    for c in by:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_bk_{c}"))
-    j = (d.join(F.broadcast(offs.select(*by, "_b", "_lo", "_hi")), on=[*by, "_b"], how="inner")
-          .join(F.broadcast(boundary), cond, "left"))
-    return (j.withColumn(label_col, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.col("_bl")))
-             .drop("_h", "_b", "_lo", "_hi", "_bk", "_bl", *[f"_bk_{c}" for c in by]))
+    cut = (d.join(side(offs.filter("_lo <> _hi")), own).withColumn("_r", F.col("_off") + F.row_number().over(w) - 1)
+            .withColumn(label_col, below(F.col("_r"))))
+    return whole.select(*df.columns, label_col).unionByName(cut.select(*df.columns, label_col))
 
 
 def exact_sample(df: DataFrame, n: int = K.SAMPLE_SIZE, seed: int = 42, key: str = "train_id") -> DataFrame:
@@ -137,8 +111,7 @@ def train_val_split(df: DataFrame, test_size: float = K.SPLIT_TEST_SIZE, seed: i
     column exists; an absent column means unstratified, as in the reference).
     Within each stratum the first ``quota`` rows in hash order are train.
 
-    The strata table is one row per stratum (a handful of main categories),
-    so the quota computation runs on a tiny table and is broadcast back.
+    The quotas are computed on a table of one row per stratum.
     """
     if "price" not in df.columns and "label" not in df.columns:
         raise ValueError("missing column 'price'")
@@ -159,9 +132,6 @@ def kfold_assign(df: DataFrame, k: int = K.CV_FOLDS, seed: int = K.SPLIT_SEED, k
     q, rem = divmod(n, k)
     sizes = [q + 1 if i < rem else q for i in range(k)]
     cuts = [sum(sizes[:i + 1]) for i in range(k - 1)]
-    return (label_by_rank(df, cuts, key, seed, digits=digits_for(n))
+    return (label_by_rank(df, cuts, key, seed)
             .withColumn(fold_col, F.col("_label").cast("int")).drop("_label"))
 
-
-def n_test_rows(n: int, test_size: float = K.SPLIT_TEST_SIZE) -> int:
-    return int(math.ceil(test_size * n))

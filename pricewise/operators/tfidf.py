@@ -1,10 +1,11 @@
 """TF-IDF over listing text: tokens, 1-2-grams, vocabulary and weights.
 
 Tokenising is per row in the JVM (regex extraction, Spark ML
-``StopWordsRemover`` and ``NGram``). The vocabulary is one aggregate by
-term over occurrences and per-row distinct terms, with map-side partial
-aggregation, so only per-partition partial counts are shuffled. The kept vocabulary has at most ``max_features`` rows,
-which is the bound that lets it be broadcast.
+``StopWordsRemover`` and ``NGram``). The vocabulary is one aggregate by term
+over per-row term counts, with map-side partial aggregation, so only
+per-partition partial counts are shuffled. The kept vocabulary has at most
+``max_features`` rows, which is the bound that lets its terms and idf values
+travel to the executors. Weights and their norm are computed inside the row.
 
 Weights: (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), L2-normalised per row;
 terms outside the vocabulary are ignored and an empty row stays empty.
@@ -14,8 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.ml.feature import NGram, StopWordsRemover
+from pyspark.ml.feature import CountVectorizerModel, NGram, StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +23,24 @@ from .. import constants as K
 from ..functions import text as TX
 
 
-def listing_terms(df: DataFrame, text_cols=("name", "item_description"), key: str = "train_id") -> DataFrame:
-    """(key, terms): unigrams of the combined normalised text with stop words
-    removed, followed by the bigrams of that filtered token list."""
+def listing_terms(df: DataFrame, text_cols=("name", "item_description"), key: str = "train_id",
+                  ngram_range: tuple[int, int] = (1, 2)) -> DataFrame:
+    """(key, terms): n-grams (unigrams and bigrams by default) of the combined
+    normalised text with stop words removed."""
     d = df.select(key, TX.raw_tokens(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in text_cols])).alias("_raw"))
-    d = StopWordsRemover(inputCol="_raw", outputCol="_uni", stopWords=list(K.STOPWORDS), caseSensitive=True).transform(d)
-    d = NGram(n=2, inputCol="_uni", outputCol="_bi").transform(d)
-    return d.select(key, F.concat("_uni", "_bi").alias("terms"))
+    return with_terms(d, ngram_range).select(key, "terms")
+
+
+def with_terms(d: DataFrame, ngram_range: tuple[int, int] = (1, 2)) -> DataFrame:
+    """Replace the raw tokens ``_raw`` by the column ``terms``."""
+    lo, hi = ngram_range
+    if not 1 <= lo <= hi:
+        raise ValueError(f"bad ngram_range: {ngram_range}")
+    d = StopWordsRemover(inputCol="_raw", outputCol="_g1", stopWords=list(K.STOPWORDS), caseSensitive=True).transform(d)
+    for n in range(max(2, lo), hi + 1):
+        d = NGram(n=n, inputCol="_g1", outputCol=f"_g{n}").transform(d)
+    grams = [f"_g{n}" for n in range(lo, hi + 1)]
+    return d.withColumn("terms", F.concat(*grams)).drop("_raw", *[f"_g{n}" for n in range(1, hi + 1)])
 
 
 @dataclass
@@ -38,66 +49,63 @@ class Vocabulary:
     n_docs: int
     size: int
 
-    def terms(self) -> list[str]:
-        """Terms in index order (at most max_features)."""
-        return [r["term"] for r in self.table.orderBy("idx").select("term").collect()]
-
-    def idf(self) -> list[float]:
-        return [r["idf"] for r in self.table.orderBy("idx").select("idf").collect()]
+    def rows(self) -> list[tuple[str, float]]:
+        """(term, idf) in index order; at most ``max_features`` rows."""
+        return [(r["term"], float(r["idf"])) for r in self.table.orderBy("idx").select("term", "idf").collect()]
 
 
 def term_statistics(terms: DataFrame) -> DataFrame:
-    """(term, df, tf_total) over all rows in one aggregate by term:
-    occurrences give the term frequency, each row's distinct terms give the
-    document frequency. Map-side partial aggregation combines every term
-    inside each partition (a term present in every row becomes one partial
-    count per partition), so only per-partition partial counts are
-    shuffled, never (row, term) pairs."""
-    occ = terms.select(F.explode("terms").alias("term"), F.lit(1).alias("_tf"), F.lit(0).alias("_df"))
-    per_doc = terms.select(F.explode(F.array_distinct("terms")).alias("term"), F.lit(0).alias("_tf"),
-                           F.lit(1).alias("_df"))
-    return (occ.unionByName(per_doc).groupBy("term")
-               .agg(F.sum("_df").cast("long").alias("df"), F.sum("_tf").cast("long").alias("tf_total")))
+    """(term, df, tf_total) over all rows: each row's (term, tf) pairs are
+    counted inside the row, then one aggregate by term gives both numbers.
+    Map-side partial aggregation combines every term inside each partition,
+    so only per-partition partial counts are shuffled."""
+    pairs = terms.select(F.explode(TX.term_counts("terms")).alias("p")).select("p.term", "p.tf")
+    return pairs.groupBy("term").agg(F.count(F.lit(1)).cast("long").alias("df"), F.sum("tf").cast("long").alias("tf_total"))
 
 
 def fit_vocabulary(terms: DataFrame, max_features: int | None = K.TFIDF_MAX_FEATURES,
                    min_df: int | float = K.TFIDF_MIN_DF, max_df: int | float = K.TFIDF_MAX_DF,
-                   key: str = "train_id") -> Vocabulary:
+                   key: str = "train_id", use_idf: bool = True) -> Vocabulary:
     """Keep min_df <= df <= max_df (a float bound is a fraction of the
     rows), then the ``max_features`` most frequent terms (ties by term);
     index terms alphabetically."""
-    # The terms feed two explodes and a count: persist them once (memory,
-    # spilling to disk; lost blocks are recomputed from the lineage).
-    tc = terms.persist(StorageLevel.MEMORY_AND_DISK)
-    n_docs = tc.count()
+    n_docs = terms.select(key).count()
     lo = min_df if isinstance(min_df, int) else min_df * n_docs
     hi = max_df if isinstance(max_df, int) else max_df * n_docs
-    kept = term_statistics(tc).filter((F.col("df") >= F.lit(lo)) & (F.col("df") <= F.lit(hi)))
+    kept = term_statistics(terms).filter((F.col("df") >= F.lit(lo)) & (F.col("df") <= F.lit(hi)))
     if max_features is not None:
         kept = kept.orderBy(F.desc("tf_total"), F.asc("term")).limit(int(max_features))
-    # The alphabetical index is a rank over at most max_features rows.
-    table = kept.select(
-        "term", (F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("idx"), "df", "tf_total",
-        (F.log((F.lit(1.0) + F.lit(float(n_docs))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
-    # Written as a small table (<= max_features rows) before the terms are
-    # released: a cache built on the persisted terms would be invalidated by
-    # their unpersist and silently recomputed.
+    idf = F.log((F.lit(1.0) + F.lit(float(n_docs))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0) if use_idf else F.lit(1.0)
     from ..session import materialize
-    table = materialize(table, "vocabulary")
+    kept = materialize(kept, "vocabulary-terms")
+    # The alphabetical index: a rank over at most max_features rows, or the
+    # distributed sorted index when there is no bound.
+    if max_features is not None:
+        ranked = kept.withColumn("idx", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
+    else:
+        from .encoders import sorted_index
+        index = sorted_index(kept.select(F.col("term").alias("value")))
+        ranked = kept.join(index.withColumnRenamed("value", "term"), "term").withColumn("idx", F.col("idx").cast("int"))
+    table = materialize(ranked.select("term", "idx", "df", "tf_total", idf.alias("idf")), "vocabulary")
     size = table.count()
-    tc.unpersist()
+    if size == 0:
+        raise ValueError("empty vocabulary: no term is within the document-frequency bounds")
     return Vocabulary(table, n_docs, size)
 
 
-def tfidf_long(terms: DataFrame, vocab: Vocabulary, key: str = "train_id") -> DataFrame:
+def tfidf_long(terms: DataFrame, vocab: Vocabulary, key: str = "train_id", sublinear_tf: bool = True) -> DataFrame:
     """(key, term, idx, weight) for vocabulary terms, L2-normalised per row.
 
-    Occurrences are filtered against the broadcast vocabulary first, counted
-    per (row, term) with map-side combine, and normalised with one window
-    per row (a row has at most max_features terms)."""
-    v = F.broadcast(vocab.table.select("term", "idx", "idf"))
-    occ = terms.select(key, F.explode("terms").alias("term")).join(v, "term", "inner")
-    tf = occ.groupBy(key, "term", "idx", "idf").agg(F.count(F.lit(1)).alias("tf"))
-    w = tf.withColumn("_w", (F.lit(1.0) + F.log("tf")) * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
-    return w.select(key, "term", "idx", (F.col("_w") / norm).alias("weight"))
+    Row-local: a sparse count vector against the vocabulary, then the weights
+    and their norm by array functions, then one explode; nothing is shuffled.
+    Terms and idf values come in as one small row (scalar subqueries)."""
+    cv = CountVectorizerModel.from_vocabulary([t for t, _ in vocab.rows()], inputCol="terms", outputCol="_tf")
+    by_index = vocab.table.agg(F.array_sort(F.collect_list(F.struct("idx", "term", "idf"))).alias("v"))
+    d = cv.transform(terms).select(key, F.unwrap_udt("_tf").alias("_tf"),
+                                   by_index.select(F.transform("v", lambda x: x["idf"])).scalar().alias("_idf"),
+                                   by_index.select(F.transform("v", lambda x: x["term"])).scalar().alias("_terms"))
+    scale = (lambda c: F.lit(1.0) + F.log(c)) if sublinear_tf else (lambda c: c)
+    w = F.zip_with("_tf.indices", "_tf.values", lambda i, c: F.struct(i.alias("idx"), F.get("_terms", i).alias("term"), (scale(c) * F.get("_idf", i)).alias("w")))
+    norm = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+    d = d.select(key, w.alias("_w")).select(key, norm.alias("_n"), F.explode("_w").alias("x"))
+    return d.select(key, "x.term", "x.idx", (F.col("x.w") / F.col("_n")).alias("weight"))

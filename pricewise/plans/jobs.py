@@ -30,9 +30,10 @@ from ..sources import listings as SRC
 
 def etl_pipeline(spark: SparkSession, raw: DataFrame, out_dir: str | None = None,
                  min_price: float = K.DEFAULT_MIN_PRICE, max_price: float = K.DEFAULT_MAX_PRICE,
-                 snapshot: str | None = None) -> DataFrame:
+                 snapshot: str | None = None, counted: DataFrame | None = None) -> DataFrame:
     """Load -> profile -> clean -> stats -> save. Returns the summary row
-    (initial rows, final rows, final columns). When ``out_dir`` is given the
+    (initial rows, final rows, final columns). ``counted``: the raw rows with
+    fewer columns, if the caller can count them without a join. When ``out_dir`` is given the
     cleaned table is written twice: an immutable snapshot and the latest."""
     cleaned = CL.clean_listings(raw, min_price, max_price)
     if out_dir:
@@ -40,8 +41,9 @@ def etl_pipeline(spark: SparkSession, raw: DataFrame, out_dir: str | None = None
         cleaned.write.mode("errorifexists").parquet(os.path.join(out_dir, f"snapshot={snap}"))
         spark.read.parquet(os.path.join(out_dir, f"snapshot={snap}")) \
             .write.mode("overwrite").parquet(os.path.join(out_dir, "latest"))
+        cleaned = spark.read.parquet(os.path.join(out_dir, "latest"))  # counted as written
     n_cols = len(cleaned.columns)
-    before = raw.agg(F.count(F.lit(1)).cast("long").alias("n_rows_initial"))
+    before = (raw.select(raw.columns[0]) if counted is None else counted).agg(F.count(F.lit(1)).cast("long").alias("n_rows_initial"))
     after = cleaned.agg(F.count(F.lit(1)).cast("long").alias("n_rows_final"))
     return (before.unionByName(after, allowMissingColumns=True)
                   .agg(F.max("n_rows_initial").alias("n_rows_initial"), F.max("n_rows_final").alias("n_rows_final"))
@@ -57,8 +59,10 @@ class TrainConfig:
     tfidf_max_features: int = K.TFIDF_MAX_FEATURES
     alpha: float = K.RIDGE_ALPHA
     gbt: M.GBTConfig = field(default_factory=M.GBTConfig)
+    feature_selection: bool = False         # trees on the top_n_features only
     top_n_features: int = K.TOP_N_FEATURES
-    cv: int = 0
+    cv: int = K.CV_FOLDS                     # 0: no cross-validation
+    nrows: int | None = None
     test_size: float = K.SPLIT_TEST_SIZE
     seed: int = K.SPLIT_SEED
     save_dir: str | None = None
@@ -71,12 +75,15 @@ class TrainResult:
     metrics: dict
     train: DataFrame
     val: DataFrame
+    val_listings: DataFrame
 
 
-def prepare(spark: SparkSession, sf_dir: str, cfg: TrainConfig):
-    """Clean, split (stratified by cat_main), add label = log1p(price)."""
-    cleaned = CL.clean_listings(SRC.listings(spark, sf_dir))
-    split = SP.train_val_split(cleaned, cfg.test_size, cfg.seed, "cat_main").withColumn("label", F.log1p("price"))
+def prepare(raw: DataFrame, cfg: TrainConfig):
+    """Clean the raw listings (the first ``nrows`` in key order), split them
+    (stratified by cat_main) and add label = log1p(price)."""
+    if cfg.nrows is not None:
+        raw = SRC.head_n(raw, cfg.nrows)
+    split = SP.train_val_split(CL.clean_listings(raw, add_features=False), cfg.test_size, cfg.seed, "cat_main").withColumn("label", F.log1p("price"))
     split = S.materialize(split, "split")
     return split.filter(F.col("split") == "train"), split.filter(F.col("split") == "val")
 
@@ -87,25 +94,27 @@ def predict(model, df: DataFrame, features: str = "features") -> DataFrame:
     return model.setFeaturesCol(features).setPredictionCol("prediction").transform(df)
 
 
-def train_pipeline(spark: SparkSession, sf_dir: str, cfg: TrainConfig | None = None) -> TrainResult:
+def fit_model(train: DataFrame, val: DataFrame | None, cfg: TrainConfig):
+    """The model of ``cfg.model_type`` on a feature frame."""
+    if cfg.model_type == "ridge":
+        return M.train_ridge(train, cfg.alpha)
+    weights = (0.0, 1.0) if cfg.model_type == "gbt" else K.ENSEMBLE_WEIGHTS
+    return M.train_ensemble(train, val, cfg.alpha, cfg.gbt, cfg.top_n_features if cfg.feature_selection else None, weights, cfg.model_type)
+
+
+def train_pipeline(spark: SparkSession, raw: DataFrame, cfg: TrainConfig | None = None) -> TrainResult:
+    """Train on any raw listings (``RAW_SCHEMA``): clean, split, fit the
+    preprocessor and the model, validate, cross-validate, save."""
     cfg = cfg or TrainConfig()
     if cfg.model_type not in ("ridge", "gbt", "ensemble"):
         raise ValueError(f"unknown model type: {cfg.model_type}")
-    train, val = prepare(spark, sf_dir, cfg)
+    train, val = prepare(raw, cfg)
     pre = FE.ListingPreprocessor(tfidf_max_features=cfg.tfidf_max_features).fit(train)
     xtr = S.cut_lineage(pre.transform(train, keep=["label", "price"]))
     xva = S.cut_lineage(pre.transform(val, keep=["label", "price"]))
     metrics: dict = {"model_type": cfg.model_type, "n_features": pre.n_features}
-    if cfg.model_type == "ridge":
-        model = M.train_ridge(xtr, cfg.alpha)
-    elif cfg.model_type == "gbt":
-        ridge = M.train_ridge(xtr, cfg.alpha)
-        sel = M.top_features_by_importance(M.linear_importances(xtr, ridge), cfg.top_n_features)
-        gbt, n = M.train_gbt(M.select_features(xtr, sel), M.select_features(xva, sel), cfg.gbt, "features_sel")
-        model = M.Ensemble(ridge, gbt, sel, (0.0, 1.0), n, "gbt")
-        metrics["n_trees"] = n
-    else:
-        model = M.train_ensemble(xtr, xva, cfg.alpha, cfg.gbt, cfg.top_n_features)
+    model = fit_model(xtr, xva, cfg)
+    if isinstance(model, M.Ensemble):
         metrics["n_trees"] = model.n_trees
     pred = predict(model, xva)
     metrics["val_rmsle"] = M.rmsle(pred)
@@ -113,13 +122,10 @@ def train_pipeline(spark: SparkSession, sf_dir: str, cfg: TrainConfig | None = N
         metrics["ridge_rmsle"] = M.rmsle(pred, pred="_p_ridge")
         metrics["gbt_rmsle"] = M.rmsle(pred, pred="_p_gbt")
     if cfg.cv and cfg.cv > 1:
-        folds = SP.kfold_assign(xtr, cfg.cv, cfg.seed)
-
-        def fit_predict(tr, te):
-            if cfg.model_type == "ridge":
-                return predict(M.train_ridge(tr, cfg.alpha), te)
-            return predict(M.train_ensemble(tr, None, cfg.alpha, cfg.gbt, cfg.top_n_features), te)
-        scores = M.cross_validate(folds, fit_predict, cfg.cv)
+        # Fold labels are fixed once; every fold fits the configured model type.
+        folds = S.cut_lineage(SP.kfold_assign(xtr, cfg.cv, cfg.seed))
+        scores = M.cross_validate(folds, lambda tr, te: predict(fit_model(tr, None, cfg), te), cfg.cv)
+        metrics["cv_scores"] = [r["rmsle"] for r in scores.orderBy("fold").collect()]
         s = M.cv_summary(scores).first()
         metrics["cv_rmsle_mean"], metrics["cv_rmsle_std"] = s["rmsle_mean"], s["rmsle_std"]
     counts = xtr.agg(F.count(F.lit(1)).alias("n")).first()["n"], xva.agg(F.count(F.lit(1)).alias("n")).first()["n"]
@@ -135,7 +141,7 @@ def train_pipeline(spark: SparkSession, sf_dir: str, cfg: TrainConfig | None = N
         M.run_metadata(spark, version, cfg.model_type, metrics, cfg.__dict__) \
             .write.mode("append").json(os.path.join(cfg.save_dir, "metadata"))
         metrics["version"] = version
-    return TrainResult(pre, model, metrics, xtr, xva)
+    return TrainResult(pre, model, metrics, xtr, xva, val)
 
 
 def metrics_frame(spark: SparkSession, metrics: dict) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Each statement runs on the raw test tables (views ``orders``, ``part``,
 ``customer``, ``documents`` ...) and rebuilds the listings view and the
-cleaning chain itself, so it shares no code with the Spark side.
+cleaning chain itself. It shares the fixed lists of ``constants`` and the label
+dictionary with the Spark side (a test pins their hashes), and no logic.
 """
 
 from __future__ import annotations
@@ -573,3 +574,62 @@ LEFT JOIN kw ON kw.train_id = va.train_id
 LEFT JOIN enc_brand_name e1 ON e1.category = coalesce(va.brand_name, 'unknown')
 LEFT JOIN enc_cat_sub1 e2 ON e2.category = coalesce(va.cat_sub1, 'unknown')
 LEFT JOIN enc_cat_sub2 e3 ON e3.category = coalesce(va.cat_sub2, 'unknown')""")
+
+
+# ---------------------------------------------------------- training runs --
+_COUNTS = cleaned_ctes() + split_ctes() + _TRVA + vocab_ctes() + """,
+counts AS (SELECT (SELECT count(*) FROM tr) AS n_train, (SELECT count(*) FROM va) AS n_val,
+  (SELECT count(*) FROM vocab) + (SELECT count(DISTINCT coalesce(cat_main, 'unknown')) FROM tr) + 17 AS n_features)
+"""
+register("train_ridge", _COUNTS + "SELECT 'ridge' AS model_type, *, true AS stationary, true AS error_recomputed FROM counts")
+for _kind in ("gbt", "ensemble"):
+    register(f"train_{_kind}", _COUNTS + f"SELECT '{_kind}' AS model_type, *, true AS trees_kept, true AS blend_exact, true AS no_worse_than_mean FROM counts")
+register("model_metadata", _COUNTS + "SELECT 'ridge' AS model_type, *, true AS same_error FROM counts")
+register("score_listings", cleaned_ctes() + split_ctes() + _TRVA + " SELECT train_id, true AS band_ordered, true AS floored, true AS priced FROM va")
+register("score_stream", cleaned_ctes() + split_ctes() + _TRVA + " SELECT train_id, true AS stream_equals_batch FROM va")
+register("preprocessor_round_trip", cleaned_ctes() + split_ctes() + _TRVA + " SELECT train_id, true AS same FROM va")
+register("train_cross_validation", cleaned_ctes() + split_ctes() + _TRVA + " SELECT CAST(5 AS BIGINT) AS n_folds, count(*) AS n_train, true AS summary_follows FROM tr")
+
+_FOLDS = cleaned_ctes() + split_ctes() + """,
+kf AS (SELECT *, ln(1 + price) AS y, row_number() OVER (ORDER BY _h, train_id) - 1 AS r, count(*) OVER () AS n FROM split WHERE split = 'train'),
+kq AS (SELECT *, n // 5 AS q, n % 5 AS rem FROM kf),
+fo AS (SELECT *, CASE WHEN r < rem * (q + 1) THEN r // (q + 1) ELSE rem + (r - rem * (q + 1)) // q END AS fold FROM kq),
+ks AS (SELECT unnest(range(5)) AS k),
+"""
+register("cross_validate", _FOLDS + """
+st AS (SELECT k, coalesce(cat_sub1, 'unknown') AS c, count(*) AS n, sum(y) AS s FROM fo, ks WHERE fold <> k GROUP BY 1, 2),
+g AS (SELECT k, sum(s) / sum(n) AS g FROM st GROUP BY 1),
+e AS (SELECT st.k, c, CASE WHEN n < 5 THEN g ELSE (s + 10.0 * g) / (n + 10.0) END AS v FROM st JOIN g USING (k)),
+sc AS (SELECT fold, sqrt(avg(pow(y - coalesce(v, g), 2))) AS r FROM fo JOIN g ON g.k = fold
+       LEFT JOIN e ON e.k = fold AND e.c = coalesce(cat_sub1, 'unknown') GROUP BY 1)
+SELECT round(avg(r), 6) AS rmsle_mean, round(stddev_pop(r), 6) AS rmsle_std, count(*) AS n_folds FROM sc""")
+register("cv_summary", _FOLDS + """
+m AS (SELECT k, avg(y) AS m FROM fo, ks WHERE fold <> k GROUP BY 1),
+sc AS (SELECT fold, sqrt(avg(pow(y - m, 2))) AS r FROM fo JOIN m ON m.k = fold GROUP BY 1)
+SELECT round(avg(r), 6) AS rmsle_mean, round(stddev_pop(r), 6) AS rmsle_std, count(*) AS n_folds FROM sc""")
+
+register("split_target", cleaned_ctes(features=False) + "SELECT train_id, item_condition_id, price AS label FROM cleaned")
+register("required_columns", cleaned_ctes(features=False) + """
+SELECT 'all' AS view, true AS passes, count(*) AS n_rows FROM cleaned
+UNION ALL SELECT 'no_price', count(*) > 0, count(*) FROM listings
+UNION ALL SELECT 'no_name', false, 0""")
+register("i18n_labels", cleaned_ctes(features=False) + ",\n" + _labels_values() + """,
+n AS (SELECT item_condition_id, count(*) AS n_listings FROM cleaned GROUP BY 1)
+SELECT g.lang, n.item_condition_id, coalesce(nullif(l1.label, ''), nullif(l2.label, ''), CAST(n.item_condition_id AS VARCHAR)) AS condition_label, n_listings
+FROM n CROSS JOIN (SELECT unnest(['fr', 'en', 'es']) AS lang) g
+LEFT JOIN lbl l1 ON l1.lang = g.lang AND l1.section = 'conditions' AND l1.key = CAST(n.item_condition_id AS VARCHAR)
+LEFT JOIN lbl l2 ON l2.lang = 'en' AND l2.section = 'conditions' AND l2.key = CAST(n.item_condition_id AS VARCHAR)""")
+
+register("assembled_features", cleaned_ctes() + split_ctes() + _TRVA + _te("brand_name") + _te("cat_sub1") + _te("cat_sub2") + f""",
+kw AS (SELECT train_id, {_kw_cols('item_description')}, {word_count_sql('name')} AS nl, {word_count_sql('item_description')} AS dl FROM va),
+w AS (SELECT va.train_id, [coalesce(e1.encoded, (SELECT g FROM g_brand_name)), coalesce(e2.encoded, (SELECT g FROM g_cat_sub1)),
+    coalesce(e3.encoded, (SELECT g FROM g_cat_sub2)), va.item_condition_id, va.shipping, kw.nl, kw.dl, {_true("kw.dl > 0")},
+    kw.kw_excellent, kw.kw_good, kw.kw_fair, kw.kw_poor, kw.kw_luxury, kw.kw_budget,
+    (kw.kw_excellent * 1.0 + kw.kw_good * 0.5) - (kw.kw_fair * 0.5 + kw.kw_poor * 1.0),
+    {_true("kw.kw_excellent + kw.kw_good + kw.kw_fair + kw.kw_poor > 0")}, {_true("kw.kw_luxury > 0")}]::DOUBLE[] AS v
+  FROM va JOIN kw ON kw.train_id = va.train_id
+  LEFT JOIN enc_brand_name e1 ON e1.category = coalesce(va.brand_name, 'unknown')
+  LEFT JOIN enc_cat_sub1 e2 ON e2.category = coalesce(va.cat_sub1, 'unknown')
+  LEFT JOIN enc_cat_sub2 e3 ON e3.category = coalesce(va.cat_sub2, 'unknown')),
+x AS (SELECT train_id, unnest(v) AS value, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS slot FROM w)
+SELECT train_id, slot, round(value, 6) AS value FROM x WHERE value <> 0""")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +34,21 @@ def query(name: str):
     return deco
 
 
-def cleaned(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
-    return CL.clean_listings(SRC.listings(spark, sf_dir), **kw)
+def view(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The listings view with the key and the columns that a query needs."""
+    return SRC.listings(spark, sf_dir, columns=["train_id", *columns])
+
+
+def cleaned(spark: SparkSession, sf_dir: str, *columns: str, **kw) -> DataFrame:
+    """Cleaned listings; with ``columns``, a narrow view of them (and the price).
+    The top brands are counted without texts."""
+    raw = view(spark, sf_dir, "price", *columns) if columns else SRC.listings(spark, sf_dir)
+    return CL.clean_listings(raw, brands=view(spark, sf_dir, "price", "brand_name"), **kw)
+
+
+NARROW = {"add_features": False}
+CATEGORIES = ("category_name", "brand_name")
+TEXTS = ("category_name", "name", "item_description")
 
 
 @query("listing_brand_encoding")
@@ -60,28 +74,28 @@ def scan_head_n(spark, sf_dir):
 
 @query("price_range_filter")
 def price_range_filter(spark, sf_dir):
-    return CL.price_range_filter(SRC.listings(spark, sf_dir)).select("train_id", "price")
+    return CL.price_range_filter(view(spark, sf_dir, "price")).select("train_id", "price")
 
 
 @query("fill_missing_brand")
 def fill_missing_brand(spark, sf_dir):
-    return CL.fill_missing_brand(SRC.listings(spark, sf_dir)).select("train_id", "brand_name")
+    return CL.fill_missing_brand(view(spark, sf_dir, "brand_name")).select("train_id", "brand_name")
 
 
 @query("split_category")
 def split_category(spark, sf_dir):
-    return CL.split_category(SRC.listings(spark, sf_dir)).select(
+    return CL.split_category(view(spark, sf_dir, "category_name")).select(
         "train_id", "category_name", "cat_main", "cat_sub1", "cat_sub2")
 
 
 @query("clean_name")
 def clean_name(spark, sf_dir):
-    return CL.clean_name(SRC.listings(spark, sf_dir)).select("train_id", "name")
+    return CL.clean_name(view(spark, sf_dir, "name")).select("train_id", "name")
 
 
 @query("clean_description")
 def clean_description(spark, sf_dir):
-    return CL.clean_description(SRC.listings(spark, sf_dir)).select("train_id", "item_description")
+    return CL.clean_description(view(spark, sf_dir, "item_description")).select("train_id", "item_description")
 
 
 @query("clean_listings")
@@ -92,18 +106,18 @@ def clean_listings(spark, sf_dir):
 
 @query("listing_text_features")
 def listing_text_features(spark, sf_dir):
-    return cleaned(spark, sf_dir, add_features=False).transform(CL.add_text_features).select(
+    return cleaned(spark, sf_dir, "name", "item_description", **NARROW).transform(CL.add_text_features).select(
         "train_id", "name_len", "desc_len", "has_description")
 
 
 @query("top_brand_flag")
 def top_brand_flag(spark, sf_dir):
-    return cleaned(spark, sf_dir, top_n=10).select("train_id", "brand_name", "is_top_brand")
+    return cleaned(spark, sf_dir, "brand_name", top_n=10).select("train_id", "brand_name", "is_top_brand")
 
 
 @query("passthrough_numeric")
 def passthrough_numeric(spark, sf_dir):
-    return cleaned(spark, sf_dir, add_features=False).select("train_id", "item_condition_id", "shipping")
+    return cleaned(spark, sf_dir, "item_condition_id", "shipping", **NARROW).select("train_id", "item_condition_id", "shipping")
 
 
 # --------------------------------------------------------- aggregates ------
@@ -115,7 +129,7 @@ def table_profile(spark, sf_dir):
 
 @query("clean_stats")
 def clean_stats(spark, sf_dir):
-    s = PR.clean_stats(cleaned(spark, sf_dir))
+    s = PR.clean_stats(cleaned(spark, sf_dir), prices=cleaned(spark, sf_dir, "price", **NARROW))
     return s.select("n_rows", "n_cols", "price_min", "price_max", F.round("price_mean", 6).alias("price_mean"),
                     F.round("price_median", 6).alias("price_median"), "n_categories_main", "n_brands",
                     F.round("pct_unknown_brand", 6).alias("pct_unknown_brand"),
@@ -124,46 +138,45 @@ def clean_stats(spark, sf_dir):
 
 @query("category_level_counts")
 def category_level_counts(spark, sf_dir):
-    return PR.category_level_counts(cleaned(spark, sf_dir, add_features=False))
+    return PR.category_level_counts(cleaned(spark, sf_dir, "category_name", **NARROW))
 
 
 @query("category_stats")
 def category_stats(spark, sf_dir):
-    return PR.category_stats(cleaned(spark, sf_dir, add_features=False))
+    return PR.category_stats(cleaned(spark, sf_dir, *CATEGORIES, **NARROW))
 
 
 @query("top_k_values")
 def top_k_values(spark, sf_dir):
-    return PR.top_k_values(cleaned(spark, sf_dir, add_features=False), 5)
+    return PR.top_k_values(cleaned(spark, sf_dir, *CATEGORIES, **NARROW), 5)
 
 
 @query("brand_value_counts")
 def brand_value_counts(spark, sf_dir):
-    return CL.brand_counts(cleaned(spark, sf_dir, add_features=False))
+    return CL.brand_counts(cleaned(spark, sf_dir, "brand_name", **NARROW))
 
 
 @query("top_k_brands")
 def top_k_brands(spark, sf_dir):
-    top = CL.top_brands(cleaned(spark, sf_dir, add_features=False), 10)
+    top = CL.top_brands(cleaned(spark, sf_dir, "brand_name", **NARROW), 10)
     return top.select("brand_name", "n_listings",
                       F.row_number().over(Window.orderBy(F.desc("n_listings"), F.asc("brand_name"))).cast("int").alias("rank"))
 
 
 @query("removal_report")
 def removal_report(spark, sf_dir):
-    raw = SRC.listings(spark, sf_dir)
-    return PR.removal_report(raw, CL.clean_listings(raw))
+    return PR.removal_report(view(spark, sf_dir, "brand_name"), cleaned(spark, sf_dir))
 
 
 # ------------------------------------------------ sampling and splits ------
 
-def split_listings(spark, sf_dir):
-    return SP.train_val_split(cleaned(spark, sf_dir), stratify_col="cat_main")
+def split_listings(spark, sf_dir, *columns):
+    return SP.train_val_split(cleaned(spark, sf_dir, "category_name", *columns, **NARROW), stratify_col="cat_main")
 
 
 @query("exact_sample")
 def exact_sample(spark, sf_dir):
-    return SP.exact_sample(SRC.listings(spark, sf_dir), 10000, seed=42).select("train_id", "price")
+    return SP.exact_sample(view(spark, sf_dir, "price"), 10000, seed=42).select("train_id", "price")
 
 
 @query("train_val_split")
@@ -189,12 +202,12 @@ def target_summary(spark, sf_dir):
 
 @query("combine_text")
 def combine_text(spark, sf_dir):
-    return SRC.listings(spark, sf_dir).select("train_id", TX.combine_text("name", "item_description").alias("text"))
+    return view(spark, sf_dir, "name", "item_description").select("train_id", TX.combine_text("name", "item_description").alias("text"))
 
 
 @query("normalize_text")
 def normalize_text(spark, sf_dir):
-    return cleaned(spark, sf_dir, add_features=False).select(
+    return cleaned(spark, sf_dir, "name", "item_description", **NARROW).select(
         "train_id", TX.normalize_text(TX.combine_text("name", "item_description")).alias("text"))
 
 
@@ -203,26 +216,26 @@ def normalize_text(spark, sf_dir):
 def keyword_count(spark, sf_dir):
     """Substring keyword count of the 'poor' list over the raw description."""
     from .. import constants as K
-    return SRC.listings(spark, sf_dir).select(
+    return view(spark, sf_dir, "item_description").select(
         "train_id", TX.keyword_count("item_description", K.QUALITY_KEYWORDS["poor"]).alias("kw_poor"))
 
 
 @query("keyword_features")
 def keyword_features(spark, sf_dir):
     kw = TX.keyword_features("item_description")
-    return cleaned(spark, sf_dir, add_features=False).select("train_id", *[c.alias(n) for n, c in kw.items()])
+    return cleaned(spark, sf_dir, "item_description", **NARROW).select("train_id", *[c.alias(n) for n, c in kw.items()])
 
 
 @query("tokenize_ngrams")
 def tokenize_ngrams(spark, sf_dir):
-    terms = TF.listing_terms(cleaned(spark, sf_dir, add_features=False))
+    terms = TF.listing_terms(cleaned(spark, sf_dir, "name", "item_description", **NARROW))
     return terms.select("train_id", F.size("terms").alias("n_terms"), F.array_join("terms", "|").alias("terms"))
 
 
 @query("log_target")
 def log_target(spark, sf_dir):
     lp = F.log1p("price")
-    return cleaned(spark, sf_dir, add_features=False).select(
+    return cleaned(spark, sf_dir, "price", **NARROW).select(
         "train_id", F.round(lp, 6).alias("log_price"), F.round(F.expm1(lp), 6).alias("price_back"))
 
 
@@ -243,7 +256,7 @@ def scoring_request(spark, sf_dir):
 @query("meaningful_words")
 def meaningful_words(spark, sf_dir):
     from .. import constants as K
-    d = cleaned(spark, sf_dir, add_features=False).select(
+    d = cleaned(spark, sf_dir, "name", "item_description", **NARROW).select(
         "train_id", TX.meaningful_words("name", "item_description").alias("n_meaningful"))
     return d.withColumn("low_confidence", (F.col("n_meaningful") < K.MIN_WORDS_FOR_RELIABLE_ESTIMATE).cast("int"))
 
@@ -252,26 +265,26 @@ def meaningful_words(spark, sf_dir):
 
 @query("localize_labels")
 def localize_labels(spark, sf_dir):
-    d = cleaned(spark, sf_dir, add_features=False).select("train_id", "cat_main", "cat_sub1", "item_condition_id")
+    d = cleaned(spark, sf_dir, "category_name", "item_condition_id", **NARROW).select("train_id", "cat_main", "cat_sub1", "item_condition_id")
     return I18N.localize_labels(d, "fr", I18N.labels(spark)).select(
         "train_id", "condition_label", "cat_main_label", "cat_sub1_label")
 
 
 @query("taxonomy_conformity")
 def taxonomy_conformity(spark, sf_dir):
-    d = cleaned(spark, sf_dir, add_features=False).select("train_id", "cat_main", "cat_sub1")
+    d = cleaned(spark, sf_dir, "category_name", **NARROW).select("train_id", "cat_main", "cat_sub1")
     return I18N.taxonomy_conformity(d, spark).select("train_id", "conforms")
 
 
 # ----------------------------------------------------------- encoders ------
 
-def split_frames(spark, sf_dir):
+def split_frames(spark, sf_dir, *columns):
     """Train and validation listings with label = log1p(price). The split is
     read by several passes (fits, transforms, counts) that each need a few
     columns, so it is written once as a Parquet table in the shared
     checkpoint folder (column pruning on every re-read)."""
     from ..session import materialize
-    s = materialize(split_listings(spark, sf_dir).withColumn("label", F.log1p("price")), "split")
+    s = materialize(split_listings(spark, sf_dir, *columns).withColumn("label", F.log1p("price")), "split")
     return s.filter(F.col("split") == "train"), s.filter(F.col("split") == "val")
 
 
@@ -292,7 +305,7 @@ def one_hot_encode(spark, sf_dir):
 
 @query("target_encode")
 def target_encode(spark, sf_dir):
-    train, val = split_frames(spark, sf_dir)
+    train, val = split_frames(spark, sf_dir, "brand_name")
     out = val
     for c in ("brand_name", "cat_sub1", "cat_sub2"):
         out = EN.fit_target_encoder(train, c, "label").transform(out)
@@ -302,7 +315,7 @@ def target_encode(spark, sf_dir):
 
 @query("unknown_values")
 def unknown_values(spark, sf_dir):
-    train, val = split_frames(spark, sf_dir)
+    train, val = split_frames(spark, sf_dir, "brand_name")
     parts = [EN.unknown_values(val, c, train.select(EN.filled(c).alias("value")).distinct())
              for c in ("brand_name", "cat_sub1", "cat_sub2")]
     out = parts[0]
@@ -314,7 +327,7 @@ def unknown_values(spark, sf_dir):
 # ------------------------------------------------------------- tf-idf ------
 
 def tfidf_parts(spark, sf_dir, max_features=10000):
-    train, val = split_frames(spark, sf_dir)
+    train, val = split_frames(spark, sf_dir, *TEXTS)
     vocab = TF.fit_vocabulary(TF.listing_terms(train), max_features=max_features)
     return vocab, TF.listing_terms(val)
 
@@ -363,7 +376,7 @@ def abs_error_example(spark, sf_dir):
 
 @query("etl_pipeline")
 def etl_pipeline(spark, sf_dir):
-    return J.etl_pipeline(spark, SRC.listings(spark, sf_dir))
+    return J.etl_pipeline(spark, SRC.listings(spark, sf_dir), counted=view(spark, sf_dir))
 
 
 @query("feature_names")
@@ -371,7 +384,7 @@ def feature_names(spark, sf_dir):
     """(idx, name) of the assembled feature vector, built from the fitted
     vocabulary and one-hot categories (training split)."""
     from .. import constants as K
-    train, _ = split_frames(spark, sf_dir)
+    train, _ = split_frames(spark, sf_dir, *TEXTS)
     vocab = TF.fit_vocabulary(TF.listing_terms(train))
     oh = EN.fit_one_hot(train, "cat_main")
     v, k = vocab.size, oh.n_categories
@@ -384,36 +397,68 @@ def feature_names(spark, sf_dir):
             .unionByName(fixed.select((F.col("pos") + F.lit(v + k)).cast("int").alias("idx"), "name")))
 
 
+#: The boosted models of the registered queries are smaller than the defaults
+#: (1000 trees of depth 8 on all features), which do not finish here in hours:
+#: Spark bins all 10,000 sparse columns densely for every tree level.
 QUICK_GBT = dict(n_estimators=30, max_depth=5, early_stopping_rounds=10)
 
 
-def _train(spark, sf_dir, model_type, cv=0):
+def _train(spark, sf_dir, model_type, cv=0, save_dir=None):
     from ..operators.models import GBTConfig
-    cfg = J.TrainConfig(model_type=model_type, gbt=GBTConfig(**QUICK_GBT), top_n_features=300, cv=cv)
-    return J.train_pipeline(spark, sf_dir, cfg)
+    cfg = J.TrainConfig(model_type=model_type, gbt=GBTConfig(**QUICK_GBT), feature_selection=True, top_n_features=300, cv=cv, save_dir=save_dir)
+    return J.train_pipeline(spark, SRC.listings(spark, sf_dir), cfg)
+
+
+def _counts(r) -> list:
+    return [r.metrics["model_type"], r.metrics["n_train"], r.metrics["n_val"], r.metrics["n_features"]]
+
+
+_COUNTS = "model_type string, n_train long, n_val long, n_features long"
 
 
 @query("train_ridge")
 def train_ridge(spark, sf_dir):
-    return J.metrics_frame(spark, _train(spark, sf_dir, "ridge").metrics)
+    """Ridge through the training job. ``stationary``: the residuals meet the normal
+    equations X'r = alpha w (within 1 % of X'y); ``error_recomputed``: the
+    recorded validation error follows from the saved coefficients."""
+    import numpy as np
+    from .. import constants as K
+    r = _train(spark, sf_dir, "ridge")
+    gap, scale = MD.ridge_stationarity(r.train, r.model, K.RIDGE_ALPHA)
+    return spark.createDataFrame([(*_counts(r), bool(gap <= 0.01 * scale), bool(np.isclose(MD.rmsle(J.predict(r.model, r.val)), r.metrics["val_rmsle"], rtol=1e-9)))],
+                                 _COUNTS + ", stationary boolean, error_recomputed boolean")
+
+
+def _trees(spark, r, weights):
+    p = r.model.predict(r.val)
+    off = p.select(F.max(F.abs(F.col("prediction") - (weights[0] * F.col("_p_ridge") + weights[1] * F.col("_p_gbt")))).alias("d")).first()["d"]
+    spread = r.val.agg(F.stddev_pop("label")).first()[0]
+    return spark.createDataFrame([(*_counts(r), 1 <= r.metrics["n_trees"] <= QUICK_GBT["n_estimators"] and r.model.gbt.getNumTrees == r.metrics["n_trees"],
+                                   bool(off < 1e-9), bool(MD.rmsle(p, pred="_p_gbt") <= 1.05 * spread))],
+                                 _COUNTS + ", trees_kept boolean, blend_exact boolean, no_worse_than_mean boolean")
 
 
 @query("train_gbt")
 def train_gbt(spark, sf_dir):
-    return J.metrics_frame(spark, _train(spark, sf_dir, "gbt").metrics)
+    return _trees(spark, _train(spark, sf_dir, "gbt"), (0.0, 1.0))
 
 
 @query("train_ensemble")
 def train_ensemble(spark, sf_dir):
-    return J.metrics_frame(spark, _train(spark, sf_dir, "ensemble").metrics)
+    from .. import constants as K
+    return _trees(spark, _train(spark, sf_dir, "ensemble"), K.ENSEMBLE_WEIGHTS)
 
 
 @query("cross_validate")
 def cross_validate(spark, sf_dir):
-    r = _train(spark, sf_dir, "ridge")
-    folds = SP.kfold_assign(r.train, 5)
-    scores = MD.cross_validate(folds, lambda tr, te: J.predict(MD.train_ridge(tr), te), 5)
-    return MD.cv_summary(scores).select("rmsle_mean", "rmsle_std", F.size("scores").alias("n_folds"))
+    """Five folds of the category-mean predictor: the target encoding of cat_sub1,
+    fitted on the other folds (ridge folds run inside the training job)."""
+    from ..session import materialize
+    train, _ = split_frames(spark, sf_dir)
+    folds = materialize(SP.kfold_assign(train, 5), "folds")
+    scores = MD.cross_validate(folds, lambda tr, te: EN.fit_target_encoder(tr, "cat_sub1", "label").transform(te, "prediction"), 5)
+    s = MD.cv_summary(scores)
+    return s.select(F.round("rmsle_mean", 6).alias("rmsle_mean"), F.round("rmsle_std", 6).alias("rmsle_std"), F.size("scores").cast("long").alias("n_folds"))
 
 
 @query("select_top_features")
@@ -427,49 +472,67 @@ def select_top_features(spark, sf_dir):
     return spark.createDataFrame(rows, "idx int, name string, importance double")
 
 
+def _checked_scores(scores: DataFrame) -> DataFrame:
+    """Per listing: whether its band is ordered around the price, and floored."""
+    return scores.select("train_id", ((F.col("price_low") <= F.col("predicted_price")) & (F.col("predicted_price") <= F.greatest("price_high", F.lit(1.0)))).alias("band_ordered"),
+                         ((F.col("predicted_price") >= 1) & (F.col("price_low") >= 1)).alias("floored"),
+                         (F.abs(F.col("predicted_price") - F.greatest(F.lit(1.0), F.expm1("prediction") * 1.3)) < 1e-9).alias("priced"))
+
+
 @query("score_listings")
 def score_listings(spark, sf_dir):
     from ..streaming.score_stream import scored
     r = _train(spark, sf_dir, "ridge")
-    _, val = split_frames(spark, sf_dir)
-    return scored(r.preprocessor, r.model, val)
+    return _checked_scores(scored(r.preprocessor, r.model, r.val_listings))
 
 
 @query("score_stream")
 def score_stream(spark, sf_dir):
     """Validation listings landed as files in the shared checkpoint folder,
-    then scored by a streaming query (availableNow)."""
+    then scored by a streaming query (availableNow); every row is compared
+    with the batch score."""
     import os
     import uuid
     from .. import session as S
     from ..streaming.score_stream import score_stream as run
+    from ..streaming.score_stream import scored
     r = _train(spark, sf_dir, "ridge")
-    _, val = split_frames(spark, sf_dir)
     base = os.path.join(S.checkpoint_dir(spark), "stream-" + uuid.uuid4().hex[:8])
     src = os.path.join(base, "incoming")
-    val.select(*SRC.RAW_COLUMNS, "cat_main", "cat_sub1", "cat_sub2").repartition(4).write.parquet(src)
-    return run(spark, r.preprocessor, r.model, src, os.path.join(base, "scored"), os.path.join(base, "checkpoint"))
+    r.val_listings.select(*SRC.RAW_COLUMNS, "cat_main", "cat_sub1", "cat_sub2").write.parquet(src)
+    streamed = run(spark, r.preprocessor, r.model, src, os.path.join(base, "scored"), os.path.join(base, "checkpoint"))
+    batch = scored(r.preprocessor, r.model, r.val_listings).select("train_id", F.col("prediction").alias("batch"))
+    return streamed.join(batch, "train_id", "full").select("train_id", F.coalesce(F.abs(F.col("prediction") - F.col("batch")) < 1e-9, F.lit(False)).alias("stream_equals_batch"))
 
 
 @query("feature_nonzeros")
 def feature_nonzeros(spark, sf_dir):
     """Non-zero features per validation listing (hand-checked scoring cases
     in the reference print the same count)."""
-    r = _train(spark, sf_dir, "ridge")
-    nnz = F.udf(lambda v: int(v.numNonzeros()), "int")
-    return r.val.select("train_id", nnz("features").alias("n_nonzero"))
+    from ..operators.features import ListingPreprocessor
+    train, val = split_frames(spark, sf_dir, *SRC.RAW_COLUMNS)
+    x = ListingPreprocessor().fit(train).transform(val)
+    values = F.unwrap_udt("features")["values"]
+    return x.select("train_id", F.size(F.filter(values, lambda v: v != 0)).alias("n_nonzero"))
 
 
 @query("model_metadata")
 def model_metadata(spark, sf_dir):
+    """A saved run, found again by its version: the recorded counts, and that the
+    loaded preprocessor and model give the recorded validation error."""
+    import json
     import os
     import uuid
     from .. import session as S
-    from ..operators.models import GBTConfig
+    from ..operators.features import load_preprocessor
     out = os.path.join(S.checkpoint_dir(spark), "models-" + uuid.uuid4().hex[:8])
-    cfg = J.TrainConfig(model_type="ridge", gbt=GBTConfig(**QUICK_GBT), save_dir=out)
-    J.train_pipeline(spark, sf_dir, cfg)
-    return spark.read.json(os.path.join(out, "metadata")).select("version", "model_type", "metrics")
+    r = _train(spark, sf_dir, "ridge", save_dir=out)
+    row = spark.read.json(os.path.join(out, "metadata")).filter(F.col("version") == r.metrics["version"]).first()
+    m = json.loads(row["metrics"])
+    pre, model = load_preprocessor(spark, out, row["version"]), MD.load_model(spark, out, row["version"])
+    again = MD.rmsle(J.predict(model, pre.transform(r.val_listings, keep=["label"])))
+    return spark.createDataFrame([(row["model_type"], m["n_train"], m["n_val"], m["n_features"], abs(again - m["val_rmsle"]) < 1e-9)],
+                                 "model_type string, n_train long, n_val long, n_features long, same_error boolean")
 
 
 @query("encode_categoricals")
@@ -477,7 +540,7 @@ def encode_categoricals(spark, sf_dir):
     """The default categorical block for validation listings: one-hot slot
     of cat_main, smoothed target encodings of brand, cat_sub1 and cat_sub2
     (fitted on the training split), passthrough condition and shipping."""
-    train, val = split_frames(spark, sf_dir)
+    train, val = split_frames(spark, sf_dir, "brand_name", "item_condition_id", "shipping")
     oh = EN.fit_one_hot(train, "cat_main")
     out = oh.transform_index(val)
     for c in ("brand_name", "cat_sub1", "cat_sub2"):
@@ -497,7 +560,7 @@ def write_cleaned(spark, sf_dir):
     import uuid
     from .. import session as S
     out = os.path.join(S.checkpoint_dir(spark), "cleaned-" + uuid.uuid4().hex[:8])
-    J.etl_pipeline(spark, SRC.listings(spark, sf_dir), out_dir=out)
+    J.etl_pipeline(spark, SRC.listings(spark, sf_dir), out_dir=out, counted=view(spark, sf_dir))
     latest = spark.read.parquet(os.path.join(out, "latest"))
     return latest.agg(F.count(F.lit(1)).cast("long").alias("n_rows"),
                       F.countDistinct("train_id").cast("long").alias("n_ids"),
@@ -509,7 +572,7 @@ def fit_preprocessor(spark, sf_dir):
     """Fit the default preprocessor on the training split and report its
     blocks (10,000 TF-IDF terms + one-hot + 3 + 2 + 3 + 9)."""
     from ..operators.features import ListingPreprocessor
-    train, _ = split_frames(spark, sf_dir)
+    train, _ = split_frames(spark, sf_dir, *SRC.RAW_COLUMNS)
     pre = ListingPreprocessor().fit(train)
     names = pre.feature_names()
     return spark.createDataFrame(
@@ -526,5 +589,87 @@ def scan_listings_tsv(spark, sf_dir):
     import uuid
     from .. import session as S
     path = os.path.join(S.checkpoint_dir(spark), "tsv-" + uuid.uuid4().hex[:8])
-    SRC.write_listings_tsv(SRC.listings(spark, sf_dir), path, n_files=8)
+    SRC.write_listings_tsv(SRC.listings(spark, sf_dir), path)
     return SRC.read_listings_tsv(spark, path)
+
+
+@query("train_cross_validation")
+def train_cross_validation(spark, sf_dir):
+    """The training job's own cross-validation (five ridge folds, as configured by
+    default): the number of folds, and that mean and deviation follow from the
+    fold scores."""
+    import numpy as np
+    r = J.train_pipeline(spark, SRC.listings(spark, sf_dir), J.TrainConfig(model_type="ridge", tfidf_max_features=1000))
+    c = r.metrics["cv_scores"]
+    ok = bool(np.isclose(np.mean(c), r.metrics["cv_rmsle_mean"]) and np.isclose(np.std(c), r.metrics["cv_rmsle_std"]) and min(c) > 0)
+    return spark.createDataFrame([(len(c), r.metrics["n_train"], ok)], "n_folds long, n_train long, summary_follows boolean")
+
+
+@query("cv_summary")
+def cv_summary(spark, sf_dir):
+    """Mean, deviation and number of per-fold errors of the training mean."""
+    from ..session import materialize
+    train, _ = split_frames(spark, sf_dir)
+    folds = materialize(SP.kfold_assign(train, 5), "folds")
+    scores = MD.cross_validate(folds, lambda tr, te: te.withColumn("prediction", F.lit(tr.agg(F.avg("label")).first()[0])), 5)
+    s = MD.cv_summary(scores)
+    return s.select(F.round("rmsle_mean", 6).alias("rmsle_mean"), F.round("rmsle_std", 6).alias("rmsle_std"), F.size("scores").cast("long").alias("n_folds"))
+
+
+@query("split_target")
+def split_target(spark, sf_dir):
+    """Target and features apart: the price becomes the label of the same row."""
+    return CL.split_target(cleaned(spark, sf_dir, "item_condition_id", **NARROW)).select("train_id", "item_condition_id", "label")
+
+
+@query("required_columns")
+def required_columns(spark, sf_dir):
+    """Which narrow views pass the check for required columns."""
+    rows = []
+    for name, columns in (("all", SRC.RAW_COLUMNS), ("no_price", [c for c in SRC.RAW_COLUMNS if c != "price"]), ("no_name", [c for c in SRC.RAW_COLUMNS if c != "name"])):
+        df = cleaned(spark, sf_dir, **NARROW) if name == "all" else CL.split_category(view(spark, sf_dir, *columns))
+        try:
+            CL.required_columns(df)
+            rows.append((name, True, df.count()))
+        except ValueError:
+            rows.append((name, False, 0))
+    return spark.createDataFrame(rows, "view string, passes boolean, n_rows long")
+
+
+@query("i18n_labels")
+def i18n_labels(spark, sf_dir):
+    """Labels of the segments that the listings' categories start with, counted by language."""
+    d = cleaned(spark, sf_dir, "category_name", "item_condition_id", **NARROW).groupBy("item_condition_id").agg(F.count(F.lit(1)).alias("n_listings"))
+    parts = [I18N.localize_labels(d.select(F.lit("x").alias("cat_main"), F.lit("y").alias("cat_sub1"), "item_condition_id", "n_listings"), lang, I18N.labels(spark))
+             .select(F.lit(lang).alias("lang"), "item_condition_id", "condition_label", "n_listings") for lang in ("fr", "en", "es")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("preprocessor_round_trip")
+def preprocessor_round_trip(spark, sf_dir):
+    """Validation listings whose feature vector is the same after the fitted
+    preprocessor was saved and loaded."""
+    import os
+    import uuid
+    from .. import session as S
+    from ..operators.features import FittedPreprocessor, ListingPreprocessor
+    train, val = split_frames(spark, sf_dir, *SRC.RAW_COLUMNS)
+    pre = ListingPreprocessor(tfidf_max_features=1000).fit(train)
+    again = FittedPreprocessor.load(spark, pre.save(os.path.join(S.checkpoint_dir(spark), "pre-" + uuid.uuid4().hex[:8])))
+    a = pre.transform(val).select("train_id", F.unwrap_udt("features").alias("a"))
+    b = again.transform(val).select("train_id", F.unwrap_udt("features").alias("b"))
+    return a.join(b, "train_id").select("train_id", F.coalesce(F.col("a").eqNullSafe(F.col("b")), F.lit(False)).alias("same"))
+
+
+@query("assembled_features")
+def assembled_features(spark, sf_dir):
+    """The assembled vector in long form: (listing, slot, value) of the non-zero
+    slots after the TF-IDF and one-hot blocks."""
+    from ..operators.features import ListingPreprocessor
+    train, val = split_frames(spark, sf_dir, *SRC.RAW_COLUMNS)
+    pre = ListingPreprocessor(tfidf_max_features=1000).fit(train)
+    first = len(pre.vocab_terms) + len(pre.onehot["cat_main"])
+    v = pre.transform(val).select("train_id", vector_to_array("features").alias("v"))
+    tail = F.slice("v", first + 1, pre.n_features - first)
+    return (v.select("train_id", F.posexplode(tail).alias("slot", "value")).filter("value <> 0")
+             .select("train_id", "slot", F.round("value", 6).alias("value")))

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 from .. import constants as K
 
@@ -27,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def listings(spark: SparkSession, sf_dir: str, nrows: int | None = None) -> DataFrame:
+def listings(spark: SparkSession, sf_dir: str, nrows: int | None = None, columns: list[str] | None = None) -> DataFrame:
     """One raw listing per order, derived from whole tables and whole texts.
 
     Every order becomes a listing. Its item is part ``k mod |part|`` and its
@@ -40,6 +41,10 @@ def listings(spark: SparkSession, sf_dir: str, nrows: int | None = None) -> Data
     never broadcast, and the per-row text work downstream runs in the join's
     shuffle partitions.
 
+    ``columns`` (default: all) are the columns that the caller needs; a table is
+    joined only if one of them comes from it, so a query without descriptions
+    neither reads nor shuffles a text.
+
     ``nrows`` reads only the first n listings (in key order): the top-n is
     taken on the orders before any join, since every join keeps one row per
     order, so no text of later listings is read.
@@ -47,38 +52,40 @@ def listings(spark: SparkSession, sf_dir: str, nrows: int | None = None) -> Data
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
     if nrows is not None:
         orders = orders.orderBy("o_orderkey").limit(int(nrows))
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    n_part = part.count()
-    n_doc = docs.count()
-
+    columns = [c for c in RAW_COLUMNS if columns is None or c in columns]
     k = F.col("o_orderkey")
-    o = orders.withColumn("_pk", F.pmod(k, F.lit(n_part))).withColumn("_dk", F.pmod(k, F.lit(n_doc)))
-    j = (o.join(part, o["_pk"] == part["p_partkey"], "left")
-          .join(customer, o["o_custkey"] == customer["c_custkey"], "left")
-          .join(docs.hint("merge"), o["_dk"] == docs["doc_id"], "left"))
-    seg = F.col("c_mktsegment")
-    text = F.col("text")
-    return j.select(
-        k.alias("train_id"),
-        F.when(k % 11 == 0, F.concat(F.lit("  "), F.upper("p_name"), F.lit("  [rm]")))
-         .otherwise(F.col("p_name")).alias("name"),
-        F.substring("o_orderpriority", 1, 1).cast("int").alias("item_condition_id"),
-        F.when(k % 97 == 0, F.lit(None).cast("string"))
-         .when(k % 13 == 0, seg)
-         .when(k % 17 == 0, F.concat_ws("/", seg, F.col("p_type"), F.col("p_brand"), F.lit("Extra")))
-         .otherwise(F.concat_ws("/", seg, F.col("p_type"), F.col("p_name"))).alias("category_name"),
-        F.when(k % 5 < 2, F.lit(None).cast("string")).otherwise(F.col("p_brand")).alias("brand_name"),
-        F.when(k % 50 == 0, F.lit(0.0)).otherwise(F.col("o_totalprice") / 200.0).alias("price"),
-        (k % 2).cast("int").alias("shipping"),
-        F.when(k % 29 == 0, F.lit(None).cast("string"))
-         .when(k % 19 == 0, F.lit(K.NO_DESCRIPTION))
-         .when(k % 7 == 0, F.concat(F.lit("NWT  Brand New [rm] "), text))
-         .when(k % 7 == 1, F.concat(F.lit("gently used, minor wear. "), text))
-         .when(k % 7 == 2, F.concat(F.lit("Authentic vintage; small STAIN. "), text))
-         .otherwise(text).alias("item_description"),
-    )
+    j = orders
+    if {"name", "brand_name", "category_name"} & set(columns):
+        part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+        j = j.join(part, F.pmod(k, F.lit(part.count())) == part["p_partkey"], "left")
+    if "category_name" in columns:
+        customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+        j = j.join(customer, j["o_custkey"] == customer["c_custkey"], "left")
+    if "item_description" in columns:
+        docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+        j = j.join(docs.hint("merge"), F.pmod(k, F.lit(docs.count())) == docs["doc_id"], "left")
+    seg, text = F.col("c_mktsegment"), F.col("text")
+    made = {
+        "train_id": lambda: k,
+        "name": lambda: F.when(k % 11 == 0, F.concat(F.lit("  "), F.upper("p_name"), F.lit("  [rm]"))).otherwise(F.col("p_name")),
+        "item_condition_id": lambda: F.substring("o_orderpriority", 1, 1).cast("int"),
+        "category_name": lambda: (
+            F.when(k % 97 == 0, F.lit(None).cast("string"))
+             .when(k % 13 == 0, seg)
+             .when(k % 17 == 0, F.concat_ws("/", seg, F.col("p_type"), F.col("p_brand"), F.lit("Extra")))
+             .otherwise(F.concat_ws("/", seg, F.col("p_type"), F.col("p_name")))),
+        "brand_name": lambda: F.when(k % 5 < 2, F.lit(None).cast("string")).otherwise(F.col("p_brand")),
+        "price": lambda: F.when(k % 50 == 0, F.lit(0.0)).otherwise(F.col("o_totalprice") / 200.0),
+        "shipping": lambda: (k % 2).cast("int"),
+        "item_description": lambda: (
+            F.when(k % 29 == 0, F.lit(None).cast("string"))
+             .when(k % 19 == 0, F.lit(K.NO_DESCRIPTION))
+             .when(k % 7 == 0, F.concat(F.lit("NWT  Brand New [rm] "), text))
+             .when(k % 7 == 1, F.concat(F.lit("gently used, minor wear. "), text))
+             .when(k % 7 == 2, F.concat(F.lit("Authentic vintage; small STAIN. "), text))
+             .otherwise(text)),
+    }
+    return j.select(*[made[c]().alias(c) for c in columns])
 
 
 def null_tokens_to_null(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -90,34 +97,33 @@ def null_tokens_to_null(df: DataFrame, columns: list[str] | None = None) -> Data
         if c in cols else F.col(c) for c in df.columns])
 
 
-def read_listings_tsv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
+def read_listings_tsv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA, multi_line: bool = True) -> DataFrame:
     """Tab-separated listings with a header; quoted cells may hold tabs,
     newlines and doubled quotes. Missing-value tokens become null.
 
-    ``multiLine`` makes each file a single split, so land the result once as
-    Parquet (:func:`land_parquet`) and scan that for repeated work.
+    ``multi_line`` makes each file a single split; without it files are split,
+    and no cell may hold a newline. A missing path is a FileNotFoundError, as
+    Spark sees the path (not the driver's disk).
     """
-    import os
-    if "://" not in path and not os.path.exists(path):
-        raise FileNotFoundError(path)
     string_schema = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
     raw = (spark.read.schema(string_schema)
            .option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"')
-           .option("multiLine", True).option("mode", "FAILFAST").option("nullValue", None)
+           .option("multiLine", multi_line).option("mode", "FAILFAST").option("nullValue", None)
            .option("emptyValue", "")
            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-           .csv(path))
+           )
+    try:
+        raw = raw.csv(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(path) from e
+        raise
     raw = null_tokens_to_null(raw)
     return raw.select(*[
         (F.col(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name).cast(f.dataType)).alias(f.name)
         for f in schema.fields])
 
 
-def land_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    df.write.mode(mode).parquet(path)
-    return path
-
-
 def head_n(df: DataFrame, n: int, key: str = "train_id") -> DataFrame:
     """First ``n`` rows in key order (deterministic ``nrows``)."""
     return df.orderBy(key).limit(n)
@@ -125,8 +131,9 @@ def head_n(df: DataFrame, n: int, key: str = "train_id") -> DataFrame:
 
 def write_listings_tsv(df: DataFrame, path: str, n_files: int | None = None) -> str:
     """Write listings as header + tab-separated cells, quoting every cell
-    that needs it (tabs, newlines, quotes doubled). Several files, so the
-    multi-line reader still gets one split per file."""
+    that needs it (tabs, newlines, quotes doubled). By default one file for
+    each partition, so the multi-line reader gets as many splits as the data
+    has partitions."""
     out = df.repartition(n_files) if n_files else df
     (out.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", '"')
         .option("escape", '"').option("quoteAll", False)

@@ -68,7 +68,7 @@ def test_etl_snapshot_and_latest(spark, sf_dir):
 
 def test_unknown_model_type(spark, sf_dir):
     with pytest.raises(ValueError):
-        J.train_pipeline(spark, sf_dir, J.TrainConfig(model_type="xgboost"))
+        J.train_pipeline(spark, SRC.listings(spark, sf_dir), J.TrainConfig(model_type="xgboost"))
 
 
 def test_ensemble_and_hand_written_requests(spark, sf_dir):
@@ -76,8 +76,8 @@ def test_ensemble_and_hand_written_requests(spark, sf_dir):
     from pricewise.operators.scoring import scoring_request
     from pricewise.streaming.score_stream import scored
     out = os.path.join(S.checkpoint_dir(spark), "models-" + uuid.uuid4().hex[:6])
-    res = J.train_pipeline(spark, sf_dir, J.TrainConfig(
-        model_type="ensemble", tfidf_max_features=200, top_n_features=50, save_dir=out,
+    res = J.train_pipeline(spark, SRC.listings(spark, sf_dir), J.TrainConfig(
+        model_type="ensemble", tfidf_max_features=200, feature_selection=True, top_n_features=50, cv=0, save_dir=out,
         gbt=GBTConfig(n_estimators=4, max_depth=3, early_stopping_rounds=2)))
     assert res.metrics["n_trees"] >= 1 and res.metrics["val_rmsle"] > 0
     version = res.metrics["version"]
@@ -94,7 +94,45 @@ def test_ensemble_and_hand_written_requests(spark, sf_dir):
          "apple iphone 64gb unlocked smartphone cell phone excellent condition works perfectly"),
     ], "train_id long, name string, item_condition_id int, cat_main string, cat_sub1 string, brand_name string, "
        "shipping int, item_description string")
-    req = scoring_request(reqs)
-    assert req.filter(F.col("category_name") == "Electronics/Cell Phones & Accessories/").count() == 3
-    out_rows = scored(res.preprocessor, loaded, req).collect()
+    assert scoring_request(reqs).filter(F.col("category_name") == "Electronics/Cell Phones & Accessories/").count() == 3
+    out_rows = scored(res.preprocessor, loaded, reqs).collect()
     assert len(out_rows) == 3 and all(r.predicted_price >= 1 and r.price_high > 0 for r in out_rows)
+
+
+def test_gbt_folds_fit_gbt(spark, sf_dir):
+    """Fold scores of 'gbt' come from the boosted trees alone, on all features, and
+    equal a fold run by hand."""
+    from pricewise.operators import models as M
+    from pricewise.operators import sampling as SP
+    raw = SRC.head_n(SRC.listings(spark, sf_dir), 400)
+    base = dict(tfidf_max_features=40, cv=2, nrows=300, gbt=M.GBTConfig(n_estimators=3, max_depth=2, early_stopping_rounds=None))
+    gbt = J.train_pipeline(spark, raw, J.TrainConfig(model_type="gbt", **base))
+    blend = J.train_pipeline(spark, raw, J.TrainConfig(model_type="ensemble", **base))
+    assert gbt.model.selected is None and gbt.metrics["cv_scores"] != blend.metrics["cv_scores"]
+    folds = SP.kfold_assign(gbt.train, 2)
+    model, _ = M.train_gbt(folds.filter("fold <> 0"), None, base["gbt"])
+    assert abs(M.rmsle(model.setFeaturesCol("features").transform(folds.filter("fold = 0"))) - gbt.metrics["cv_scores"][0]) < 1e-9
+
+
+def test_first_trees_equal_a_short_fit(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+    from pricewise.operators import models as M
+    r = np.random.default_rng(3)
+    x = r.normal(size=(300, 4))
+    df = spark.createDataFrame([(Vectors.dense(v), float(v[0] * 2 + v[1] ** 2)) for v in x], ["features", "label"]).coalesce(1)
+    long = M.GBTConfig(n_estimators=8, max_depth=2).estimator("features", "label").fit(df)
+    short = M.GBTConfig(n_estimators=3, max_depth=2).estimator("features", "label").fit(df)
+    a = [q.prediction for q in M.first_trees(long, 3).transform(df).collect()]
+    assert np.allclose(a, [q.prediction for q in short.transform(df).collect()])
+
+
+def test_missing_versions(spark):
+    from pricewise.operators import models as M
+    from pricewise.operators.features import load_preprocessor
+    out = os.path.join(S.checkpoint_dir(spark), "none-" + uuid.uuid4().hex[:6])
+    for load in (load_preprocessor, M.load_model):
+        with pytest.raises(FileNotFoundError):
+            load(spark, out, "v0")
+    with pytest.raises(FileNotFoundError):
+        SRC.read_listings_tsv(spark, out)

@@ -10,7 +10,7 @@ import __spark_entry__ as E
 
 MODEL_QUERIES = {"train_ridge", "train_gbt", "train_ensemble", "cross_validate", "select_top_features",
                  "score_listings", "score_stream", "feature_nonzeros", "model_metadata", "fit_preprocessor",
-                 "write_cleaned", "scan_listings_tsv"}
+                 "write_cleaned", "scan_listings_tsv", "pipeline"} | {n for n in E.queries() if n.startswith("op")}
 
 
 def _plan(df) -> str:
@@ -32,6 +32,16 @@ def test_documents_join_is_sort_merge(spark, sf_dir):
     assert "SortMergeJoin" in plan
 
 
-def test_tfidf_weights_broadcast_vocabulary(spark, sf_dir):
+@pytest.mark.parametrize("name", ["price_range_filter", "fill_missing_brand", "split_category", "top_brand_flag", "category_stats", "brand_value_counts", "exact_sample", "train_val_split"])
+def test_narrow_queries_read_no_text(spark, sf_dir, name):
+    assert "documents.parquet" not in _plan(E.queries()[name](spark, sf_dir))
+
+
+@pytest.mark.parametrize("name", ["clean_listings", "top_k_values"])
+def test_texts_are_scanned_once_at_most(spark, sf_dir, name):
+    assert _plan(E.queries()[name](spark, sf_dir)).count("documents.parquet") <= 1
+
+
+def test_tfidf_weights_shuffle_no_pairs(spark, sf_dir):
     plan = _plan(E.queries()["tfidf_weights"](spark, sf_dir))
-    assert "BroadcastHashJoin" in plan
+    assert plan.split("Subquer")[0].count("Exchange") == 0
