@@ -23,7 +23,8 @@ Two documents with similarity 0.8 share none of the 32 bands with probability
 (1 - 0.8**4)**32 < 1e-7.
 
 Null and empty texts have an empty set and are linked with nothing. Rows with
-the same id and text are one document and get the same result. A null id gets
+the same id and text are one document and get the same result; an id with
+several texts is compared by the greatest of them. A null id gets
 its class's component if there is another id in it, else null. An empty table
 gives an empty result.
 """
@@ -45,7 +46,7 @@ SHINGLE = 4
 PERCENT = 80
 BINS, BANDS = 128, 32
 #: Further rounds of star edges: the bands that must agree, as steps from one of them.
-ROUNDS = ((0, 1), (0, 3, 7), (0, 5), (0, 2, 9))
+ROUNDS = (((0, 1), (0, 3, 7)), ((0, 5), (0, 2, 9)))
 
 _STARTS = (np.arange(BINS, dtype=np.uint64) << np.uint64(64 - (BINS - 1).bit_length()))
 
@@ -124,14 +125,24 @@ def star_edges(members: DataFrame) -> DataFrame:
     return pairs.select("u", F.col("n").alias("n_u"), "hub", "n_hub").distinct()
 
 
-def finer(members: DataFrame, found: DataFrame, steps: tuple[int, ...]) -> DataFrame:
-    """Members of the buckets that several bands agree on (those ``steps`` after one
-    another, in a circle), as far as they hold more than one component. In such
-    a bucket the hub is a random member, so that each round tries others."""
+def shared_buckets(members: DataFrame) -> DataFrame:
+    return members.select("u", "n", "weight", F.col("u").alias("part"), F.explode(F.map_values("own")).alias("bucket"))
+
+
+def finer(members: DataFrame, found: DataFrame, combinations: tuple[tuple[int, ...], ...]) -> DataFrame:
+    """Members of the buckets that several bands agree on (those a combination's
+    steps after one another, in a circle), as far as they hold more than one
+    component. In such a bucket the hub is a random member, so that each
+    combination tries others."""
     part = members.join(found.withColumnRenamed("id", "u"), "u", "left").withColumn("part", F.coalesce("component", "u"))
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.when(
-        reduce(and_, [F.map_contains_key("own", F.pmod(b + s, F.lit(BANDS))) for s in steps]), F.xxhash64(b, *[F.element_at("own", F.pmod(b + s, F.lit(BANDS))) for s in steps])))
-    rows = part.select("u", "n", "part", F.explode(F.filter(keys, lambda x: x.isNotNull())).alias("bucket"))
+
+    def keys(steps: tuple[int, ...]):
+        bands = lambda b: [F.pmod(b + s, F.lit(BANDS)) for s in steps]
+        return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.when(
+            reduce(and_, [F.map_contains_key("own", x) for x in bands(b)]), F.xxhash64(b, *[F.lit(x) for x in steps], *[F.element_at("own", x) for x in bands(b)])))
+
+    every = F.filter(F.flatten(F.array(*[keys(c) for c in combinations])), lambda x: x.isNotNull())
+    rows = part.select("u", "n", "part", F.explode(every).alias("bucket"))
     mixed = rows.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("bucket")
     return rows.join(mixed, "bucket").withColumn("weight", F.xxhash64("u", "bucket"))
 
@@ -165,6 +176,20 @@ def components(links: DataFrame, u: str = "u", v: str = "hub") -> DataFrame:
         seen = now
 
 
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` after more links: components are joined, not documents."""
+    own = lambda name: F.coalesce(F.col(f"{name}_c"), F.col(name)).alias(name)
+    for name in ("u", "hub"):
+        links = links.join(found.select(F.col("id").alias(name), F.col("component").alias(f"{name}_c")), name, "left")
+    between = written(links.select(own("u"), own("hub")).filter("u <> hub"), "links")
+    if not between.limit(1).count():
+        return found
+    joined = components(between)
+    labels = found.select("id", "component").join(joined.select(F.col("id").alias("component"), F.col("component").alias("least")), "component", "left")
+    labels = labels.select("id", F.coalesce("least", "component").alias("component"))
+    return labels.unionByName(joined.join(found.select("id"), "id", "left_anti"))
+
+
 def shingle_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """(id, s): the sets of the documents named by ``ids``, each id once."""
     small_batches(docs.sparkSession)
@@ -176,8 +201,8 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, k: int) -
 
     kind = docs.schema[key].dataType.simpleString()
     # A filter of bounded size keeps most other texts out of the join's shuffle.
-    some = may_hold(docs.select(F.col(key).alias("id"), F.col(text).alias("t")), "id", ids, "__maybe").filter("__maybe").drop("__maybe").join(ids, "id", "left_semi")
-    return some.mapInArrow(run, f"id {kind}, s array<long>")
+    some = may_hold(docs.select(F.col(key).alias("id"), F.col(text).alias("t")), "id", ids, "__maybe").filter("__maybe").drop("__maybe")
+    return some.join(ids, "id", "left_semi").groupBy("id").agg(F.max("t").alias("t")).mapInArrow(run, f"id {kind}, s array<long>")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, log: Callable[[str], None] = lambda _: None) -> DataFrame:
@@ -187,29 +212,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     reps = written(classes, "classes")
     one = reps.select("u", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = one.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = written(one.join(shared, "bucket"), "bucket-members")
-    weight = members.groupBy("u").agg(F.sum(F.log2("size")).alias("weight"))
-    members = written(members.select("band", "bucket", "u", "n").join(weight, "u"), "bucket-members")
+    members = written(one.join(shared, "bucket").groupBy("u", "n")
+                      .agg(F.sum(F.log2("size")).alias("weight"), F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("own")), "bucket-members")  # at most BANDS entries
 
-    pairs = written(star_edges(members.withColumn("part", F.col("u"))), "pairs")
-    ids = written(pairs.select(F.col("u").alias("id")).union(pairs.select("hub")).distinct(), "pair-ids")
-    sets = written(shingle_sets(docs, ids, key, text, k).dropDuplicates(["id"]), "shingle-sets")
+    sets = written(shingle_sets(docs, members.select(F.col("u").alias("id")), key, text, k), "shingle-sets")
+    pairs = written(star_edges(shared_buckets(members)), "pairs")
     links = written(confirmed(pairs, sets), "links")
     found = components(links)
-    members = members.groupBy("u", "n", "weight").agg(F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("own"))  # at most BANDS entries
-    members = written(members, "bucket-members")
-    for steps in ROUNDS:
-        new = written(star_edges(finer(members, found, steps)).join(pairs, ["u", "n_u", "hub", "n_hub"], "left_anti"), "pairs")
-        ids = written(new.select(F.col("u").alias("id")).union(new.select("hub")).distinct().join(sets.select("id"), "id", "left_anti"), "pair-ids")
-        if ids.limit(1).count():
-            sets = sets.unionByName(written(shingle_sets(docs, ids, key, text, k).dropDuplicates(["id"]), "shingle-sets"))
+    late = None
+    for combinations in ROUNDS:
+        new = written(star_edges(finer(members, found, combinations)).join(pairs, ["u", "n_u", "hub", "n_hub"], "left_anti"), "pairs")
         more = written(confirmed(new, sets), "links")
-        n = more.count()
-        log(f"{new.count()} pairs, {n} links")
-        pairs = written(pairs.unionByName(new), "pairs")
-        if n:
-            links = written(links.unionByName(more), "links")
-            found = components(links)
+        log(f"{new.count()} pairs, {more.count()} links")
+        pairs, late = pairs.unionByName(new), more if late is None else late.unionByName(more)
+    found = merged(found, late)
 
     label = reps.select("class", "u").join(found.withColumnRenamed("id", "u"), "u", "left").select("class", F.coalesce("component", "u").alias("component"))
     return sketch.select("id", "n", "class").join(label, "class", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
