@@ -134,8 +134,7 @@ NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-n
 # Engine-side patterns (ours, not the reference's)
 # --------------------------------------------------------------------------
 
-# Unicode whitespace as Python's str.isspace() sees it, in Java regex syntax.
-JAVA_WS = "(?U)[\\s\\x1c-\\x1f]"
-# The same class for DuckDB/RE2 (used only in oracle SQL).
+# Unicode whitespace as Python's str.isspace() sees it, for DuckDB/RE2 (used only
+# in oracle SQL).
 RE2_WS = ("[\\s\\x1c-\\x1f\\x0b\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}"
           "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]")

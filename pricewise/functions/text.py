@@ -124,28 +124,6 @@ def keyword_features(text) -> dict[str, Column]:
     }
 
 
-def tokens(normalized) -> Column:
-    """Tokens of two or more [a-z0-9] characters, stop words removed."""
-    raw = F.regexp_extract_all(_c(normalized), F.lit("[a-z0-9]{2,}"), 0)
-    stop = F.array(*[F.lit(w) for w in K.STOPWORDS])
-    return F.filter(raw, lambda t: ~F.array_contains(stop, t))
-
-
-def unigrams_bigrams(toks) -> Column:
-    """Unigrams followed by bigrams built on the stop-word-filtered tokens.
-
-    Lambdas only touch their own arguments (``zip_with`` over two shifted
-    slices), so the token array is evaluated once per row, not per element.
-    """
-    u = _c(toks)
-    n = F.size(u)
-    bi = F.when(n >= 2, F.zip_with(F.slice(u, 1, F.greatest(n - 1, F.lit(1))),
-                                   F.slice(u, 2, F.greatest(n - 1, F.lit(1))),
-                                   lambda a, b: F.concat(a, F.lit(" "), b))
-                ).otherwise(F.array().cast("array<string>"))
-    return F.concat(u, bi)
-
-
 def term_counts(terms) -> Column:
     """Per-row (term, tf) pairs computed inside the row, no shuffle: sort the
     terms, flag where a run of equal terms starts, and measure the runs.

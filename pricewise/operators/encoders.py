@@ -99,13 +99,6 @@ class OneHotEncoding:
         return res
 
 
-def _raise_on_unknown(df: DataFrame, col: str, cats: DataFrame) -> DataFrame:
-    c = cats.select(F.col("value").alias("_chk"))
-    return (df.join(c, F.col(col) == F.col("_chk"), "left")
-              .withColumn(col, F.when(F.col("_chk").isNull(), F.raise_error(F.lit("unknown category"))).otherwise(F.col(col)))
-              .drop("_chk"))
-
-
 def fit_one_hot(df: DataFrame, column: str, handle_unknown: str = "ignore") -> OneHotEncoding:
     enc = fit_label_encoder(df, column)
     return OneHotEncoding(column, enc.classes, enc.n_classes, handle_unknown)
@@ -145,7 +138,9 @@ def fit_target_encoder(df: DataFrame, column: str, label: str = "label",
     map-side); the global mean is a scalar derived from the same aggregate.
     """
     stats = (df.groupBy(filled(column).alias("category"))
-               .agg(F.count(F.col(label)).alias("n"), F.sum(F.col(label)).alias("s"))).cache()
+               .agg(F.count(F.col(label)).alias("n"), F.sum(F.col(label)).alias("s")))
+    from ..session import materialize
+    stats = materialize(stats, "target-statistics")
     tot = stats.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     g = float(tot["s"]) / float(tot["n"]) if tot["n"] else float("nan")
     sm = float(smoothing)

@@ -29,6 +29,10 @@ listings AS (
     CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER) AS item_condition_id,
     CASE WHEN o.o_orderkey % 97 = 0 THEN NULL
          WHEN o.o_orderkey % 13 = 0 THEN c.c_mktsegment
+         WHEN o.o_orderkey % 23 = 5 THEN concat_ws('/',
+           CASE c.c_mktsegment WHEN 'AUTOMOBILE' THEN 'Men' WHEN 'HOUSEHOLD' THEN 'Home' WHEN 'FURNITURE' THEN 'Women' ELSE 'Other' END,
+           CASE WHEN o.o_orderkey % 2 = 1 THEN p.p_type WHEN c.c_mktsegment = 'HOUSEHOLD' THEN 'Bedding' ELSE 'Jeans' END,
+           'lot ' || o.o_orderkey)
          WHEN o.o_orderkey % 17 = 0 THEN concat_ws('/', c.c_mktsegment, p.p_type, p.p_brand, 'Extra')
          ELSE concat_ws('/', c.c_mktsegment, p.p_type, p.p_name) END AS category_name,
     CASE WHEN o.o_orderkey % 5 < 2 THEN NULL ELSE p.p_brand END AS brand_name,

@@ -24,6 +24,10 @@ RAW_SCHEMA = T.StructType([
 RAW_COLUMNS = [f.name for f in RAW_SCHEMA.fields]
 
 
+#: Main categories of the fixed taxonomy for some customer segments.
+TAXONOMY_OF_SEGMENT = {"AUTOMOBILE": "Men", "HOUSEHOLD": "Home", "FURNITURE": "Women"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -65,6 +69,10 @@ def listings(spark: SparkSession, sf_dir: str, nrows: int | None = None, columns
         docs = table(spark, sf_dir, "documents").select("doc_id", "text")
         j = j.join(docs.hint("merge"), F.pmod(k, F.lit(docs.count())) == docs["doc_id"], "left")
     seg, text = F.col("c_mktsegment"), F.col("text")
+    # Listings in the fixed taxonomy: main category by segment, a fitting or a
+    # foreign second level, and a third level that no other listing has.
+    main = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in TAXONOMY_OF_SEGMENT.items() for x in pair]), seg), F.lit("Other"))
+    in_taxonomy = F.concat_ws("/", main, F.when(k % 2 == 0, F.when(main == "Home", "Bedding").otherwise("Jeans")).otherwise(F.col("p_type")), F.concat(F.lit("lot "), k.cast("string")))
     made = {
         "train_id": lambda: k,
         "name": lambda: F.when(k % 11 == 0, F.concat(F.lit("  "), F.upper("p_name"), F.lit("  [rm]"))).otherwise(F.col("p_name")),
@@ -72,6 +80,7 @@ def listings(spark: SparkSession, sf_dir: str, nrows: int | None = None, columns
         "category_name": lambda: (
             F.when(k % 97 == 0, F.lit(None).cast("string"))
              .when(k % 13 == 0, seg)
+             .when(k % 23 == 5, in_taxonomy)
              .when(k % 17 == 0, F.concat_ws("/", seg, F.col("p_type"), F.col("p_brand"), F.lit("Extra")))
              .otherwise(F.concat_ws("/", seg, F.col("p_type"), F.col("p_name")))),
         "brand_name": lambda: F.when(k % 5 < 2, F.lit(None).cast("string")).otherwise(F.col("p_brand")),

@@ -58,3 +58,18 @@ def test_tsv_missing_file(spark, tmp_path):
     import pytest
     with pytest.raises(FileNotFoundError):
         SRC.read_listings_tsv(spark, str(tmp_path / "nope.tsv"))
+
+
+def test_fixed_lists_are_pinned():
+    """The oracle reads the fixed lists from the same module as the Spark side, so a
+    changed list would pass there; here it does not."""
+    import hashlib
+    import json
+    from pricewise import constants as K
+    from pricewise.operators.i18n import label_rows
+    lists = [K.QUALITY_KEYWORDS, sorted(K.STOPWORDS), {str(k): v for k, v in K.CONDITION_PHRASES.items()}, K.SUB_CATEGORIES, [list(r) for r in label_rows()]]
+    got = [hashlib.sha256(json.dumps(x, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:12] for x in lists]
+    assert got == PINNED
+
+
+PINNED = ["4164e93b8239", "a1f3ec396923", "787356d597df", "94f12a0c329d", "e4040ce3cc3b"]
