@@ -43,6 +43,6 @@ def may_hold(df: DataFrame, column: str, keys: DataFrame, flag: str, max_bits: i
     values of the one column of ``keys`` (a written table)."""
     keys = keys.toDF("key")
     bits = min(max_bits, max(64, -(-keys.count() * 10 // 64) * 64))
-    words = written(bit_set(keys, bits, HASHES), "bloom")
+    words = written(bit_set(keys, bits, HASHES), "bloom", 1)
     return (df.withColumn("__words", words.scalar())
             .withColumn(flag, F.coalesce(passes(F.col("__words"), F.col(f"`{column}`"), bits, HASHES), F.lit(False))).drop("__words"))

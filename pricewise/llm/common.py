@@ -30,10 +30,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return posixpath.join(checkpoint_dir(spark), "llm", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None, rows_per_file: int = 20_000) -> DataFrame:
     """``df`` written once as Parquet in the shared checkpoint folder and read
-    back: later steps neither recompute it nor depend on its executors."""
+    back: later steps neither recompute it nor depend on its executors. ``rows``:
+    about how many rows there are, so that a small table gets few files."""
     path = scratch_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // rows_per_file)))
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path

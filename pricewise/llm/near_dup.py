@@ -156,11 +156,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .filter(100 * F.col("common") >= PERCENT * (F.col("n_u") + F.col("n_hub") - F.col("common"))).select("u", "hub"))
 
 
-def components(links: DataFrame, u: str = "u", v: str = "hub") -> DataFrame:
+def components(links: DataFrame, rows: int, u: str = "u", v: str = "hub") -> DataFrame:
     """(id, component): the smallest id reachable over the links, by alternating
-    large-star and small-star steps until nothing changes."""
+    large-star and small-star steps until nothing changes. ``rows``: about how many
+    links there are."""
     e = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct()
-    e = written(e, "links")
+    e = written(e, "links", rows)
     seen = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -169,22 +170,22 @@ def components(links: DataFrame, u: str = "u", v: str = "hub") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         e = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-                    .filter("u <> v").distinct(), "links")
+                    .filter("u <> v").distinct(), "links", rows)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
         seen = now
 
 
-def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+def merged(found: DataFrame, links: DataFrame, rows: int) -> DataFrame:
     """``found`` after more links: components are joined, not documents."""
     own = lambda name: F.coalesce(F.col(f"{name}_c"), F.col(name)).alias(name)
     for name in ("u", "hub"):
         links = links.join(found.select(F.col("id").alias(name), F.col("component").alias(f"{name}_c")), name, "left")
-    between = written(links.select(own("u"), own("hub")).filter("u <> hub"), "links")
+    between = written(links.select(own("u"), own("hub")).filter("u <> hub"), "links", rows)
     if not between.limit(1).count():
         return found
-    joined = components(between)
+    joined = components(between, rows)
     labels = found.select("id", "component").join(joined.select(F.col("id").alias("component"), F.col("component").alias("least")), "component", "left")
     labels = labels.select("id", F.coalesce("least", "component").alias("component"))
     return labels.unionByName(joined.join(found.select("id"), "id", "left_anti"))
@@ -209,23 +210,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     """(id, n, component) of every row of ``docs``; ids are integers."""
     sketch = written(sketches(docs, key, text, k), "sketches")
     classes = (sketch.filter("n > 0").groupBy("class").agg(F.min("id").alias("u"), F.first("n").alias("n"), F.first("bands").alias("bands")).filter("u IS NOT NULL"))
-    reps = written(classes, "classes")
+    n_rows = sketch.count()
+    reps = written(classes, "classes", n_rows)
     one = reps.select("u", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = one.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = written(one.join(shared, "bucket").groupBy("u", "n")
-                      .agg(F.sum(F.log2("size")).alias("weight"), F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("own")), "bucket-members")  # at most BANDS entries
+                      .agg(F.sum(F.log2("size")).alias("weight"), F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("own")), "bucket-members", n_rows)  # at most BANDS entries
+    m = members.count()
 
-    sets = written(shingle_sets(docs, members.select(F.col("u").alias("id")), key, text, k), "shingle-sets")
-    pairs = written(star_edges(shared_buckets(members)), "pairs")
-    links = written(confirmed(pairs, sets), "links")
-    found = components(links)
+    sets = written(shingle_sets(docs, members.select(F.col("u").alias("id")), key, text, k), "shingle-sets", m, 2000)
+    pairs = written(star_edges(shared_buckets(members)), "pairs", m, 5000)
+    links = written(confirmed(pairs, sets), "links", m, 5000)
+    found = written(components(links, links.count()), "components", m)
     late = None
     for combinations in ROUNDS:
-        new = written(star_edges(finer(members, found, combinations)).join(pairs, ["u", "n_u", "hub", "n_hub"], "left_anti"), "pairs")
-        more = written(confirmed(new, sets), "links")
+        new = written(star_edges(finer(members, found, combinations)).join(pairs, ["u", "n_u", "hub", "n_hub"], "left_anti"), "pairs", m, 5000)
+        more = written(confirmed(new, sets), "links", m, 5000)
         log(f"{new.count()} pairs, {more.count()} links")
         pairs, late = pairs.unionByName(new), more if late is None else late.unionByName(more)
-    found = merged(found, late)
+    found = merged(found, late, late.count())
 
     label = reps.select("class", "u").join(found.withColumnRenamed("id", "u"), "u", "left").select("class", F.coalesce("component", "u").alias("component"))
     return sketch.select("id", "n", "class").join(label, "class", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
@@ -235,7 +238,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     """One row of each component, that with the smallest id, with all columns.
 
     Repeated rows count once; rows without an id cannot be named and stay."""
-    found = written(near_duplicates(docs, key, text, k), "near-duplicates")
+    found = near_duplicates(docs, key, text, k)
+    found = written(found, "near-duplicates")
     named = found.filter("id IS NOT NULL")
     if named.groupBy("id").count().filter("count > 1").limit(1).count():
         docs = docs.dropDuplicates()
