@@ -48,6 +48,8 @@ GRAM = 4
 #: segments of an anchor from which on it is split into single windows. The
 #: automaton of a group below takes a second or two and about 100 MB.
 HOT, WIDE = 2000, 20_000
+#: Documents of one file of a written table.
+DOCS_PER_FILE = 5000
 #: Largest table of hot groups that is broadcast (rows of about 20 bytes).
 BROADCAST_ROWS = 200_000
 
@@ -135,26 +137,26 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
             .mapInArrow(run, f"id {kind}, same binary, anchors array<long>"))
 
 
-def _shared(sketch: DataFrame) -> DataFrame:
+def _shared(sketch: DataFrame, n: int) -> DataFrame:
     """Anchors of two documents or more."""
     one = sketch.select("id", F.explode("anchors").alias("anchor"))
-    return written(one.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("anchor"), "shared-anchors")
+    return written(one.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("anchor"), "shared-anchors", n, DOCS_PER_FILE)
 
 
-def _touched(sketch: DataFrame, shared: DataFrame) -> DataFrame:
+def _touched(sketch: DataFrame, shared: DataFrame, n: int) -> DataFrame:
     """(id, copies, shared): documents with shared anchors; ``copies``: digests of
     word sequences of this id that a smaller document has too."""
     classes = sketch.groupBy("same").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last")
     copies = sketch.select("id", "same").join(classes, "same").filter("id <> first").groupBy("id").agg(F.collect_set("same").alias("copies"))
     own = sketch.select("id", F.explode("anchors").alias("anchor")).join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("shared"))
-    return written(own.join(copies, "id", "left").select("id", "copies", "shared"), "touched")
+    return written(own.join(copies, "id", "left").select("id", "copies", "shared"), "touched", n, DOCS_PER_FILE)
 
 
 def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def _finished(docs: DataFrame, touched: DataFrame, columns: list[str], key: str, text: str) -> DataFrame:
+def _finished(docs: DataFrame, touched: DataFrame, n: int, columns: list[str], key: str, text: str) -> DataFrame:
     """All documents: those without shared anchors and copies are finished (``__sha``),
     the others keep their text (``__t``) and shared anchors.
 
@@ -185,7 +187,7 @@ def _finished(docs: DataFrame, touched: DataFrame, columns: list[str], key: str,
     kind = docs.schema[key].dataType.simpleString()
     schema = f"{schema}__key {kind}, __n long, __removed long, __sha string, __t string, __shared array<long>"
     every = alone.mapInArrow(run, schema).unionByName(joined.mapInArrow(run, schema))
-    return written(every.withColumn("__row", F.monotonically_increasing_id()), "substring-first")
+    return written(every.withColumn("__row", F.monotonically_increasing_id()), "substring-first", n, DOCS_PER_FILE)
 
 
 def _segments(rows: DataFrame, with_tokens: bool) -> DataFrame:
@@ -219,7 +221,7 @@ def _segments(rows: DataFrame, with_tokens: bool) -> DataFrame:
 
 
 def _checked(small: DataFrame) -> DataFrame:
-    small = written(small, "substring-hot")
+    small = written(small, "substring-hot", BROADCAST_ROWS)
     return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
 
 
@@ -292,16 +294,17 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", columns:
     their ``__kept`` text."""
     spark = docs.sparkSession
     columns = columns or [key]
-    sketch = written(sketches(docs, key, text), "substring-sketches")
-    shared = _shared(sketch)
+    n = docs.count()
+    sketch = written(sketches(docs, key, text), "substring-sketches", n, DOCS_PER_FILE)
+    shared = _shared(sketch, n)
     release(spark)
-    touched = _touched(sketch, shared)
+    touched = _touched(sketch, shared, n)
     release(spark, sketch, shared)
-    first = _finished(docs, touched, columns, key, text)
+    first = _finished(docs, touched, n, columns, key, text)
     release(spark, touched)
     rows = first.filter("__sha IS NULL")
 
-    narrow = written(_segments(rows, False), "segments")
+    narrow = written(_segments(rows, False), "segments", n, DOCS_PER_FILE)
     hot = _checked(narrow.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("c")).filter(F.col("c") >= HOT).select("digest", "least"))
     rare = narrow.join(hot, "digest", "left").filter("least IS NULL OR id = least")
     wide = _checked(rare.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= WIDE).select("anchor", F.lit(True).alias("wide")))
@@ -312,7 +315,7 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", columns:
     rest = known.filter("least IS NULL OR id = least")
     units = rest.filter("wide IS NULL").select("anchor", "id", "row", "start", "tokens").unionByName(_single_windows(rest.filter("wide")))
     spans = _matched(units).unionByName(copies)
-    spans = written(spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("__spans")), "substring-spans")
+    spans = written(spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("__spans")), "substring-spans", n, DOCS_PER_FILE)
     release(spark)
 
     def run(batches):
