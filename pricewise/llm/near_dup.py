@@ -208,9 +208,9 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, k: int) -
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, log: Callable[[str], None] = lambda _: None) -> DataFrame:
     """(id, n, component) of every row of ``docs``; ids are integers."""
-    sketch = written(sketches(docs, key, text, k), "sketches")
+    n_rows = docs.count()
+    sketch = written(sketches(docs, key, text, k), "sketches", n_rows, 5000)
     classes = (sketch.filter("n > 0").groupBy("class").agg(F.min("id").alias("u"), F.first("n").alias("n"), F.first("bands").alias("bands")).filter("u IS NOT NULL"))
-    n_rows = sketch.count()
     reps = written(classes, "classes", n_rows)
     one = reps.select("u", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = one.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
