@@ -47,7 +47,7 @@ def cleaned(spark: SparkSession, sf_dir: str, *columns: str, **kw) -> DataFrame:
 
 
 NARROW = {"add_features": False}
-CATEGORIES = ("category_name", "brand_name")
+CATEGORIES = ("category_name", "brand_name", "item_condition_id", "shipping")
 TEXTS = ("category_name", "name", "item_description")
 
 

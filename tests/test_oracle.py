@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as E
+from pricewise.plans.oracle import ORACLE
 
 TABLES = ["orders", "part", "customer", "documents"]
 
@@ -29,7 +30,7 @@ def con(sf_dir):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, sf_dir, con, name):
     got = E.queries()[name](spark, sf_dir).toPandas()
     want = con.execute(E.oracle_sql()[name]).df()
