@@ -31,6 +31,7 @@ import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,8 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Characters that are encoded in one call, and threads of a call.
 CALL_CHARS, THREADS = 1 << 20, 2
-#: Words whose ids a worker keeps.
-CACHED_WORDS = 300_000
+#: Words whose ids a worker keeps (about 200 MB).
+CACHED_WORDS = 1_000_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -187,15 +188,13 @@ class Codec:
         """Put new words into the cache. They are encoded as texts of many words;
         a word's ids begin where a piece begins with the marker."""
         texts = [" ".join(words[i : i + 2000]) for i in range(0, len(words), 2000)]
-        refs = self.reference.encode(texts, num_threads=self.threads)
-        for k, (ids, ref) in enumerate(zip(self._batch(texts), refs, strict=True)):
-            part = words[2000 * k : 2000 * (k + 1)]
-            a, b = self._cut(ids), self._cut(ref)
-            if not len(a) == len(b) == len(part):
-                raise ValueError("a word without a marker at its start")
-            self.words.update(zip(part, a, strict=True))
-            if ids != ref:
-                self.differs.update(w for w, x, y in zip(part, a, b, strict=True) if x != y)
+        ids = list(chain.from_iterable(self._batch(texts)))
+        own, refs = self._cut(ids), self.reference.encode(words, num_threads=self.threads)
+        if len(own) != len(words):
+            raise ValueError("a word without a marker at its start")
+        self.words.update(zip(words, own, strict=True))
+        if list(chain.from_iterable(refs)) != ids:
+            self.differs.update(w for w, x, y in zip(words, own, refs, strict=True) if x != np.asarray(y, np.int32).tobytes())
 
     def _cut(self, ids: list[int]) -> list[bytes]:
         a = np.asarray(ids, np.int32)
