@@ -161,7 +161,7 @@ def components(links: DataFrame, rows: int, u: str = "u", v: str = "hub") -> Dat
     large-star and small-star steps until nothing changes. ``rows``: about how many
     links there are."""
     e = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct()
-    e = written(e, "links", rows)
+    e = written(e, "links", rows, 200_000)
     seen = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -170,7 +170,7 @@ def components(links: DataFrame, rows: int, u: str = "u", v: str = "hub") -> Dat
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         e = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-                    .filter("u <> v").distinct(), "links", rows)
+                    .filter("u <> v").distinct(), "links", rows, 200_000)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
@@ -182,7 +182,7 @@ def merged(found: DataFrame, links: DataFrame, rows: int) -> DataFrame:
     own = lambda name: F.coalesce(F.col(f"{name}_c"), F.col(name)).alias(name)
     for name in ("u", "hub"):
         links = links.join(found.select(F.col("id").alias(name), F.col("component").alias(f"{name}_c")), name, "left")
-    between = written(links.select(own("u"), own("hub")).filter("u <> hub"), "links", rows)
+    between = written(links.select(own("u"), own("hub")).filter("u <> hub"), "links", rows, 200_000)
     if not between.limit(1).count():
         return found
     joined = components(between, rows)
@@ -209,23 +209,23 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, k: int) -
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, log: Callable[[str], None] = lambda _: None) -> DataFrame:
     """(id, n, component) of every row of ``docs``; ids are integers."""
     n_rows = docs.count()
-    sketch = written(sketches(docs, key, text, k), "sketches", n_rows, 5000)
+    sketch = written(sketches(docs, key, text, k), "sketches", n_rows)
     classes = (sketch.filter("n > 0").groupBy("class").agg(F.min("id").alias("u"), F.first("n").alias("n"), F.first("bands").alias("bands")).filter("u IS NOT NULL"))
-    reps = written(classes, "classes", n_rows)
+    reps = written(classes, "classes", n_rows, 50_000)
     one = reps.select("u", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = one.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = written(one.join(shared, "bucket").groupBy("u", "n")
-                      .agg(F.sum(F.log2("size")).alias("weight"), F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("own")), "bucket-members", n_rows)  # at most BANDS entries
+                      .agg(F.sum(F.log2("size")).alias("weight"), F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("own")), "bucket-members", n_rows, 50_000)  # at most BANDS entries
     m = members.count()
 
-    sets = written(shingle_sets(docs, members.select(F.col("u").alias("id")), key, text, k), "shingle-sets", m, 2000)
-    pairs = written(star_edges(shared_buckets(members)), "pairs", m, 5000)
-    links = written(confirmed(pairs, sets), "links", m, 5000)
-    found = written(components(links, links.count()), "components", m)
+    sets = written(shingle_sets(docs, members.select(F.col("u").alias("id")), key, text, k), "shingle-sets", m, 5000)
+    pairs = written(star_edges(shared_buckets(members)), "pairs", m, 50_000)
+    links = written(confirmed(pairs, sets), "links", m, 50_000)
+    found = written(components(links, links.count()), "components", m, 200_000)
     late = None
     for combinations in ROUNDS:
-        new = written(star_edges(finer(members, found, combinations)).join(pairs, ["u", "n_u", "hub", "n_hub"], "left_anti"), "pairs", m, 5000)
-        more = written(confirmed(new, sets), "links", m, 5000)
+        new = written(star_edges(finer(members, found, combinations)).join(pairs, ["u", "n_u", "hub", "n_hub"], "left_anti"), "pairs", m, 50_000)
+        more = written(confirmed(new, sets), "links", m, 50_000)
         log(f"{new.count()} pairs, {more.count()} links")
         pairs, late = pairs.unionByName(new), more if late is None else late.unionByName(more)
     found = merged(found, late, late.count())
@@ -239,7 +239,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
 
     Repeated rows count once; rows without an id cannot be named and stay."""
     found = near_duplicates(docs, key, text, k)
-    found = written(found, "near-duplicates")
+    found = written(found, "near-duplicates", docs.count(), 100_000)
     named = found.filter("id IS NOT NULL")
     if named.groupBy("id").count().filter("count > 1").limit(1).count():
         docs = docs.dropDuplicates()
