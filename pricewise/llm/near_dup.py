@@ -219,13 +219,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     m = members.count()
 
     sets = written(shingle_sets(docs, members.select(F.col("u").alias("id")), key, text, k), "shingle-sets", m, 5000)
-    pairs = written(star_edges(shared_buckets(members)), "pairs", m, 50_000)
-    links = written(confirmed(pairs, sets), "links", m, 50_000)
+    pairs = written(star_edges(shared_buckets(members)), "pairs", m, 10_000)
+    links = written(confirmed(pairs, sets), "links", m, 10_000)
     found = written(components(links, links.count()), "components", m, 200_000)
     late = None
     for combinations in ROUNDS:
-        new = written(star_edges(finer(members, found, combinations)).join(pairs, ["u", "n_u", "hub", "n_hub"], "left_anti"), "pairs", m, 50_000)
-        more = written(confirmed(new, sets), "links", m, 50_000)
+        new = written(star_edges(finer(members, found, combinations)).join(pairs, ["u", "n_u", "hub", "n_hub"], "left_anti"), "pairs", m, 10_000)
+        more = written(confirmed(new, sets), "links", m, 10_000)
         log(f"{new.count()} pairs, {more.count()} links")
         pairs, late = pairs.unionByName(new), more if late is None else late.unionByName(more)
     found = merged(found, late, late.count())
