@@ -45,7 +45,7 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Characters that are encoded in one call, and threads of a call.
 CALL_CHARS, THREADS = 1 << 20, 2
-#: Words whose ids a worker keeps (about 200 MB).
+#: Words whose ids a task keeps (about 200 MB).
 CACHED_WORDS = 1_000_000
 
 
@@ -247,7 +247,7 @@ _CODECS: dict[bytes, Codec] = {}
 
 
 def _codec(data: bytes) -> Codec:
-    """One codec per worker and model; its word cache stays warm between tasks."""
+    """One codec per worker and model; its word cache lives as long as a task."""
     k = hashlib.sha256(data).digest()
     if k not in _CODECS:
         _CODECS[k] = Codec(data)
@@ -282,6 +282,7 @@ def encoded(docs: DataFrame, text: str = "text", model: str = MODEL, with_ids: b
                        "round_trip": decoded == codec.normalised(t), "parity": same}
                 rows.append(row | ({"ids": i} if with_ids else {}))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array(rows, kind)], names=[*others, "__tokens"])
+        codec.words, codec.differs = {}, set()  # an idle worker keeps no words
 
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
     ids = ", ids: array<int>" if with_ids else ""
