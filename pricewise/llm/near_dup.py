@@ -14,7 +14,11 @@ family of edited copies the one nearest to their common origin. Candidate
 pairs are confirmed on the full sets. Further rounds go over finer buckets, on
 which two or three bands agree, wherever such a bucket still holds more than
 one component: a random member is the hub and meets the members of the other
-components, its closest relatives.
+components, its closest relatives. The last pass tries every pair of different
+components that still share a bucket: the members outside a bucket's largest
+component meet all others, in blocks of at most ``BLOCK`` members, and a bound
+on the sets' overlap that never drops a true pair (``overlap_allows``) leaves
+few of them to confirm.
 
 All groups are aggregated before they move, joins on ids and buckets are
 shuffle joins that Spark may split, and no task ever holds a bucket.
@@ -33,7 +37,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +51,8 @@ PERCENT = 80
 BINS, BANDS = 128, 32
 #: Further rounds of star edges: the bands that must agree, as steps from one of them.
 ROUNDS = (((0, 1), (0, 3, 7)), ((0, 5), (0, 2, 9)))
+#: 64-bit words of a set's bitmap, and members of a block of the last pass.
+WORDS, BLOCK = 16, 1000
 
 _STARTS = (np.arange(BINS, dtype=np.uint64) << np.uint64(64 - (BINS - 1).bit_length()))
 
@@ -88,6 +94,13 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Which of ``64 * WORDS`` parts of the hash range hold a shingle."""
+    bits = np.zeros(64 * WORDS, np.uint8)
+    bits[mix(shingles) >> np.uint64(64 - (64 * WORDS - 1).bit_length())] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def shingle_set(hasher: WordHasher, text: bytes, k: int) -> np.ndarray:
     return np.unique(shingle_hashes(hasher.spans(text)[0], k))
 
@@ -147,6 +160,32 @@ def finer(members: DataFrame, found: DataFrame, combinations: tuple[tuple[int, .
     return rows.join(mixed, "bucket").withColumn("weight", F.xxhash64("u", "bucket"))
 
 
+def overlap_allows(u: str, hub: str):
+    """Whether two sets can reach the similarity by their sizes and bitmaps. A part
+    of the hash range that only one of them uses holds a shingle that the other lacks."""
+    n, m = F.col(f"{u}.n"), F.col(f"{hub}.n")
+    common = F.ceil(F.lit(PERCENT) * (n + m) / F.lit(100.0 + PERCENT) - F.lit(1e-6))
+    lacks = lambda a, b: reduce(add, [F.bit_count(F.col(f"{a}.b{i}").bitwiseAND(F.bitwise_not(f"{b}.b{i}"))) for i in range(WORDS)])
+    return (F.least(n, m) >= common) & (lacks(u, hub) <= n - common) & (lacks(hub, u) <= m - common)
+
+
+def remaining(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct (u, n_u, hub, n_hub) of all pairs of different components that share
+    a bucket, as far as ``overlap_allows``."""
+    part = members.join(found.withColumnRenamed("id", "u"), "u", "left").withColumn("part", F.coalesce("component", "u"))
+    rows = part.select("u", "n", "part", F.explode(F.map_values("own")).alias("bucket"))
+    sizes = rows.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("size")).groupBy("bucket").agg(F.max(F.struct("size", "part")).alias("most"), F.sum("size").alias("size"))
+    sizes = sizes.filter("most.size < size").select("bucket", F.col("most.part").alias("largest"), F.ceil((F.col("size") - F.col("most.size")) / BLOCK).alias("less"), F.ceil(F.col("size") / BLOCK).alias("all"))
+    rows = rows.join(sizes, "bucket").join(sets.select(F.col("id").alias("u"), *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(WORDS)]), "u")
+    block = lambda n: F.pmod(F.xxhash64("u", "bucket"), F.col(n))
+    others = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    a = rows.filter("part <> largest").withColumn("i", block("less")).withColumn("j", others("all")).alias("a")
+    b = rows.withColumn("i", others("less")).withColumn("j", block("all")).alias("b")
+    once = F.expr("a.part <> b.part AND (b.part = b.largest OR a.u < b.u)")
+    pairs = a.join(b, F.expr("a.bucket = b.bucket AND a.i = b.i AND a.j = b.j") & once & overlap_allows("a", "b"))
+    return pairs.select(F.col("a.u").alias("u"), F.col("a.n").alias("n_u"), F.col("b.u").alias("hub"), F.col("b.n").alias("n_hub")).distinct()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (u, hub) whose sets reach the similarity."""
     a = sets.select(F.col("id").alias("u"), F.col("s").alias("a"))
@@ -192,18 +231,20 @@ def merged(found: DataFrame, links: DataFrame, rows: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(id, s): the sets of the documents named by ``ids``, each id once."""
+    """(id, s, bits): the sets of the documents named by ``ids`` and their bitmaps, each id once."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         hasher = WordHasher(fold=True)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingle_set(hasher, t, k).view(np.int64) for t in byte_texts(b.column("t"))], pa.list_(pa.int64()))], names=["id", "s"])
+            some = [shingle_set(hasher, t, k) for t in byte_texts(b.column("t"))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s.view(np.int64) for s in some], pa.list_(pa.int64())), pa.array([bitmap(s) for s in some], pa.list_(pa.int64()))],
+                                             names=["id", "s", "bits"])
 
     kind = docs.schema[key].dataType.simpleString()
     # A filter of bounded size keeps most other texts out of the join's shuffle.
     some = may_hold(docs.select(F.col(key).alias("id"), F.col(text).alias("t")), "id", ids, "__maybe").filter("__maybe").drop("__maybe")
-    return some.join(ids, "id", "left_semi").groupBy("id").agg(F.max("t").alias("t")).mapInArrow(run, f"id {kind}, s array<long>")
+    return some.join(ids, "id", "left_semi").groupBy("id").agg(F.max("t").alias("t")).mapInArrow(run, f"id {kind}, s array<long>, bits array<long>")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, log: Callable[[str], None] = lambda _: None) -> DataFrame:
@@ -222,13 +263,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     pairs = written(star_edges(shared_buckets(members)), "pairs", m, 10_000)
     links = written(confirmed(pairs, sets), "links", m, 10_000)
     found = written(components(links, links.count()), "components", m, 200_000)
-    late = None
     for combinations in ROUNDS:
         new = written(star_edges(finer(members, found, combinations)).join(pairs, ["u", "n_u", "hub", "n_hub"], "left_anti"), "pairs", m, 10_000)
         more = written(confirmed(new, sets), "links", m, 10_000)
         log(f"{new.count()} pairs, {more.count()} links")
-        pairs, late = pairs.unionByName(new), more if late is None else late.unionByName(more)
-    found = merged(found, late, late.count())
+        pairs, found = pairs.unionByName(new), merged(found, more, more.count())
+    found = written(found, "components", m, 200_000)
+    new = written(remaining(members, found, sets), "pairs")
+    more = written(confirmed(new, sets), "links")
+    log(f"remaining: {new.count()} pairs, {more.count()} links")
+    found = merged(found, more, more.count())
 
     label = reps.select("class", "u").join(found.withColumnRenamed("id", "u"), "u", "left").select("class", F.coalesce("component", "u").alias("component"))
     return sketch.select("id", "n", "class").join(label, "class", "left").select("id", "n", F.coalesce("component", "id").alias("component"))

@@ -300,6 +300,28 @@ def test_near_duplicates(spark, texts, k):
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted(i for i, _, c in got if i == c)
 
 
+def test_near_duplicates_without_origin(spark):
+    """Copies with four to six edits each, whose origin is not in the table: few pairs reach the similarity."""
+    r, words, docs = random.Random(3), 203, []
+    alive = np.ones((1500, words - 3), np.int64)
+    for i in range(len(alive)):
+        w = [f"w{k}" for k in range(words)]
+        for p in r.sample(range(words), r.choice((4, 5, 6))):
+            w[p] = f"e{i}-{p}"
+            alive[i, max(0, p - 3) : p + 1] = 0
+        docs.append(" ".join(w))
+    common, group = alive @ alive.T, np.arange(len(docs))
+    links = (100 * common >= 80 * (2 * (words - 3) - common)) | np.eye(len(docs), dtype=bool)
+    while True:
+        least = np.where(links, group, len(docs)).min(axis=1)
+        if (least == group).all():
+            break
+        group = least
+    assert 100 < len(set(group.tolist())) < 1400
+    got = {x["id"]: x["component"] for x in near_dup.near_duplicates(frame(spark, docs)).collect()}
+    assert [got[i] for i in range(len(docs))] == group.tolist()
+
+
 def test_near_duplicates_empty(spark):
     assert near_dup.near_duplicates(frame(spark, [])).count() == 0
     assert {tuple(x) for x in near_dup.near_duplicates(frame(spark, [None, "", "a"])).collect()} == {(0, 0, 0), (1, 0, 1), (2, 1, 2)}
