@@ -28,8 +28,8 @@ Two documents with similarity 0.8 share none of the 32 bands with probability
 
 Null and empty texts have an empty set and are linked with nothing. Rows with
 the same id and text are one document and get the same result; an id with
-several texts is compared by the greatest of them. A null id gets
-its class's component if there is another id in it, else null. An empty table
+several texts is compared by the greatest of them, and all its rows get that
+text's component. A null id gets its class's component if there is another id in it, else null. An empty table
 gives an empty result.
 """
 
@@ -251,7 +251,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     """(id, n, component) of every row of ``docs``; ids are integers."""
     n_rows = docs.count()
     sketch = written(sketches(docs, key, text, k), "sketches", n_rows)
-    classes = (sketch.filter("n > 0").groupBy("class").agg(F.min("id").alias("u"), F.first("n").alias("n"), F.first("bands").alias("bands")).filter("u IS NOT NULL"))
+    named = sketch.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.count("class").alias("full"), F.min("class").alias("a"), F.max("class").alias("b"))
+    several = written(named.filter("a <> b OR full > 0 AND full < rows").select("id"), "repeated-ids", n_rows, 200_000)
+    chosen = sketch
+    if several.limit(1).count():
+        texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(several, "id", "left_semi").groupBy("id").agg(F.max("t").alias("t"))
+        one = written(sketches(texts, "id", "t", k), "sketches", several.count())
+        chosen = sketch.join(several, "id", "left_anti").unionByName(one)
+        sketch = (sketch.drop("class", "bands").join(one.select("id", "class"), "id")
+                  .unionByName(sketch.drop("bands").join(several, "id", "left_anti").select("id", "n", "class")))
+    classes = (chosen.filter("n > 0").groupBy("class").agg(F.min("id").alias("u"), F.first("n").alias("n"), F.first("bands").alias("bands")).filter("u IS NOT NULL"))
     reps = written(classes, "classes", n_rows, 50_000)
     one = reps.select("u", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = one.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")

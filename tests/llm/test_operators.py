@@ -322,6 +322,15 @@ def test_near_duplicates_without_origin(spark):
     assert [got[i] for i in range(len(docs))] == group.tolist()
 
 
+def test_near_duplicates_several_texts(spark):
+    """An id with several texts is compared by the greatest, also with equal set sizes."""
+    w = [f"w{k}" for k in range(60)]
+    edited = lambda p, x: " ".join([*w[:p], x, *w[p + 1 :]])
+    docs = [(5, " ".join(w)), (5, edited(30, "x")), (3, edited(30, "x")), (9, " ".join(w)), (7, "an other text"), (7, " ".join(w)), (8, "an other text"), (6, ""), (6, "an other text"), (None, edited(30, "x"))]
+    got = Counter(tuple(x) for x in near_dup.near_duplicates(frame(spark, [t for _, t in docs], [i for i, _ in docs])).collect())
+    assert got == Counter([(5, 57, 3), (5, 57, 3), (3, 57, 3), (9, 57, 3), (7, 1, 3), (7, 57, 3), (8, 1, 6), (6, 0, 6), (6, 1, 6), (None, 57, 3)])
+
+
 def test_near_duplicates_empty(spark):
     assert near_dup.near_duplicates(frame(spark, [])).count() == 0
     assert {tuple(x) for x in near_dup.near_duplicates(frame(spark, [None, "", "a"])).collect()} == {(0, 0, 0), (1, 0, 1), (2, 1, 2)}
