@@ -415,6 +415,30 @@ def test_language_model_learns_context(spark):
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got) + 0.2 * sum(r["n_tokens"] for r in got)
 
 
+def test_language_model_training_settles(spark):
+    """At the end the observed counts are the expected ones, up to the prior's pull."""
+    r = random.Random(4)
+    words = [f"w{chr(97 + k % 26)}{chr(97 + 7 * k // 26)}" for k in range(80)]
+    follow, texts = [r.sample(range(80), 4) for _ in words], []
+    for _ in range(60):
+        k, out = 0, []
+        for _ in range(500):
+            k = r.choices(follow[k], (8, 4, 2, 1))[0]
+            out.append(words[k])
+        texts.append(" ".join(out))
+    training = frame(spark, texts).select("text")
+    endings = [tuple(x) for x in maxent_lm.word_counts(training).groupBy("ending").agg(F.sum("c"), F.count(F.lit(1))).collect()]
+    model = maxent_lm.train(training, endings)
+    x = maxent_lm.tokens(WordHasher(fold=True), [t.encode() for t in texts])
+    buckets, k = [x.buckets(j) for j in range(3)], model.classes[x.endings]
+    p = model.probabilities(buckets)
+    for j, b in enumerate(buckets):
+        gap = -getattr(maxent_lm, "PRIOR", 0.0) * model.weights[j].astype(float)
+        np.add.at(gap, (b, k), 1.0)
+        np.subtract.at(gap, b, p)
+        assert np.abs(gap).sum() < 0.06 * len(k)
+
+
 def test_language_model_empty(spark):
     assert maxent_lm.scores(frame(spark, []), F.lit(False)).count() == 0
     got = maxent_lm.scores(frame(spark, ["a b"]), F.lit(True)).first()
