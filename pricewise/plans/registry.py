@@ -599,7 +599,7 @@ def train_cross_validation(spark, sf_dir):
     default): the number of folds, and that mean and deviation follow from the
     fold scores."""
     import numpy as np
-    r = J.train_pipeline(spark, SRC.listings(spark, sf_dir), J.TrainConfig(model_type="ridge", tfidf_max_features=1000))
+    r = J.train_pipeline(spark, SRC.listings(spark, sf_dir), J.TrainConfig(model_type="ridge"))
     c = r.metrics["cv_scores"]
     ok = bool(np.isclose(np.mean(c), r.metrics["cv_rmsle_mean"]) and np.isclose(np.std(c), r.metrics["cv_rmsle_std"]) and min(c) > 0)
     return spark.createDataFrame([(len(c), r.metrics["n_train"], ok)], "n_folds long, n_train long, summary_follows boolean")
@@ -654,7 +654,7 @@ def preprocessor_round_trip(spark, sf_dir):
     from .. import session as S
     from ..operators.features import FittedPreprocessor, ListingPreprocessor
     train, val = split_frames(spark, sf_dir, *SRC.RAW_COLUMNS)
-    pre = ListingPreprocessor(tfidf_max_features=1000).fit(train)
+    pre = ListingPreprocessor().fit(train)
     again = FittedPreprocessor.load(spark, pre.save(os.path.join(S.checkpoint_dir(spark), "pre-" + uuid.uuid4().hex[:8])))
     a = pre.transform(val).select("train_id", F.unwrap_udt("features").alias("a"))
     b = again.transform(val).select("train_id", F.unwrap_udt("features").alias("b"))
@@ -667,7 +667,7 @@ def assembled_features(spark, sf_dir):
     slots after the TF-IDF and one-hot blocks."""
     from ..operators.features import ListingPreprocessor
     train, val = split_frames(spark, sf_dir, *SRC.RAW_COLUMNS)
-    pre = ListingPreprocessor(tfidf_max_features=1000).fit(train)
+    pre = ListingPreprocessor().fit(train)
     first = len(pre.vocab_terms) + len(pre.onehot["cat_main"])
     v = pre.transform(val).select("train_id", vector_to_array("features").alias("v"))
     tail = F.slice("v", first + 1, pre.n_features - first)
