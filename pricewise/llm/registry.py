@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pricewise.llm import decontaminate, maxent_lm, near_dup, quality_rules, rule_ensemble, secrets, sentencepiece_codec, substring_dedup, url_filter, warc
+from pricewise.llm import (decontaminate, hard_negatives, language_id, maxent_lm, near_dup, quality_rules, rule_ensemble, secrets, sentencepiece_codec, substring_dedup, token_align,
+                           url_filter, warc)
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_maxent_lm": maxent_lm.op8_maxent_lm,
     "op9_secrets": secrets.op9_secrets,
     "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_token_align": token_align.op12_token_align,
+    "op13_language_id": language_id.op13_language_id,
 }
 
 ORACLE = {
@@ -24,4 +28,5 @@ ORACLE = {
     "op5_warc": warc.OP5_SQL,
     "op6_near_dup": near_dup.OP6_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
 }
