@@ -7,22 +7,24 @@ pair counts in as many documents as hold it linked.
 
 Counts over the corpus:
 
-1. Every task aligns its documents and adds up its own distinct pairs.
+1. Every task encodes and aligns its documents, writes their token ids and adds up
+   its own distinct pairs.
 2. The distinct pairs of all tasks get a minimal perfect hash: pairs are dealt by
    hash into shards, each shard builds its levels of a bit table (a pair lies on
    the first level where no other falls on its place), and the rank of a pair's
    bit is its index. The keys are held in index order and verified at every look-up.
 3. The tasks' counts become dense vectors indexed by that hash and are summed in
    a tree, blockwise.
-4. A second pass aligns every document again and looks up the counts.
+4. A second pass aligns every document again, from its written token ids, and looks
+   up the counts.
 
 A hash covers at most ``RANGE`` pairs, so that what is broadcast is bounded (about
 25 bytes a pair); more pairs are split by hash into several ranges, which the
-second pass takes one after the other (rows and sums so far are written between).
+second pass takes one after the other (ids and sums so far are written between).
 
 Both tokenizers treat what a single space between two other characters divides
 independently (checked on the tokenizers' own tables, else texts are encoded
-whole), so that a task aligns each distinct stretch once; the cache of stretches
+whole), so that a task encodes each distinct stretch once; the cache of stretches
 is bounded by ``CACHE_CHARS``. Bytes are verified for every stretch.
 
 Null and empty texts, and texts whose joined token bytes of A or B are not the
@@ -111,120 +113,138 @@ def _digits(n: int) -> tuple[np.ndarray, np.ndarray]:
     return text.view(np.uint8).reshape(n, width + 1), np.char.str_len(text).astype(np.int64)
 
 
-class Aligner:
-    """Alignments of stretches, each worked out once and kept in flat arrays."""
+class Alignment:
+    """Tokens of both kinds over the same bytes: groups, links and their pairs."""
 
-    def __init__(self, tokenizers: Pair, lookup: Lookup | None = None):
-        self.t, self.lookup = tokenizers, lookup
+    def __init__(self, a: np.ndarray, b: np.ndarray, len_a: np.ndarray, len_b: np.ndarray):
+        self.a, self.b = a, b
+        self.ends_a, self.ends_b = np.cumsum(len_a[a]), np.cumsum(len_b[b])
+        # Each end of a token closes one link; ends of both kinds close a group.
+        ends = np.sort(np.concatenate([self.ends_a, self.ends_b]), kind="stable")
+        twice = np.zeros(len(ends), bool)
+        twice[1:] = ends[1:] == ends[:-1]
+        self.both, self.every = ends[twice], ends[~twice]
+        linked_a, linked_b = a[np.searchsorted(self.ends_a, self.every)], b[np.searchsorted(self.ends_b, self.every)]
+        self.pairs = (linked_a.astype(np.uint64) << np.uint64(32)) | linked_b.astype(np.uint64)
+
+    def cut(self, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """How many A tokens, B tokens, groups and links lie before each byte offset (ends of groups)."""
+        return tuple(np.searchsorted(e, ends, "right") for e in (self.ends_a, self.ends_b, self.both, self.every))
+
+    def written(self, digits) -> tuple[bytes, np.ndarray]:
+        """``a1,a2|b1;a3|b2,b3;`` and the offset after each group's semicolon."""
+        a, b = self.a, self.b
+        group_a, group_b = np.searchsorted(self.both, self.ends_a), np.searchsorted(self.both, self.ends_b)
+        done_a, done_b = np.searchsorted(self.ends_a, self.both, "right"), np.searchsorted(self.ends_b, self.both, "right")
+        # The A tokens of a group come before its B tokens.
+        place_a = np.arange(len(a)) + np.concatenate([[0], done_b])[group_a]
+        place_b = np.arange(len(b)) + done_a[group_b]
+        width = max(d.shape[1] for d, _ in digits)
+        chars, sizes = np.zeros((len(a) + len(b), width), np.uint8), np.zeros(len(a) + len(b), np.int64)
+        for place, ids, (text, lengths), last, end in ((place_a, a, digits[0], done_a - 1, ord("|")), (place_b, b, digits[1], done_b - 1, ord(";"))):
+            chars[place, : text.shape[1]] = text[ids]
+            sizes[place] = lengths[ids]
+            mark = np.full(len(ids), ord(","), np.uint8)
+            mark[last] = end
+            chars[place, lengths[ids]] = mark
+        return chars[np.arange(width) <= sizes[:, None]].tobytes(), np.cumsum(sizes + 1)[place_b[done_b - 1]]
+
+
+class Flat:
+    """Arrays one after the other, taken out by their numbers."""
+
+    def __init__(self, kind):
+        self.values, self.offsets = np.zeros(0, kind), np.zeros(1, np.int64)
+
+    def extend(self, arrays: list[np.ndarray]) -> None:
+        sizes = np.fromiter(map(len, arrays), np.int64, len(arrays))
+        self.values = np.concatenate([self.values, *arrays])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
+
+    def take(self, k: np.ndarray) -> np.ndarray:
+        first, size = self.offsets[k], self.offsets[k + 1] - self.offsets[k]
+        return self.values[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+class Encoder:
+    """Token ids of texts, and the pairs that they link; each stretch is worked out once and kept in flat arrays."""
+
+    def __init__(self, tokenizers: Pair):
+        self.t = tokenizers
         self.len_a = np.array([len(x) for x in tokenizers.bytes_a], np.int64)
         self.len_b = np.array([len(x) for x in tokenizers.bytes_b], np.int64)
-        self.digits = [_digits(len(x)) for x in (tokenizers.bytes_a, tokenizers.bytes_b)]
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.chars = 0
-        self.ok, self.strings = [], []
-        self.numbers: list[np.ndarray] = []     # n_a, n_b, n_groups, n_links, n_best, count_sum, links found in the table
-        self.pairs: list[np.ndarray] = []
-        self.table, self.flat, self.offsets = np.zeros((0, 7), np.int64), np.zeros(0, np.uint64), np.zeros(1, np.int64)
-
-    # ------------------------------------------------------------- learning --
-    def _keep(self, stretch: str, ok: bool, string: bytes, numbers: np.ndarray, pairs: np.ndarray) -> None:
-        self.index[stretch] = len(self.ok)
-        self.chars += len(stretch)
-        self.ok.append(ok)
-        self.strings.append(string)
-        self.numbers.append(numbers)
-        self.pairs.append(pairs)
+        self.ok = np.zeros(0, bool)
+        self.a, self.b, self.pairs = Flat(np.int64), Flat(np.int64), Flat(np.uint64)
 
     def learn(self, stretches: list[str]) -> None:
-        """Align new stretches. Those that a single space may join are encoded as one text."""
-        bad = [s for s in stretches if MARK in s and self.t.separable]  # B takes its marker for a space
-        for s in bad:
-            self._keep(s, False, b"", np.zeros(7, np.int64), np.zeros(0, np.uint64))
-        rest = [s for s in stretches if not (MARK in s and self.t.separable)]
-        plain = [s for s in rest if self.t.separable and not s[0].isspace() and not s[-1].isspace()]
-        alone = [s for s in rest if not (self.t.separable and not s[0].isspace() and not s[-1].isspace())]
-        groups, size = [[]], 0
-        for s in plain:
-            groups[-1].append(s)
-            size += len(s)
-            if size > CALL_CHARS:
-                groups.append([])
-                size = 0
-        for g in filter(None, groups):
-            if not self._together(g):
-                alone += g
+        """Encode and align new stretches. Those that a single space may join are encoded as one text."""
+        together, alone, bad, size = [[]], [], [], 0
+        for s in stretches:
+            if not self.t.separable:
+                alone.append(s)
+            elif MARK in s:
+                bad.append(s)  # B takes its marker for a space
+            elif s[0].isspace() or s[-1].isspace():
+                alone.append(s)
+            else:
+                together[-1].append(s)
+                size += len(s) + 1
+                if size > CALL_CHARS:
+                    together.append([])
+                    size = 0
+        found: list[tuple[list[str], list]] = []
+        for group in filter(None, together):
+            parts = self._encoded(group)
+            if parts:
+                found.append((group, parts))
+            else:
+                alone += group
         for s in alone:
-            if not self._together([s]):
-                self._keep(s, False, b"", np.zeros(7, np.int64), np.zeros(0, np.uint64))
-        if self.numbers:
-            sizes = np.array([len(p) for p in self.pairs], np.int64)
-            self.table = np.concatenate([self.table, np.array(self.numbers, np.int64)])
-            self.flat = np.concatenate([self.flat, *self.pairs])
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
-            self.numbers, self.pairs = [], []
-
-    def _together(self, stretches: list[str]) -> bool:
-        """Align stretches joined by single spaces; False if the bytes differ or a stretch does not end a group."""
+            parts = self._encoded([s])
+            if parts:
+                found.append(([s], parts))
+            else:
+                bad.append(s)
+        names = [s for group, _ in found for s in group] + bad
+        nothing = np.zeros(0, np.int64)
+        for flat, j in ((self.a, 0), (self.b, 1), (self.pairs, 2)):
+            flat.extend([x for _, parts in found for x in parts[j]] + [nothing.astype(flat.values.dtype)] * len(bad))
+        self.index.update(zip(names, range(len(self.index), len(self.index) + len(names)), strict=True))
+        self.chars += sum(map(len, names))
+        self.ok = np.concatenate([self.ok, np.arange(len(names)) < len(names) - len(bad)])
+
+    def _encoded(self, stretches: list[str]) -> list | None:
+        """(A ids, B ids, distinct pairs) of stretches joined by single spaces; None if the bytes differ or a stretch does not end a group."""
         joined = " ".join(stretches)
         (a,), (b,) = self.t.encode([joined])
         whole = b" " + joined.encode()
         if b"".join(map(self.t.bytes_a.__getitem__, a.tolist())) != whole or b"".join(map(self.t.bytes_b.__getitem__, b.tolist())) != whole:
-            return False
-        ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
-        both, every = np.intersect1d(ends_a, ends_b), np.union1d(ends_a, ends_b)
+            return None
+        al = Alignment(a, b, self.len_a, self.len_b)
         cuts = np.cumsum([1 + len(s.encode()) for s in stretches])
-        if not np.isin(cuts, both).all():
-            return False
-        linked_a, linked_b = a[np.searchsorted(ends_a, every)], b[np.searchsorted(ends_b, every)]
-        pairs = (linked_a.astype(np.uint64) << np.uint64(32)) | linked_b.astype(np.uint64)
-        to_a, to_b, to_group, to_link = (np.searchsorted(e, cuts, "right") for e in (ends_a, ends_b, both, every))
-        text, text_ends = self._written(a, b, ends_a, ends_b, both)
-        found = self.lookup(pairs) if self.lookup else np.zeros((3, len(pairs)), np.int64)
-        sums = [np.concatenate([[0], np.cumsum(x)])[to_link] for x in found]
-        numbers = np.diff(np.stack([to_a, to_b, to_group, to_link, *sums], 1), axis=0, prepend=0)
-        at, string_at = 0, 0
-        for s, n, link, group in zip(stretches, numbers, to_link.tolist(), to_group.tolist(), strict=True):
-            string_to = text_ends[group - 1]
-            self._keep(s, True, text[string_at : string_to - 1], n, pairs[at:link])
-            at, string_at = link, string_to
-        return True
-
-    def _written(self, a, b, ends_a, ends_b, both) -> tuple[bytes, np.ndarray]:
-        """``a1,a2|b1;a3|b2,b3;`` and the offset after each group's semicolon."""
-        group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
-        done_a, done_b = np.searchsorted(ends_a, both, "right"), np.searchsorted(ends_b, both, "right")
-        # The A tokens of a group come before its B tokens.
-        place_a = np.arange(len(a)) + np.concatenate([[0], done_b])[group_a]
-        place_b = np.arange(len(b)) + done_a[group_b]
-        width = max(d.shape[1] for d, _ in self.digits)
-        chars, sizes = np.zeros((len(a) + len(b), width), np.uint8), np.zeros(len(a) + len(b), np.int64)
-        for place, ids, (digits, lengths), last, end in ((place_a, a, self.digits[0], done_a - 1, ord("|")), (place_b, b, self.digits[1], done_b - 1, ord(";"))):
-            chars[place, : digits.shape[1]] = digits[ids]
-            sizes[place] = lengths[ids]
-            mark = np.full(len(ids), ord(","), np.uint8)
-            mark[last] = end
-            chars[place, lengths[ids]] = mark
-        text = chars[np.arange(width) <= sizes[:, None]].tobytes()
-        return text, np.cumsum(sizes + 1)[place_b[done_b - 1]].tolist()
+        if not (al.both[np.minimum(np.searchsorted(al.both, cuts), len(al.both) - 1)] == cuts).all():
+            return None
+        to_a, to_b, _, to_link = (t[:-1] for t in al.cut(cuts))
+        return [np.split(a, to_a), np.split(b, to_b), np.split(al.pairs, to_link)]
 
-    # ------------------------------------------------------------ documents --
-    def stretches(self, texts: list[str]) -> list[np.ndarray]:
-        """The numbers of each text's stretches, new ones learned first."""
+    def stretches(self, texts: list[str]) -> list[np.ndarray | None]:
+        """The numbers of each text's stretches (new ones are learned first), None for a text without tokens."""
         cut = [CUT.split(t) if self.t.separable else [t] for t in texts]
         if self.chars > CACHE_CHARS:
             self.forget()
-        self.learn(sorted({s for c in cut for s in c} - self.index.keys()))
-        return [np.fromiter(map(self.index.__getitem__, c), np.int64, len(c)) for c in cut]
-
-    def document_pairs(self, numbers: np.ndarray) -> np.ndarray:
-        """The distinct pairs linked in a document."""
-        k = np.unique(numbers)
-        first, size = self.offsets[k], self.offsets[k + 1] - self.offsets[k]
-        where = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        return np.unique(self.flat[where])
+        self.learn(list({s for c in cut for s in c} - self.index.keys()))
+        found = [np.fromiter(map(self.index.__getitem__, c), np.int64, len(c)) for c in cut]
+        return [k if self.ok[k].all() else None for k in found]
 
 
 _PAIRS: dict[bytes, Pair] = {}
@@ -328,46 +348,58 @@ class Lookup:
     def __init__(self, hash_: PerfectHash, counts: np.ndarray, best: np.ndarray):
         self.hash, self.counts, self.best = hash_, counts, best
 
-    def __call__(self, pairs: np.ndarray) -> np.ndarray:
+    def __call__(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         index, known = self.hash(pairs)
         count = np.where(known, self.counts[index] if len(self.counts) else 0, 0)
-        ids = np.minimum((pairs >> np.uint64(32)).astype(np.int64), len(self.best) - 1)
-        return np.stack([known & (count == self.best[ids]), count, known]).astype(np.int64)
+        return known & (count == self.best[(pairs >> np.uint64(32)).astype(np.int64)]), count, known
 
 
 # -------------------------------------------------------------- Spark passes --
 
-def _batches_of(pairs: np.ndarray, counts: np.ndarray):
-    for at in range(0, len(pairs), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 100_000].view(np.int64)), pa.array(counts[at : at + 100_000])], names=["pair", "n"])
-
-
-def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    pairs, inverse = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
-    return pairs, np.bincount(inverse, np.concatenate([n for _, n in held])).astype(np.int64)
+def _encode(shared, text: str, out: list[str], fields: list[pa.Field]):
+    """The first pass: per document its token ids (null without tokens), and, in rows
+    of their own, the distinct pairs of the task with their numbers of documents."""
+    def counted(held, schema):
+        pairs, n = _merged(held)
+        for at in range(0, len(pairs), 100_000):
+            p, c = pairs[at : at + 100_000], n[at : at + 100_000]
+            empty = [pa.nulls(len(p), f.type) for f in schema][:-2]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array(p.view(np.int64)), pa.array(c)], schema=schema)
 
-
-def _count_pairs(shared, text: str):
     def run(batches):
-        aligner, held, size = Aligner(_pair(shared)), [], 0
+        schema = pa.schema([*fields, ("__a", pa.binary()), ("__b", pa.binary()), ("__pair", pa.int64()), ("__n", pa.int64())])
+        encoder, held, size = Encoder(_pair(shared)), [], 0
         for b in batches:
-            texts = [t for t in b.column(text).to_pylist() if t]
-            for k in aligner.stretches(texts):
-                if all(map(aligner.ok.__getitem__, k.tolist())):
-                    p = aligner.document_pairs(k)
+            texts = b.column(text).to_pylist()
+            ids: list[list] = [[None] * len(texts), [None] * len(texts)]
+            some = [i for i, t in enumerate(texts) if t]
+            for i, k in zip(some, encoder.stretches([texts[i] for i in some]), strict=True):
+                if k is not None:
+                    ids[0][i], ids[1][i] = (f.take(k).astype(np.uint32).tobytes() for f in (encoder.a, encoder.b))
+                    p = distinct(encoder.pairs.take(k))
                     held.append((p, np.ones(len(p), np.int64)))
                     size += len(p)
             if size > HELD:
                 held = [_merged(held)]
                 size = len(held[0][0])
                 if size > HELD // 2:
-                    yield from _batches_of(*held[0])
+                    yield from counted(held, schema)
                     held, size = [], 0
+            columns = [b.column(c).cast(f.type) for c, f in zip(out, fields, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids[0], pa.binary()), pa.array(ids[1], pa.binary()), pa.nulls(len(texts), pa.int64()), pa.nulls(len(texts), pa.int64())], schema=schema)
         if held:
-            yield from _batches_of(*_merged(held))
+            yield from counted(held, schema)
     return run
 
 
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    pairs, n = np.concatenate([p for p, _ in held]), np.concatenate([c for _, c in held])
+    order = np.argsort(pairs)
+    pairs, n = pairs[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]) if len(pairs) else np.zeros(0, bool))
+    return pairs[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def _build(shards: int):
     def run(table: pa.Table) -> pa.Table:
         keys = table["pair"].to_numpy().view(np.uint64)
@@ -420,14 +452,13 @@ def tree_sum(vectors: DataFrame, parts: int) -> DataFrame:
     return vectors
 
 
-def pair_counts(docs: DataFrame, shared, text: str, range_pairs: int) -> tuple[list[DataFrame], np.ndarray, int]:
-    """Per range a table of its hash (shard, level, bits, places, keys) and counts (block,
-    vector), the highest count of each A id, and the number of pairs."""
-    spark = docs.sparkSession
-    partial = written(docs.select(F.col(f"`{text}`")).mapInArrow(_count_pairs(shared, text), "pair long, n long"), "pair-counts")
+def pair_counts(partial: DataFrame, vocabulary: int, range_pairs: int) -> tuple[list[tuple], np.ndarray]:
+    """From the tasks' (pair, n): per range its shards, a table of its hash (shard, level,
+    bits, places, keys) and one of its counts (block, vector); and the highest count of each A id."""
+    spark = partial.sparkSession
     keys = written(partial.select("pair").distinct(), "pairs")
     n = keys.count()
-    ranges, best, out = max(1, -(-n // range_pairs)), np.zeros(0, np.int64), []
+    ranges, best, out = max(1, -(-n // range_pairs)), np.zeros(vocabulary, np.int64), []
     for r in range(ranges):
         def mine(df, r=r):
             if ranges == 1:
@@ -440,12 +471,10 @@ def pair_counts(docs: DataFrame, shared, text: str, range_pairs: int) -> tuple[l
         dense = mine(partial).mapInArrow(_dense(spark.sparkContext.broadcast(hash_)), "block int, vector binary")
         counts = written(tree_sum(dense, len(partial.inputFiles())), "pair-vectors")
         vector = _vector(counts, len(hash_.keys))
-        ids = (hash_.keys >> np.uint64(32)).astype(np.int64)
-        best = np.concatenate([best, np.zeros(max(0, (ids.max() + 1 if len(ids) else 0) - len(best)), np.int64)])
-        np.maximum.at(best, ids, vector)
+        np.maximum.at(best, (hash_.keys >> np.uint64(32)).astype(np.int64), vector)
         out.append((shards, levels, counts))
-    release(spark, partial, keys)
-    return out, best, n
+    release(spark, keys)
+    return out, best
 
 
 def _vector(counts: DataFrame, n: int) -> np.ndarray:
@@ -459,28 +488,40 @@ def _vector(counts: DataFrame, n: int) -> np.ndarray:
 _NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def _look_up(shared, lookup, text: str, out: list[str], with_groups: bool, every: bool):
-    """The second pass; with ``every`` all pairs of a document must be in the table."""
+def _look_up(shared, lookup, out: list[str], with_groups: bool, last: bool, every: bool):
+    """The second pass; with ``every`` all pairs must be in the table."""
     def run(batches):
-        aligner = Aligner(_pair(shared), lookup.value)
+        t = _pair(shared)
+        lengths = [np.array([len(x) for x in table], np.int64) for table in (t.bytes_a, t.bytes_b)]
+        digits = [_digits(len(x)) for x in lengths]
         for b in batches:
-            texts = b.column(text).to_pylist()
-            numbers, digests, groups = np.zeros((len(texts), 6), np.int64), [""] * len(texts), [""] * len(texts)
-            some = [i for i, t in enumerate(texts) if t]
-            for i, k in zip(some, aligner.stretches([texts[i] for i in some]), strict=True):
-                which = k.tolist()
-                if all(map(aligner.ok.__getitem__, which)):
-                    *numbers[i], known = aligner.table[k].sum(0)
-                    if every and known != numbers[i, 3]:
-                        raise RuntimeError("a pair of the second pass is not in the table of the first")
-                    joined = b";".join(map(aligner.strings.__getitem__, which))
-                    digests[i] = hashlib.sha256(joined).hexdigest()
-                    if with_groups:
-                        groups[i] = joined.decode()
+            rows = b.num_rows
+            numbers, digests, groups = np.zeros((rows, 6), np.int64), [""] * rows, [""] * rows
+            some = np.flatnonzero(b.column("__a").is_valid().to_numpy(zero_copy_only=False))
+            if len(some):
+                ids = [[np.frombuffer(x, np.uint32) for x in b.column(c).to_pylist() if x is not None] for c in ("__a", "__b")]
+                al = Alignment(*(np.concatenate(x).astype(np.int64) for x in ids), *lengths)
+                ends = al.ends_a[np.cumsum([len(x) for x in ids[0]]) - 1]
+                cuts = al.cut(ends)
+                best, count, known = lookup.value(al.pairs)
+                if every and not known.all():
+                    raise RuntimeError("a pair of the second pass is not in the table of the first")
+                sums = [np.concatenate([[0], np.cumsum(x)])[cuts[3]] for x in (best, count)]
+                numbers[some] = np.diff(np.stack([*cuts, *sums], 1), axis=0, prepend=0)
+                if last:
+                    text, ends = al.written(digits)
+                    at = 0
+                    for i, to in zip(some.tolist(), ends[cuts[2] - 1].tolist(), strict=True):
+                        digests[i] = hashlib.sha256(text[at : to - 1]).hexdigest()
+                        if with_groups:
+                            groups[i] = text[at : to - 1].decode()
+                        at = to
             for j, c in ((4, "__n_best"), (5, "__count_sum")):
                 numbers[:, j] += b.column(c).to_numpy()
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in out), *(pa.array(numbers[:, j]) for j in range(6)), pa.array(digests), *([pa.array(groups)] if with_groups else [])],
-                                             names=[*out, *("__" + c for c in _NUMBERS), "__groups_sha256", *(["__groups"] if with_groups else [])])
+            columns = {c: b.column(c) for c in out} | {f"__{c}": pa.array(numbers[:, j]) for j, c in enumerate(_NUMBERS)}
+            if last:
+                columns |= {"__groups_sha256": pa.array(digests)} | ({"__groups": pa.array(groups)} if with_groups else {})
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
     return run
 
 
@@ -489,25 +530,34 @@ def aligned(docs: DataFrame, keep: list[str] | None = None, text: str = "text",
     """The columns ``keep`` of ``docs`` with ``__n_a``, ``__n_b``, ``__n_groups``,
     ``__n_links``, ``__n_best``, ``__count_sum``, ``__groups_sha256`` and, if asked
     for, ``__groups`` (``a1,a2|b1;a3|b2,b3``)."""
+    from pyspark.sql.pandas.types import to_arrow_type
     spark = docs.sparkSession
     small_batches(spark, 500)
     with open(model_a, "rb") as a, open(model_b, "rb") as b:
         shared = spark.sparkContext.broadcast((a.read(), b.read()))  # two vocabulary files, a few MB
     keep = docs.columns if keep is None else keep
-    ranges, best, _ = pair_counts(docs, shared, text, range_pairs)
-    through = list(dict.fromkeys([*keep, text]))
-    cur = docs.select(*[F.col(f"`{c}`") for c in through], F.lit(0).cast("long").alias("__n_best"), F.lit(0).cast("long").alias("__count_sum"))
+    fields = [pa.field(c, to_arrow_type(docs.schema[c].dataType)) for c in keep]
+    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    source = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])])
+    first = written(source.mapInArrow(_encode(shared, text, keep, fields), kept + "__a binary, __b binary, __pair long, __n long"), "token-ids")
+    pairs = first.filter("__pair IS NOT NULL").select(F.col("__pair").alias("pair"), F.col("__n").alias("n"))
+    ranges, best = pair_counts(pairs, len(_pair(shared).bytes_a), range_pairs)
+    zero = [F.lit(0).cast("long").alias(c) for c in ("__n_best", "__count_sum")]
+    cur, done = first.filter("__pair IS NULL").select(*[F.col(f"`{c}`") for c in keep], "__a", "__b", *zero), []
     for i, (shards, levels, counts) in enumerate(ranges):
         hash_ = PerfectHash.of(shards, [tuple(x) for x in levels.collect()])
-        lookup = spark.sparkContext.broadcast(Lookup(hash_, _vector(counts, len(hash_.keys)), np.append(best, 0)))
+        lookup = spark.sparkContext.broadcast(Lookup(hash_, _vector(counts, len(hash_.keys)), best))
         last = i == len(ranges) - 1
-        out = keep if last else through
-        schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in out)
-        schema += "".join(f", __{c} long" for c in _NUMBERS) + ", __groups_sha256 string" + (", __groups string" if with_groups and last else "")
-        cur = cur.select(*[F.col(f"`{c}`") for c in through], "__n_best", "__count_sum").mapInArrow(_look_up(shared, lookup, text, out, with_groups and last, len(ranges) == 1), schema.lstrip(", "))
+        out = keep if last else [*keep, "__a", "__b"]
+        schema = kept + ("" if last else "__a binary, __b binary, ") + ", ".join(f"__{c} long" for c in _NUMBERS)
+        schema += (", __groups_sha256 string" + (", __groups string" if with_groups else "")) if last else ""
+        cur = cur.select(*[F.col(f"`{c}`") for c in keep], "__a", "__b", "__n_best", "__count_sum")
+        cur = cur.mapInArrow(_look_up(shared, lookup, out, with_groups, last, len(ranges) == 1), schema)
+        release(spark, levels, counts)
         if not last:
             cur = written(cur, "aligned")
-        release(spark, levels, counts)
+            release(spark, *done)
+            done = [cur]
     return cur
 
 
