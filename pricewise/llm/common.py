@@ -43,15 +43,16 @@ def written(df: DataFrame, name: str, rows: int | None = None, rows_per_file: in
     return out
 
 
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete written tables whose readers have been written themselves, and let
-    Spark drop the shuffle files of plans that nothing refers to any more
-    (otherwise they stay until the driver happens to collect its garbage)."""
+def release(spark: SparkSession, *tables: DataFrame, shuffles: bool = True) -> None:
+    """Delete written tables whose readers have been written themselves, and (with
+    ``shuffles``) let Spark drop the shuffle files of plans that nothing refers to any
+    more (otherwise they stay until the driver happens to collect its garbage)."""
     for t in tables:
         path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()
+    if shuffles:
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

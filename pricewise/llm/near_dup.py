@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pricewise.llm.bloom import may_hold
-from pricewise.llm.common import WordHasher, byte_texts, mix, read, shingle_hashes, small_batches, written
+from pricewise.llm.common import WordHasher, byte_texts, mix, read, release, shingle_hashes, small_batches, written
 
 SHINGLE = 4
 PERCENT = 80
@@ -208,8 +208,9 @@ def components(links: DataFrame, rows: int, u: str = "u", v: str = "hub") -> Dat
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        e = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-                    .filter("u <> v").distinct(), "links", rows, 200_000)
+        old, e = e, written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+                            .filter("u <> v").distinct(), "links", rows, 200_000)
+        release(e.sparkSession, old, shuffles=False)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
@@ -248,40 +249,57 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, k: int) -
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, log: Callable[[str], None] = lambda _: None) -> DataFrame:
-    """(id, n, component) of every row of ``docs``; ids are integers."""
+    """(id, n, component) of every row of ``docs``; ids are integers.
+
+    A table is deleted as soon as what was made from it has been written."""
+    spark = docs.sparkSession
     n_rows = docs.count()
-    sketch = written(sketches(docs, key, text, k), "sketches", n_rows)
-    named = sketch.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.count("class").alias("full"), F.min("class").alias("a"), F.max("class").alias("b"))
+    first = written(sketches(docs, key, text, k), "sketches", n_rows)
+    named = first.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.count("class").alias("full"), F.min("class").alias("a"), F.max("class").alias("b"))
     several = written(named.filter("a <> b OR full > 0 AND full < rows").select("id"), "repeated-ids", n_rows, 200_000)
-    chosen = sketch
+    chosen, sketch, done = first, first.select("id", "n", "class"), [first]
     if several.limit(1).count():
         texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(several, "id", "left_semi").groupBy("id").agg(F.max("t").alias("t"))
         one = written(sketches(texts, "id", "t", k), "sketches", several.count())
-        chosen = sketch.join(several, "id", "left_anti").unionByName(one)
-        sketch = (sketch.drop("class", "bands").join(one.select("id", "class"), "id")
-                  .unionByName(sketch.drop("bands").join(several, "id", "left_anti").select("id", "n", "class")))
+        chosen = first.join(several, "id", "left_anti").unionByName(one)
+        sketch = sketch.drop("class").join(one.select("id", "class"), "id").unionByName(sketch.join(several, "id", "left_anti"))
+        done.append(one)
+    sketch = written(sketch, "classes", n_rows, 200_000)
     classes = (chosen.filter("n > 0").groupBy("class").agg(F.min("id").alias("u"), F.first("n").alias("n"), F.first("bands").alias("bands")).filter("u IS NOT NULL"))
     reps = written(classes, "classes", n_rows, 50_000)
+    release(spark, several, *done)
     one = reps.select("u", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = one.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = written(one.join(shared, "bucket").groupBy("u", "n")
                       .agg(F.sum(F.log2("size")).alias("weight"), F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("own")), "bucket-members", n_rows, 50_000)  # at most BANDS entries
     m = members.count()
+    wide, reps = reps, written(reps.select("class", "u"), "classes", n_rows, 200_000)
+    del one, shared, classes, chosen, named
+    release(spark, wide)
 
     sets = written(shingle_sets(docs, members.select(F.col("u").alias("id")), key, text, k), "shingle-sets", m, 5000)
-    pairs = written(star_edges(shared_buckets(members)), "pairs", m, 10_000)
-    links = written(confirmed(pairs, sets), "links", m, 10_000)
-    found = written(components(links, links.count()), "components", m, 200_000)
+    tried = [written(star_edges(shared_buckets(members)), "pairs", m, 10_000)]
+    release(spark)
+    links = written(confirmed(tried[0], sets), "links", m, 10_000)
+    found = components(links, links.count())
+    found = written(found, "components", m, 200_000)
+    release(spark, links)
     for combinations in ROUNDS:
+        pairs = reduce(DataFrame.unionByName, tried)
         new = written(star_edges(finer(members, found, combinations)).join(pairs, ["u", "n_u", "hub", "n_hub"], "left_anti"), "pairs", m, 10_000)
+        release(spark)
         more = written(confirmed(new, sets), "links", m, 10_000)
         log(f"{new.count()} pairs, {more.count()} links")
-        pairs, found = pairs.unionByName(new), merged(found, more, more.count())
-    found = written(found, "components", m, 200_000)
+        tried.append(new)
+        old, found = found, written(merged(found, more, more.count()), "components", m, 200_000)
+        release(spark, old, more)
+    release(spark, *tried)
     new = written(remaining(members, found, sets), "pairs")
+    release(spark, members)
     more = written(confirmed(new, sets), "links")
     log(f"remaining: {new.count()} pairs, {more.count()} links")
-    found = merged(found, more, more.count())
+    old, found = found, written(merged(found, more, more.count()), "components", m, 200_000)
+    release(spark, sets, new, more, old)
 
     label = reps.select("class", "u").join(found.withColumnRenamed("id", "u"), "u", "left").select("class", F.coalesce("component", "u").alias("component"))
     return sketch.select("id", "n", "class").join(label, "class", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
