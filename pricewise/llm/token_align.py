@@ -51,7 +51,7 @@ from pricewise.llm.common import mix, read, release, small_batches, written
 FOLDER = "/opt/tokenizers"
 MODEL_A, MODEL_B = f"{FOLDER}/byte_bpe_50k.json", f"{FOLDER}/piece_bpe_32k.model"
 #: Characters of cached stretches in a task, and of one call to a tokenizer.
-CACHE_CHARS, CALL_CHARS = 8_000_000, 200_000
+CACHE_CHARS, CALL_CHARS = 6_000_000, 200_000
 #: Pairs of one hash, of one of its shards, and of one block of a dense vector.
 RANGE, SHARD, BLOCK = 4_000_000, 1 << 17, 1 << 15
 #: Pairs a task holds before it sends their counts.
@@ -156,9 +156,8 @@ class Flat:
     def __init__(self, kind):
         self.values, self.offsets = np.zeros(0, kind), np.zeros(1, np.int64)
 
-    def extend(self, arrays: list[np.ndarray]) -> None:
-        sizes = np.fromiter(map(len, arrays), np.int64, len(arrays))
-        self.values = np.concatenate([self.values, *arrays])
+    def extend(self, values: list[np.ndarray], sizes: np.ndarray) -> None:
+        self.values = np.concatenate([self.values, *(v.astype(self.values.dtype) for v in values)])
         self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
 
     def take(self, k: np.ndarray) -> np.ndarray:
@@ -184,7 +183,7 @@ class Encoder:
         self.index: dict[str, int] = {}
         self.chars = 0
         self.ok = np.zeros(0, bool)
-        self.a, self.b, self.pairs = Flat(np.int64), Flat(np.int64), Flat(np.uint64)
+        self.a, self.b, self.pairs = Flat(np.uint32), Flat(np.uint32), Flat(np.uint64)
 
     def learn(self, stretches: list[str]) -> None:
         """Encode and align new stretches. Those that a single space may join are encoded as one text."""
@@ -216,15 +215,14 @@ class Encoder:
             else:
                 bad.append(s)
         names = [s for group, _ in found for s in group] + bad
-        nothing = np.zeros(0, np.int64)
-        for flat, j in ((self.a, 0), (self.b, 1), (self.pairs, 2)):
-            flat.extend([x for _, parts in found for x in parts[j]] + [nothing.astype(flat.values.dtype)] * len(bad))
+        for j, flat in enumerate((self.a, self.b, self.pairs)):
+            flat.extend([parts[j][0] for _, parts in found], np.concatenate([*(parts[j][1] for _, parts in found), np.zeros(len(bad), np.int64)]))
         self.index.update(zip(names, range(len(self.index), len(self.index) + len(names)), strict=True))
         self.chars += sum(map(len, names))
         self.ok = np.concatenate([self.ok, np.arange(len(names)) < len(names) - len(bad)])
 
     def _encoded(self, stretches: list[str]) -> list | None:
-        """(A ids, B ids, distinct pairs) of stretches joined by single spaces; None if the bytes differ or a stretch does not end a group."""
+        """(A ids, B ids, linked pairs) of stretches joined by single spaces, each with its number by stretch; None if the bytes differ or a stretch does not end a group."""
         joined = " ".join(stretches)
         (a,), (b,) = self.t.encode([joined])
         whole = b" " + joined.encode()
@@ -234,8 +232,8 @@ class Encoder:
         cuts = np.cumsum([1 + len(s.encode()) for s in stretches])
         if not (al.both[np.minimum(np.searchsorted(al.both, cuts), len(al.both) - 1)] == cuts).all():
             return None
-        to_a, to_b, _, to_link = (t[:-1] for t in al.cut(cuts))
-        return [np.split(a, to_a), np.split(b, to_b), np.split(al.pairs, to_link)]
+        to_a, to_b, _, to_link = (np.diff(t, prepend=0) for t in al.cut(cuts))
+        return [(a, to_a), (b, to_b), (al.pairs, to_link)]
 
     def stretches(self, texts: list[str]) -> list[np.ndarray | None]:
         """The numbers of each text's stretches (new ones are learned first), None for a text without tokens."""
@@ -375,7 +373,7 @@ def _encode(shared, text: str, out: list[str], fields: list[pa.Field]):
             some = [i for i, t in enumerate(texts) if t]
             for i, k in zip(some, encoder.stretches([texts[i] for i in some]), strict=True):
                 if k is not None:
-                    ids[0][i], ids[1][i] = (f.take(k).astype(np.uint32).tobytes() for f in (encoder.a, encoder.b))
+                    ids[0][i], ids[1][i] = (f.take(k).tobytes() for f in (encoder.a, encoder.b))
                     p = distinct(encoder.pairs.take(k))
                     held.append((p, np.ones(len(p), np.int64)))
                     size += len(p)
