@@ -124,23 +124,6 @@ def keyword_features(text) -> dict[str, Column]:
     }
 
 
-def term_counts(terms) -> Column:
-    """Per-row (term, tf) pairs computed inside the row, no shuffle: sort the
-    terms, flag where a run of equal terms starts, and measure the runs.
-    Every lambda only reads its own arguments (linear time per row)."""
-    s = F.array_sort(_c(terms))
-    n = F.size(s)
-    prev = F.concat(F.array(F.lit(None).cast("string")), F.slice(s, 1, F.greatest(n - 1, F.lit(1))))
-    flags = F.zip_with(s, prev, lambda cur, p: p.isNull() | (cur != p))
-    starts = F.filter(F.transform(flags, lambda f, i: F.when(f, i).otherwise(F.lit(-1))), lambda x: x >= 0)
-    ends = F.when(F.size(starts) <= 1, F.array(n)).otherwise(
-        F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(1))), F.array(n)))
-    distinct = F.filter(F.zip_with(s, flags, lambda x, f: F.when(f, x)), lambda x: x.isNotNull())
-    counts = F.zip_with(starts, ends, lambda a, b: (b - a).cast("int"))
-    pairs = F.zip_with(distinct, counts, lambda t, c: F.struct(t.alias("term"), c.alias("tf")))
-    return F.when(n == 0, F.array().cast("array<struct<term:string,tf:int>>")).otherwise(pairs)
-
-
 def condition_phrase(cond) -> Column:
     m = F.create_map(*[x for k, v in K.CONDITION_PHRASES.items() for x in (F.lit(k), F.lit(v))])
     return F.coalesce(F.element_at(m, _c(cond).cast("int")), F.lit(""))

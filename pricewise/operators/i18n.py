@@ -30,9 +30,22 @@ def label_rows(path: str = LABELS_PATH) -> list[tuple[str, str, str, str]]:
             for sec, entries in secs.items() for key, label in entries.items()]
 
 
-def labels(spark: SparkSession, path: str = LABELS_PATH) -> DataFrame:
-    """(lang, section, key, label) from the nested label dictionary."""
-    return spark.createDataFrame(label_rows(path), LABEL_SCHEMA)
+def labels(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """(lang, section, key, label) from a nested label dictionary: one JSON document
+    at a path that Spark reads, or by default the package's own (which only the
+    driver is sure to have). Plain texts beside the sections of a language become
+    the section ``texts``."""
+    if path is None:
+        with open(LABELS_PATH, encoding="utf-8") as f:
+            document = spark.createDataFrame([(f.read(),)], "value string")
+    else:
+        document = spark.read.text(path, wholetext=True)
+    by_lang = document.select(F.explode(F.from_json("value", "map<string, map<string, string>>")).alias("lang", "sections"))
+    parts = by_lang.select("lang", F.explode("sections").alias("section", "value"))
+    entries = F.from_json("value", "map<string, string>")
+    nested = parts.filter(F.col("value").startswith("{")).select("lang", "section", F.explode(entries).alias("key", "label"))
+    plain = parts.filter(~F.col("value").startswith("{")).select("lang", F.lit("texts").alias("section"), F.col("section").alias("key"), F.col("value").alias("label"))
+    return nested.unionByName(plain)
 
 
 def taxonomy(spark: SparkSession) -> DataFrame:

@@ -55,12 +55,14 @@ class Vocabulary:
 
 
 def term_statistics(terms: DataFrame) -> DataFrame:
-    """(term, df, tf_total) over all rows: each row's (term, tf) pairs are
-    counted inside the row, then one aggregate by term gives both numbers.
-    Map-side partial aggregation combines every term inside each partition,
-    so only per-partition partial counts are shuffled."""
-    pairs = terms.select(F.explode(TX.term_counts("terms")).alias("p")).select("p.term", "p.tf")
-    return pairs.groupBy("term").agg(F.count(F.lit(1)).cast("long").alias("df"), F.sum("tf").cast("long").alias("tf_total"))
+    """(term, df, tf_total) over all rows: every occurrence counts for tf_total
+    and a row's distinct terms for df, in one aggregate by term. Map-side partial
+    aggregation combines every term inside each partition, so only
+    per-partition partial counts are shuffled."""
+    marked = F.concat(F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("tf"))),
+                      F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("tf"))))
+    pairs = terms.select(F.explode(marked).alias("p")).select("p.*")
+    return pairs.groupBy("term").agg(F.sum("n").cast("long").alias("df"), F.sum("tf").cast("long").alias("tf_total"))
 
 
 def fit_vocabulary(terms: DataFrame, max_features: int | None = K.TFIDF_MAX_FEATURES,

@@ -124,7 +124,10 @@ def train_pipeline(spark: SparkSession, raw: DataFrame, cfg: TrainConfig | None
     if cfg.cv and cfg.cv > 1:
         # Fold labels are fixed once; every fold fits the configured model type.
         folds = S.cut_lineage(SP.kfold_assign(xtr, cfg.cv, cfg.seed))
-        scores = M.cross_validate(folds, lambda tr, te: predict(fit_model(tr, None, cfg), te), cfg.cv)
+        if cfg.model_type == "ridge":
+            scores = M.cross_validate_ridge(folds, cfg.alpha, cfg.cv)
+        else:
+            scores = M.cross_validate(folds, lambda tr, te: predict(fit_model(tr, None, cfg), te), cfg.cv)
         metrics["cv_scores"] = [r["rmsle"] for r in scores.orderBy("fold").collect()]
         s = M.cv_summary(scores).first()
         metrics["cv_rmsle_mean"], metrics["cv_rmsle_std"] = s["rmsle_mean"], s["rmsle_std"]

@@ -588,6 +588,11 @@ counts AS (SELECT (SELECT count(*) FROM tr) AS n_train, (SELECT count(*) FROM va
 register("train_ridge", _COUNTS + "SELECT 'ridge' AS model_type, *, true AS stationary, true AS error_recomputed FROM counts")
 for _kind in ("gbt", "ensemble"):
     register(f"train_{_kind}", _COUNTS + f"SELECT '{_kind}' AS model_type, *, true AS trees_kept, true AS blend_exact, true AS no_worse_than_mean FROM counts")
+register("select_top_features", cleaned_ctes() + split_ctes() + _TRVA + vocab_ctes() + """,
+r AS (SELECT idx, term, row_number() OVER (ORDER BY df DESC, term) AS k FROM vocab),
+""" + _feature_tail() + """
+SELECT idx, 'tfidf_' || term AS name, CAST(CASE k WHEN 60 THEN 1 ELSE 2 END AS INTEGER) AS importance_rank, CAST(0 AS BIGINT) AS n_different FROM r WHERE k IN (60, 90)
+UNION ALL SELECT CAST(pos + (SELECT count(*) FROM vocab) + (SELECT count(DISTINCT coalesce(cat_main, 'unknown')) FROM tr) AS INTEGER), name, 3, 0 FROM tail WHERE name = 'shipping'""")
 register("model_metadata", _COUNTS + "SELECT 'ridge' AS model_type, *, true AS same_error FROM counts")
 register("score_listings", cleaned_ctes() + split_ctes() + _TRVA + " SELECT train_id, true AS band_ordered, true AS floored, true AS priced FROM va")
 register("score_stream", cleaned_ctes() + split_ctes() + _TRVA + " SELECT train_id, true AS stream_equals_batch FROM va")
@@ -618,11 +623,20 @@ SELECT 'all' AS view, true AS passes, count(*) AS n_rows FROM cleaned
 UNION ALL SELECT 'no_price', count(*) > 0, count(*) FROM listings
 UNION ALL SELECT 'no_name', false, 0""")
 register("i18n_labels", cleaned_ctes(features=False) + ",\n" + _labels_values() + """,
-n AS (SELECT item_condition_id, count(*) AS n_listings FROM cleaned GROUP BY 1)
-SELECT g.lang, n.item_condition_id, coalesce(nullif(l1.label, ''), nullif(l2.label, ''), CAST(n.item_condition_id AS VARCHAR)) AS condition_label, n_listings
+n AS (SELECT cat_main, cat_sub1, item_condition_id, count(*) AS n_listings FROM cleaned GROUP BY ALL)
+SELECT g.lang, n.cat_main, n.cat_sub1, n.item_condition_id, coalesce(nullif(l3.label, ''), n.cat_main) AS cat_main_label, coalesce(nullif(l4.label, ''), n.cat_sub1) AS cat_sub1_label,
+  coalesce(nullif(l1.label, ''), nullif(l2.label, ''), CAST(n.item_condition_id AS VARCHAR)) AS condition_label, n_listings
 FROM n CROSS JOIN (SELECT unnest(['fr', 'en', 'es']) AS lang) g
 LEFT JOIN lbl l1 ON l1.lang = g.lang AND l1.section = 'conditions' AND l1.key = CAST(n.item_condition_id AS VARCHAR)
-LEFT JOIN lbl l2 ON l2.lang = 'en' AND l2.section = 'conditions' AND l2.key = CAST(n.item_condition_id AS VARCHAR)""")
+LEFT JOIN lbl l2 ON l2.lang = 'en' AND l2.section = 'conditions' AND l2.key = CAST(n.item_condition_id AS VARCHAR)
+LEFT JOIN lbl l3 ON l3.lang = g.lang AND l3.lang <> 'en' AND l3.section = 'categories' AND l3.key = n.cat_main
+LEFT JOIN lbl l4 ON l4.lang = g.lang AND l4.lang <> 'en' AND l4.section = 'sub_categories' AND l4.key = n.cat_sub1""")
+register("label_sections", cleaned_ctes(features=False) + ",\n" + _labels_values() + """,
+u AS (SELECT 'categories' AS section, cat_main AS key FROM cleaned UNION ALL SELECT 'sub_categories', cat_sub1 FROM cleaned
+      UNION ALL SELECT 'conditions', CAST(item_condition_id AS VARCHAR) FROM cleaned),
+c AS (SELECT section, key, count(*) AS n FROM u GROUP BY ALL)
+SELECT lang, l.section, count(*) AS n_labels, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_listings
+FROM lbl l LEFT JOIN c ON c.section = l.section AND c.key = l.key GROUP BY ALL""")
 
 register("assembled_features", cleaned_ctes() + split_ctes() + _TRVA + _te("brand_name") + _te("cat_sub1") + _te("cat_sub2") + f""",
 kw AS (SELECT train_id, {_kw_cols('item_description')}, {word_count_sql('name')} AS nl, {word_count_sql('item_description')} AS dl FROM va),

@@ -397,16 +397,9 @@ def feature_names(spark, sf_dir):
             .unionByName(fixed.select((F.col("pos") + F.lit(v + k)).cast("int").alias("idx"), "name")))
 
 
-#: The boosted models of the registered queries are smaller than the defaults
-#: (1000 trees of depth 8 on all features), which do not finish here in hours:
-#: Spark bins all 10,000 sparse columns densely for every tree level.
-QUICK_GBT = dict(n_estimators=30, max_depth=5, early_stopping_rounds=10)
-
-
 def _train(spark, sf_dir, model_type, cv=0, save_dir=None):
-    from ..operators.models import GBTConfig
-    cfg = J.TrainConfig(model_type=model_type, gbt=GBTConfig(**QUICK_GBT), feature_selection=True, top_n_features=300, cv=cv, save_dir=save_dir)
-    return J.train_pipeline(spark, SRC.listings(spark, sf_dir), cfg)
+    """The training job with its default settings (but without cross-validation)."""
+    return J.train_pipeline(spark, SRC.listings(spark, sf_dir), J.TrainConfig(model_type=model_type, cv=cv, save_dir=save_dir))
 
 
 def _counts(r) -> list:
@@ -430,10 +423,11 @@ def train_ridge(spark, sf_dir):
 
 
 def _trees(spark, r, weights):
+    from .. import constants as K
     p = r.model.predict(r.val)
     off = p.select(F.max(F.abs(F.col("prediction") - (weights[0] * F.col("_p_ridge") + weights[1] * F.col("_p_gbt")))).alias("d")).first()["d"]
     spread = r.val.agg(F.stddev_pop("label")).first()[0]
-    return spark.createDataFrame([(*_counts(r), 1 <= r.metrics["n_trees"] <= QUICK_GBT["n_estimators"] and r.model.gbt.getNumTrees == r.metrics["n_trees"],
+    return spark.createDataFrame([(*_counts(r), 1 <= r.metrics["n_trees"] <= K.GBT_PARAMS["n_estimators"] and r.model.gbt.getNumTrees == r.metrics["n_trees"],
                                    bool(off < 1e-9), bool(MD.rmsle(p, pred="_p_gbt") <= 1.05 * spread))],
                                  _COUNTS + ", trees_kept boolean, blend_exact boolean, no_worse_than_mean boolean")
 
@@ -461,15 +455,33 @@ def cross_validate(spark, sf_dir):
     return s.select(F.round("rmsle_mean", 6).alias("rmsle_mean"), F.round("rmsle_std", 6).alias("rmsle_std"), F.size("scores").cast("long").alias("n_folds"))
 
 
+#: Effects planted on the terms with these ranks by document frequency, and on the shipping column.
+PLANTED, PLANTED_SHIPPING = {60: 6.0, 90: 4.0}, 2.0
+
+
 @query("select_top_features")
 def select_top_features(spark, sf_dir):
-    r = _train(spark, sf_dir, "gbt")
-    names = r.preprocessor.feature_names()
-    imp = r.model.gbt.featureImportances.toArray()
-    sel = r.model.selected
-    top = MD.top_features_by_importance(imp, 50)
-    rows = [(int(sel[i]), names[sel[i]], float(imp[i])) for i in top]
-    return spark.createDataFrame(rows, "idx int, name string, importance double")
+    """The top features by importance among all columns, on a target with known
+    causes: log price plus an effect of two terms (by their rank in document
+    frequency) and of shipping. Returned with their rank by importance, and the number of training
+    listings in which the selected vector holds a value other than the whole one."""
+    from ..operators.features import ListingPreprocessor
+    from ..session import drop_table, materialize
+    train, _ = split_frames(spark, sf_dir, *SRC.RAW_COLUMNS)
+    pre = ListingPreprocessor().fit(train)
+    by_df = sorted(range(len(pre.vocab_terms)), key=lambda i: (pre.idf[i], pre.vocab_terms[i]))
+    causes = {by_df[rank - 1]: effect for rank, effect in PLANTED.items()}
+    x = pre.transform(train, keep=["label", "shipping"])
+    found = F.unwrap_udt("features")["indices"]
+    effect = sum((F.when(F.array_contains(found, i), e).otherwise(0.0) for i, e in causes.items()), F.col("shipping") * PLANTED_SHIPPING)
+    x = materialize(x.withColumn("label", F.col("label") + effect), "planted")
+    importances, names = MD.ranked_importances(x, MD.GBTConfig(n_estimators=5)), pre.feature_names()
+    top = MD.top_features_by_importance(importances, len(PLANTED) + 1)
+    ranks = {i: k for k, i in enumerate(sorted(top, key=lambda i: (-importances[i], i)), 1)}
+    both = MD.select_features(x, top).select(vector_to_array("features_sel").alias("s"), vector_to_array("features").alias("v"))
+    off = both.filter(F.col("s") != F.array(*[F.get("v", i) for i in top])).count()
+    drop_table(x)
+    return spark.createDataFrame([(i, names[i], ranks[i], off) for i in top], "idx int, name string, importance_rank int, n_different long")
 
 
 def _checked_scores(scores: DataFrame) -> DataFrame:
@@ -638,13 +650,26 @@ def required_columns(spark, sf_dir):
 
 @query("i18n_labels")
 def i18n_labels(spark, sf_dir):
-    """Labels of the segments that the listings' categories start with, counted by language."""
-    d = cleaned(spark, sf_dir, "category_name", "item_condition_id", **NARROW).groupBy("item_condition_id").agg(F.count(F.lit(1)).alias("n_listings"))
-    parts = [I18N.localize_labels(d.select(F.lit("x").alias("cat_main"), F.lit("y").alias("cat_sub1"), "item_condition_id", "n_listings"), lang, I18N.labels(spark))
-             .select(F.lit(lang).alias("lang"), "item_condition_id", "condition_label", "n_listings") for lang in ("fr", "en", "es")]
+    """Listings by category and condition with their labels in every language."""
+    d = cleaned(spark, sf_dir, "category_name", "item_condition_id", **NARROW).groupBy("cat_main", "cat_sub1", "item_condition_id").agg(F.count(F.lit(1)).alias("n_listings"))
+    parts = [I18N.localize_labels(d, lang, I18N.labels(spark)).select(F.lit(lang).alias("lang"), "cat_main", "cat_sub1", "item_condition_id", "cat_main_label", "cat_sub1_label", "condition_label", "n_listings")
+             for lang in ("fr", "en", "es")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("label_sections")
+def label_sections(spark, sf_dir):
+    """Labels of the dictionary that the listings use, by language and section:
+    entries, and the listings that each section has a label for."""
+    lbl = I18N.labels(spark)
+    d = cleaned(spark, sf_dir, "category_name", "item_condition_id", **NARROW)
+    used = d.select(F.explode(F.array(*[F.struct(F.lit(s).alias("section"), F.col(c).cast("string").alias("key"))
+                                        for s, c in (("categories", "cat_main"), ("sub_categories", "cat_sub1"), ("conditions", "item_condition_id"))])).alias("u")).select("u.*")
+    counts = used.groupBy("section", "key").agg(F.count(F.lit(1)).alias("n"))
+    return (lbl.join(counts, ["section", "key"], "left").groupBy("lang", "section")
+            .agg(F.count(F.lit(1)).alias("n_labels"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_listings")))
+
+
 @query("preprocessor_round_trip")
 def preprocessor_round_trip(spark, sf_dir):
     """Validation listings whose feature vector is the same after the fitted
