@@ -14,7 +14,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -28,27 +28,42 @@ from ..sources import listings as SRC
 
 # ------------------------------------------------------------------ ETL ----
 
+ETL_STEPS = ("load", "clean", "save")
+
+
 def etl_pipeline(spark: SparkSession, raw: DataFrame, out_dir: str | None = None,
                  min_price: float = K.DEFAULT_MIN_PRICE, max_price: float = K.DEFAULT_MAX_PRICE,
-                 snapshot: str | None = None, counted: DataFrame | None = None) -> DataFrame:
-    """Load -> profile -> clean -> stats -> save. Returns the summary row
-    (initial rows, final rows, final columns). ``counted``: the raw rows with
-    fewer columns, if the caller can count them without a join. When ``out_dir`` is given the
-    cleaned table is written twice: an immutable snapshot and the latest."""
+                 snapshot: str | None = None, counted: DataFrame | None = None, steps: tuple[str, ...] | None = None) -> DataFrame:
+    """The ``steps`` (by default load, clean and, with ``out_dir``, save). Returns the
+    summary row: initial rows and columns, then final rows and columns, which are
+    null without the cleaning step. ``counted``: the raw rows with fewer columns, if
+    the caller can count them without a join.
+
+    Saving writes the cleaned table twice, an immutable snapshot and the latest, and
+    counts the raw and the cleaned rows while the snapshot is written (``observe``),
+    so that nothing is scanned for the counts alone."""
+    steps = (ETL_STEPS if out_dir else ETL_STEPS[:2]) if steps is None else tuple(steps)
+    if not steps or steps != ETL_STEPS[: len(steps)]:
+        raise ValueError(f"steps must be the first ones of {ETL_STEPS}: {steps}")
+    if ("save" in steps) != bool(out_dir):
+        raise ValueError("saving needs an out_dir, and an out_dir the step 'save'")
+    rows = F.count(F.lit(1))
+    schema = "n_rows_initial long, n_rows_final long, n_cols_initial long, n_cols_final long"
+    if "save" in steps:
+        before, after = Observation("rows read"), Observation("rows cleaned")
+        cleaned = CL.clean_listings(raw.observe(before, rows.alias("n")), min_price, max_price, brands=raw.select("price", "brand_name"))
+        path = os.path.join(out_dir, f"snapshot={snapshot or M.new_version()}")
+        cleaned.observe(after, rows.alias("n")).write.mode("errorifexists").parquet(path)
+        spark.read.parquet(path).write.mode("overwrite").parquet(os.path.join(out_dir, "latest"))
+        return spark.createDataFrame([(before.get["n"], after.get["n"], len(raw.columns), len(cleaned.columns))], schema)
+    initial = (raw.select(raw.columns[0]) if counted is None else counted).agg(rows.alias("n_rows_initial"))
+    if "clean" not in steps:
+        return initial.select("n_rows_initial", F.lit(None).cast("long").alias("n_rows_final"), F.lit(len(raw.columns)).cast("long").alias("n_cols_initial"), F.lit(None).cast("long").alias("n_cols_final"))
     cleaned = CL.clean_listings(raw, min_price, max_price)
-    if out_dir:
-        snap = snapshot or M.new_version()
-        cleaned.write.mode("errorifexists").parquet(os.path.join(out_dir, f"snapshot={snap}"))
-        spark.read.parquet(os.path.join(out_dir, f"snapshot={snap}")) \
-            .write.mode("overwrite").parquet(os.path.join(out_dir, "latest"))
-        cleaned = spark.read.parquet(os.path.join(out_dir, "latest"))  # counted as written
-    n_cols = len(cleaned.columns)
-    before = (raw.select(raw.columns[0]) if counted is None else counted).agg(F.count(F.lit(1)).cast("long").alias("n_rows_initial"))
-    after = cleaned.agg(F.count(F.lit(1)).cast("long").alias("n_rows_final"))
-    return (before.unionByName(after, allowMissingColumns=True)
-                  .agg(F.max("n_rows_initial").alias("n_rows_initial"), F.max("n_rows_final").alias("n_rows_final"))
-                  .withColumn("n_cols_initial", F.lit(len(raw.columns)).cast("long"))
-                  .withColumn("n_cols_final", F.lit(n_cols).cast("long")))
+    both = initial.unionByName(cleaned.agg(rows.alias("n_rows_final")), allowMissingColumns=True)
+    return (both.agg(F.max("n_rows_initial").alias("n_rows_initial"), F.max("n_rows_final").alias("n_rows_final"))
+                .withColumn("n_cols_initial", F.lit(len(raw.columns)).cast("long"))
+                .withColumn("n_cols_final", F.lit(len(cleaned.columns)).cast("long")))
 
 
 # ------------------------------------------------------------- training ----
@@ -76,6 +91,7 @@ class TrainResult:
     train: DataFrame
     val: DataFrame
     val_listings: DataFrame
+    train_listings: DataFrame
 
 
 def prepare(raw: DataFrame, cfg: TrainConfig):
@@ -144,7 +160,7 @@ def train_pipeline(spark: SparkSession, raw: DataFrame, cfg: TrainConfig | None
         M.run_metadata(spark, version, cfg.model_type, metrics, cfg.__dict__) \
             .write.mode("append").json(os.path.join(cfg.save_dir, "metadata"))
         metrics["version"] = version
-    return TrainResult(pre, model, metrics, xtr, xva, val)
+    return TrainResult(pre, model, metrics, xtr, xva, val, train)
 
 
 def metrics_frame(spark: SparkSession, metrics: dict) -> DataFrame:

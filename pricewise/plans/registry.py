@@ -379,6 +379,18 @@ def etl_pipeline(spark, sf_dir):
     return J.etl_pipeline(spark, SRC.listings(spark, sf_dir), counted=view(spark, sf_dir))
 
 
+@query("etl_steps")
+def etl_steps(spark, sf_dir):
+    """The summaries of the ETL job after its first one, two and three steps; the
+    last counts its rows while it writes."""
+    import os
+    import uuid
+    from .. import session as S
+    raw, out = SRC.listings(spark, sf_dir), os.path.join(S.checkpoint_dir(spark), "steps-" + uuid.uuid4().hex[:8])
+    parts = [J.etl_pipeline(spark, raw, out if n == 3 else None, counted=view(spark, sf_dir), steps=J.ETL_STEPS[:n]).withColumn("n_steps", F.lit(n)) for n in (1, 2, 3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("feature_names")
 def feature_names(spark, sf_dir):
     """(idx, name) of the assembled feature vector, built from the fitted
@@ -484,18 +496,26 @@ def select_top_features(spark, sf_dir):
     return spark.createDataFrame([(i, names[i], ranks[i], off) for i in top], "idx int, name string, importance_rank int, n_different long")
 
 
-def _checked_scores(scores: DataFrame) -> DataFrame:
-    """Per listing: whether its band is ordered around the price, and floored."""
-    return scores.select("train_id", ((F.col("price_low") <= F.col("predicted_price")) & (F.col("predicted_price") <= F.greatest("price_high", F.lit(1.0)))).alias("band_ordered"),
-                         ((F.col("predicted_price") >= 1) & (F.col("price_low") >= 1)).alias("floored"),
-                         (F.abs(F.col("predicted_price") - F.greatest(F.lit(1.0), F.expm1("prediction") * 1.3)) < 1e-9).alias("priced"))
+def _band_checks() -> list:
+    """Whether a band is ordered around the price, and floored; null without one."""
+    return [((F.col("price_low") <= F.col("predicted_price")) & (F.col("predicted_price") <= F.greatest("price_high", F.lit(1.0)))).alias("band_ordered"),
+            ((F.col("predicted_price") >= 1) & (F.col("price_low") >= 1)).alias("floored"),
+            (F.abs(F.col("predicted_price") - F.greatest(F.lit(1.0), F.expm1("prediction") * 1.3)) < 1e-9).alias("priced")]
 
 
 @query("score_listings")
 def score_listings(spark, sf_dir):
-    from ..streaming.score_stream import scored
+    """All cleaned listings as scoring requests, some of them made faulty (no title,
+    condition 0, shipping 2): every request has a result, faulty ones their errors,
+    the others a price band that is checked."""
+    from ..streaming.score_stream import scored_results
     r = _train(spark, sf_dir, "ridge")
-    return _checked_scores(scored(r.preprocessor, r.model, r.val_listings))
+    every = r.train_listings.unionByName(r.val_listings)
+    faulty = (every.withColumn("name", F.when(F.col("train_id") % 97 == 0, F.lit("  ")).otherwise(F.col("name")))
+              .withColumn("item_condition_id", F.when(F.col("train_id") % 89 == 0, F.lit(0)).otherwise(F.col("item_condition_id")))
+              .withColumn("shipping", F.when(F.col("train_id") % 83 == 0, F.lit(2)).otherwise(F.col("shipping"))))
+    results = scored_results(r.preprocessor, r.model, faulty)
+    return results.select("train_id", "success", "error", *_band_checks())
 
 
 @query("score_stream")

@@ -65,10 +65,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    chosen = spark.sparkContext.getCheckpointDir()
+    if chosen:
+        return chosen
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="pricewise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
 

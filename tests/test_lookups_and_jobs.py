@@ -110,8 +110,11 @@ def test_gbt_folds_fit_gbt(spark, sf_dir):
     blend = J.train_pipeline(spark, raw, J.TrainConfig(model_type="ensemble", **base))
     assert gbt.model.selected is None and gbt.metrics["cv_scores"] != blend.metrics["cv_scores"]
     folds = SP.kfold_assign(gbt.train, 2)
-    model, _ = M.train_gbt(folds.filter("fold <> 0"), None, base["gbt"])
-    assert abs(M.rmsle(model.setFeaturesCol("features").transform(folds.filter("fold = 0"))) - gbt.metrics["cv_scores"][0]) < 1e-9
+    rest = folds.filter("fold <> 0")
+    bundles = M.fit_bundles(rest)
+    model, _ = M.train_gbt(bundles.transform(rest), None, base["gbt"], "bundled")
+    assert bundles.size <= len(bundles.place) == gbt.metrics["n_features"]
+    assert abs(M.rmsle(model.transform(bundles.transform(folds.filter("fold = 0")))) - gbt.metrics["cv_scores"][0]) < 1e-9
 
 
 def test_first_trees_equal_a_short_fit(spark):
