@@ -51,7 +51,7 @@ from pricewise.llm.common import mix, read, release, small_batches, written
 FOLDER = "/opt/tokenizers"
 MODEL_A, MODEL_B = f"{FOLDER}/byte_bpe_50k.json", f"{FOLDER}/piece_bpe_32k.model"
 #: Characters of cached stretches in a task, and of one call to a tokenizer.
-CACHE_CHARS, CALL_CHARS = 6_000_000, 200_000
+CACHE_CHARS, CALL_CHARS = 3_000_000, 200_000
 #: Pairs of one hash, of one of its shards, and of one block of a dense vector.
 RANGE, SHARD, BLOCK = 4_000_000, 1 << 17, 1 << 15
 #: Pairs a task holds before it sends their counts.
