@@ -9,9 +9,10 @@ the previous one); each names a bucket with one weight per class. The second
 factor is its unigram part, (c + 1) / (N_class + V_class + 1), where the last 1
 stands for all unseen words of the class.
 
-Training: one pass counts words and observed (bucket, class) pairs; then each
-further pass sums the expected counts and the log likelihood over all training
-texts, and the driver moves every weight by (observed - expected) / the greater
+Training: one pass counts words, a second writes the texts as combined histories
+(buckets) with the counts of the classes after them. The observed (bucket, class)
+counts come from that table; then each further pass over it sums the expected
+counts and the log likelihood, and the driver moves every weight by (observed - expected) / the greater
 of them, shared between the features (every history has exactly three). Weights
 have a Gaussian prior (``PRIOR``). Moves grow while the penalised likelihood
 rises; one that lowers it is taken back and made smaller. Training ends when a
@@ -38,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricewise.llm.common import LOWER_BYTES, WordHasher, byte_texts, mix, read, small_batches, written
+from pricewise.llm.common import LOWER_BYTES, WordHasher, byte_texts, mix, read, release, small_batches, written
 
 FOLDS, HELD_OUT = 7, 2
 CLASSES, BUCKETS, FEATURES = 32, 1 << 14, 3
@@ -51,11 +52,14 @@ SETTLED, PRIOR = 0.001, 3.0
 SMOOTHING, STEP = 30.0, 2.0
 #: Tokens of one numpy batch, and rows of counts that a task holds.
 BATCH, HELD_COUNTS = 40_000, 1_000_000
+#: Tokens whose equal histories a task combines, and histories in a row of their table.
+COMBINED, ROW = 2_000_000, 1 << 14
 
 _END = np.uint64(0x2545F4914F6CDD1D)
 _BEGIN = np.uint64(0x9E6C63D0876A9A47)
 _SALTS = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 _LOWER = np.frombuffer(LOWER_BYTES, np.uint8)
+_PACKED = ["bigram", "trigram", "skip", "classes_each", "classes", "counts"]
 
 
 @dataclass
@@ -207,48 +211,98 @@ class MaxEnt:
         return z
 
 
-def _summed(training: DataFrame, model: MaxEnt, expected: bool) -> tuple[np.ndarray, float]:
-    """Observed or expected (feature, bucket, class) counts over all training texts,
-    and with the expected ones the log likelihood of the classes."""
-    shared = training.sparkSession.sparkContext.broadcast(model)
+def histories(training: DataFrame, classes: np.ndarray) -> DataFrame:
+    """The training tokens as a written table that every update reads: each row holds
+    some distinct histories (one bucket a feature, ascending) and the classes seen
+    after them with their counts. A task combines ``COMBINED`` tokens at a time;
+    equal histories of other tasks are further rows, which changes no sum."""
+    shared = training.sparkSession.sparkContext.broadcast(classes)
+    bits = (BUCKETS - 1).bit_length()
+    shifts = [5 + bits * (FEATURES - 1 - j) for j in range(FEATURES)]
+
+    def run(batches):
+        classes, hasher = shared.value, WordHasher(fold=True)
+        held: list[np.ndarray] = []
+
+        def rows():
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] >> 5 != keys[:-1] >> 5]))
+            ends = np.append(first[1:], len(keys))
+            for i in range(0, len(first), ROW):
+                f, e = first[i : i + ROW], ends[i : i + ROW]
+                part = keys[f[0] : e[-1]]
+                packed = [*((keys[f] >> s & BUCKETS - 1).astype(np.uint16) for s in shifts), (e - f).astype(np.uint8), (part & 31).astype(np.uint8), n[f[0] : e[-1]].astype(np.uint32)]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], names=_PACKED)
+
+        for b in batches:
+            texts = byte_texts(b.column("t"))
+            for g in _groups(texts):
+                x = tokens(hasher, texts[g])
+                key = classes[x.endings].astype(np.int64)
+                for j, s in enumerate(shifts):
+                    key |= x.buckets(j).astype(np.int64) << s
+                held.append(key)
+                if sum(map(len, held)) >= COMBINED:
+                    yield from rows()
+                    held.clear()
+        if held:
+            yield from rows()
+
+    return written(training.select(F.col("text").alias("t")).mapInArrow(run, ", ".join(f"{c} binary" for c in _PACKED)), "lm-histories")
+
+
+def _unpacked(batch: pa.RecordBatch):
+    """For each row: buckets by feature, the history of each (history, class) entry, its class and its count."""
+    for *buckets, classes_each, k, n in zip(*(batch.column(c).to_pylist() for c in _PACKED), strict=True):
+        each = np.frombuffer(classes_each, np.uint8)
+        yield [np.frombuffer(x, np.uint16).astype(np.int32) for x in buckets], np.repeat(np.arange(len(each)), each), np.frombuffer(k, np.uint8), np.frombuffer(n, np.uint32).astype(float)
+
+
+def _summed(packed: DataFrame, model: MaxEnt, expected: bool) -> tuple[np.ndarray, float]:
+    """Observed or expected (feature, bucket, class) counts over all training tokens,
+    and with the expected ones the log likelihood of the classes. One softmax serves
+    all tokens of a row that share a history."""
+    spark = packed.sparkSession
+    shared = spark.sparkContext.broadcast(model)
     rows_per_block = 512
     blocks = FEATURES * BUCKETS // rows_per_block
 
     def run(batches):
-        model, hasher = shared.value, WordHasher(fold=True)
+        model = shared.value
         out, expect = np.zeros((FEATURES, BUCKETS, CLASSES)), np.zeros((FEATURES, CLASSES, BUCKETS))
         seen, likelihood = False, 0.0
         for b in batches:
-            texts = byte_texts(b.column("t"))
-            for g in _groups(texts):
-                x = tokens(hasher, texts[g])
+            for buckets, at, k, n in _unpacked(b):
                 seen = True
-                buckets = [x.buckets(j) for j in range(FEATURES)]
-                k = model.classes[x.endings].astype(np.int64)
                 if not expected:
                     for j, bk in enumerate(buckets):
-                        out[j] += np.bincount(bk * CLASSES + k, minlength=BUCKETS * CLASSES).reshape(BUCKETS, CLASSES)
+                        out[j] += np.bincount(bk[at] * CLASSES + k, n, BUCKETS * CLASSES).reshape(BUCKETS, CLASSES)
                     continue
                 p = model.probabilities(buckets)
-                likelihood += float(np.log(np.maximum(p[np.arange(len(k)), k], 1e-37)).sum(dtype=float))
+                likelihood += float(np.log(np.maximum(p[at, k], 1e-37)).astype(float) @ n)
+                p *= np.bincount(at, n, len(p)).astype(np.float32)[:, None]
+                # The first feature's buckets ascend, so its sums are those of runs.
+                start = np.flatnonzero(np.concatenate([[True], buckets[0][1:] != buckets[0][:-1]]))
+                out[0, buckets[0][start]] += np.add.reduceat(p, start, axis=0)
                 by_class = np.ascontiguousarray(p.T, dtype=float)
-                for j, bk in enumerate(buckets):
+                for j in range(1, FEATURES):
                     for c in range(CLASSES):
-                        expect[j, c] += np.bincount(bk, by_class[c], BUCKETS)
+                        expect[j, c] += np.bincount(buckets[j], by_class[c], BUCKETS)
         if seen:
             flat = (out + expect.transpose(0, 2, 1)).reshape(blocks, -1).astype(np.float32)
-            some = [*(x.tobytes() for x in flat), np.array([likelihood], np.float32).tobytes()]  # the last block is the likelihood
+            some = [*(x.tobytes() for x in flat), np.array([likelihood]).tobytes()]  # the last block is the likelihood
             yield pa.RecordBatch.from_arrays([pa.array(range(blocks + 1), pa.int32()), pa.array(some, pa.binary())], names=["block", "v"])
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, v in zip(b.column("block").to_pylist(), b.column("v").to_pylist(), strict=True):
-                v = np.frombuffer(v, np.float32)
+                v = np.frombuffer(v, np.float32 if k < blocks else np.float64)
                 total[k] = total[k] + v if k in total else v.astype(float)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "v"])
 
-    sent = training.select(F.col("text").alias("t")).mapInArrow(run, "block int, v binary")
+    small_batches(spark, 16)  # a row holds up to ROW histories
+    sent = packed.mapInArrow(run, "block int, v binary")
     out, likelihood = np.zeros((blocks, rows_per_block * CLASSES)), 0.0
     for r in sent.repartition(min(blocks, 24), "block").mapInArrow(add, "block int, v binary").collect():  # the model's size
         v = np.frombuffer(r["v"])
@@ -256,6 +310,8 @@ def _summed(training: DataFrame, model: MaxEnt, expected: bool) -> tuple[np.ndar
             out[r["block"]] = v
         else:
             likelihood = float(v[0])
+    shared.destroy()
+    release(spark)
     return out.reshape(FEATURES, BUCKETS, CLASSES), likelihood
 
 
@@ -268,14 +324,16 @@ def train(training: DataFrame, endings: list[tuple[int, int, int]], log: Callabl
     model = MaxEnt(classes, np.log(share).astype(np.float32), np.zeros((FEATURES, BUCKETS, CLASSES), np.float32))
     if not mass.sum():
         return model
-    observed, _ = _summed(training, model, False)
+    spark = training.sparkSession
+    packed = histories(training, classes)
+    observed, _ = _summed(packed, model, False)
     smooth = SMOOTHING * share
     expected = observed.sum(axis=2, keepdims=True) * share  # of the model without weights
     move = np.clip(np.log((observed + smooth) / (expected + smooth)), -STEP, STEP) / (FEATURES / 1.5)
     best, rate, kept = None, 1.0, model.weights
     while True:
         model.weights = kept + (rate * move).astype(np.float32)
-        expected, now = _summed(training, model, True)
+        expected, now = _summed(packed, model, True)
         now -= PRIOR / 2 * float(np.square(model.weights, dtype=float).sum())
         gain = float("inf") if best is None else (now - best) / mass.sum()
         log(f"log likelihood a token {now / mass.sum():.5f}, rate {rate}")
@@ -286,6 +344,7 @@ def train(training: DataFrame, endings: list[tuple[int, int, int]], log: Callabl
             rate /= 3
         if 0 <= gain < SETTLED or rate < 0.01:
             model.weights = kept
+            release(spark, packed)
             return model
 
 
@@ -312,6 +371,7 @@ def scores(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text") -
     endings = [tuple(r) for r in counts.groupBy("ending").agg(F.sum("c"), F.count(F.lit(1))).collect()]  # at most 65,536
     n, v = sum(x[1] for x in endings), sum(x[2] for x in endings)
     model = train(training, endings)
+    small_batches(spark)
     size = np.zeros(CLASSES)
     for code, a, b in endings:
         size[model.classes[code]] += a + b

@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline
 from pricewise.llm import registry
 
-TABLES = ("documents", "pages", "benchmark", "labels")
+TABLES = ("documents", "pages", "benchmark", "labels", "embeddings")
 SF = "/root/testdata/sf0.001"
 
 
