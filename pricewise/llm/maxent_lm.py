@@ -14,8 +14,8 @@ Training: one pass counts words, a second writes the texts as combined histories
 counts come from that table; then each further pass over it sums the expected
 counts and the log likelihood, and the driver moves every weight by (observed - expected) / the greater
 of them, shared between the features (every history has exactly three). Weights
-have a Gaussian prior (``PRIOR``). Moves grow while the penalised likelihood
-rises; one that lowers it is taken back and made smaller. Training ends when a
+have a Gaussian prior (``PRIOR``). Every move carries on a part of the last one; one that
+lowers the penalised likelihood is taken back and made smaller. Training ends when a
 pass raises it by less than ``SETTLED`` a token. Tasks send fixed-size blocks
 that are added up on the executors, so the driver sees one array of the
 model's size, whatever the number of tasks.
@@ -50,10 +50,14 @@ TOP = 200_000
 SETTLED, PRIOR = 0.001, 3.0
 #: Pseudo-counts of a bucket, and the largest move of a weight in one update.
 SMOOTHING, STEP = 30.0, 2.0
+#: Length of an update, and the part of the last one that it carries on.
+RATE, MOMENTUM = 2.5, 0.4
 #: Tokens of one numpy batch, and rows of counts that a task holds.
 BATCH, HELD_COUNTS = 40_000, 1_000_000
 #: Tokens whose equal histories a task combines, and histories in a row of their table.
-COMBINED, ROW = 2_000_000, 1 << 14
+COMBINED, ROW = 4_000_000, 1 << 15
+#: Histories whose class probabilities are computed at a time.
+SLICE = 2048
 
 _END = np.uint64(0x2545F4914F6CDD1D)
 _BEGIN = np.uint64(0x9E6C63D0876A9A47)
@@ -199,16 +203,20 @@ class MaxEnt:
     weights: np.ndarray
 
     def probabilities(self, buckets: list[np.ndarray]) -> np.ndarray:
-        """P(class | history) of each token. Only large weights need a shift of the exponents."""
-        z = self.weights[0].take(buckets[0], axis=0)
-        for j in range(1, FEATURES):
-            z += self.weights[j].take(buckets[j], axis=0)
-        z += self.prior
-        if z.size and z.max() > 80:
-            z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        return z
+        """P(class | history) of each token, in slices that stay in the processor's
+        cache. Only large weights need a shift of the exponents."""
+        out, one = np.empty((len(buckets[0]), CLASSES), np.float32), np.ones(CLASSES, np.float32)
+        for i in range(0, len(out), SLICE):
+            z = out[i : i + SLICE]
+            self.weights[0].take(buckets[0][i : i + SLICE], axis=0, out=z, mode="clip")
+            for j in range(1, FEATURES):
+                z += self.weights[j].take(buckets[j][i : i + SLICE], axis=0)
+            z += self.prior
+            if z.max() > 80:
+                z -= z.max(axis=1, keepdims=True)
+            np.exp(z, out=z)
+            z /= (z @ one)[:, None]
+        return out
 
 
 def histories(training: DataFrame, classes: np.ndarray) -> DataFrame:
@@ -222,7 +230,7 @@ def histories(training: DataFrame, classes: np.ndarray) -> DataFrame:
 
     def run(batches):
         classes, hasher = shared.value, WordHasher(fold=True)
-        held: list[np.ndarray] = []
+        held, size = [], 0
 
         def rows():
             keys, n = np.unique(np.concatenate(held), return_counts=True)
@@ -242,9 +250,10 @@ def histories(training: DataFrame, classes: np.ndarray) -> DataFrame:
                 for j, s in enumerate(shifts):
                     key |= x.buckets(j).astype(np.int64) << s
                 held.append(key)
-                if sum(map(len, held)) >= COMBINED:
+                size += len(key)
+                if size >= COMBINED:
                     yield from rows()
-                    held.clear()
+                    held, size = [], 0
         if held:
             yield from rows()
 
@@ -280,14 +289,16 @@ def _summed(packed: DataFrame, model: MaxEnt, expected: bool) -> tuple[np.ndarra
                     continue
                 p = model.probabilities(buckets)
                 likelihood += float(np.log(np.maximum(p[at, k], 1e-37)).astype(float) @ n)
-                p *= np.bincount(at, n, len(p)).astype(np.float32)[:, None]
-                # The first feature's buckets ascend, so its sums are those of runs.
-                start = np.flatnonzero(np.concatenate([[True], buckets[0][1:] != buckets[0][:-1]]))
-                out[0, buckets[0][start]] += np.add.reduceat(p, start, axis=0)
-                by_class = np.ascontiguousarray(p.T, dtype=float)
-                for j in range(1, FEATURES):
+                times = np.bincount(at, n, len(p)).astype(np.float32)
+                by_class = np.empty((CLASSES, len(p)))
+                for i in range(0, len(p), SLICE):
+                    by_class[:, i : i + SLICE] = (p[i : i + SLICE] * times[i : i + SLICE, None]).T
+                # The first feature's buckets ascend, so a row touches only a short range of them.
+                for j, bk in enumerate(buckets):
+                    low, end = (int(bk[0]), int(bk[-1]) + 1) if j == 0 else (0, BUCKETS)
+                    shifted = bk - low
                     for c in range(CLASSES):
-                        expect[j, c] += np.bincount(buckets[j], by_class[c], BUCKETS)
+                        expect[j, c, low:end] += np.bincount(shifted, by_class[c], end - low)
         if seen:
             flat = (out + expect.transpose(0, 2, 1)).reshape(blocks, -1).astype(np.float32)
             some = [*(x.tobytes() for x in flat), np.array([likelihood]).tobytes()]  # the last block is the likelihood
@@ -330,22 +341,23 @@ def train(training: DataFrame, endings: list[tuple[int, int, int]], log: Callabl
     smooth = SMOOTHING * share
     expected = observed.sum(axis=2, keepdims=True) * share  # of the model without weights
     move = np.clip(np.log((observed + smooth) / (expected + smooth)), -STEP, STEP) / (FEATURES / 1.5)
-    best, rate, kept = None, 1.0, model.weights
+    best, kept, rate = None, model.weights, RATE
     while True:
-        model.weights = kept + (rate * move).astype(np.float32)
+        model.weights = (kept + move).astype(np.float32)
         expected, now = _summed(packed, model, True)
         now -= PRIOR / 2 * float(np.square(model.weights, dtype=float).sum())
         gain = float("inf") if best is None else (now - best) / mass.sum()
         log(f"log likelihood a token {now / mass.sum():.5f}, rate {rate}")
-        if gain >= 0:
-            best, kept, rate = now, model.weights, rate * 1.5
-            move = (observed - expected - PRIOR * kept) / (np.maximum(observed, expected) + smooth + PRIOR) / FEATURES
-        else:
-            rate /= 3
         if 0 <= gain < SETTLED or rate < 0.01:
-            model.weights = kept
+            model.weights = model.weights if gain >= 0 else kept
             release(spark, packed)
             return model
+        if gain >= 0:
+            step = (observed - expected - PRIOR * model.weights) / (np.maximum(observed, expected) + smooth + PRIOR) / FEATURES
+            move = rate * step + (0.0 if best is None else MOMENTUM * move)
+            best, kept = now, model.weights
+        else:
+            rate, move = rate / 3, move / 3
 
 
 def _least_frequent(counts: DataFrame) -> float:
