@@ -77,7 +77,7 @@ class Tokens:
 
     def buckets(self, j: int) -> np.ndarray:
         key = (self.before, self.before * np.uint64(0xD6E8FEB86659FD93) + self.before2, self.before2)[j]
-        return (mix(key + _SALTS[j]) >> np.uint64(64 - (BUCKETS - 1).bit_length())).astype(np.int32)
+        return (mix(key + _SALTS[j]) >> np.uint64(64 - (BUCKETS - 1).bit_length())).astype(np.intp)
 
 
 def tokens(hasher: WordHasher, texts: list[bytes]) -> Tokens:
@@ -206,11 +206,12 @@ class MaxEnt:
         """P(class | history) of each token, in slices that stay in the processor's
         cache. Only large weights need a shift of the exponents."""
         out, one = np.empty((len(buckets[0]), CLASSES), np.float32), np.ones(CLASSES, np.float32)
+        more = np.empty((min(SLICE, len(out)), CLASSES), np.float32)
         for i in range(0, len(out), SLICE):
             z = out[i : i + SLICE]
             self.weights[0].take(buckets[0][i : i + SLICE], axis=0, out=z, mode="clip")
             for j in range(1, FEATURES):
-                z += self.weights[j].take(buckets[j][i : i + SLICE], axis=0)
+                z += self.weights[j].take(buckets[j][i : i + SLICE], axis=0, out=more[: len(z)], mode="clip")
             z += self.prior
             if z.max() > 80:
                 z -= z.max(axis=1, keepdims=True)
@@ -248,7 +249,7 @@ def histories(training: DataFrame, classes: np.ndarray) -> DataFrame:
                 x = tokens(hasher, texts[g])
                 key = classes[x.endings].astype(np.int64)
                 for j, s in enumerate(shifts):
-                    key |= x.buckets(j).astype(np.int64) << s
+                    key |= x.buckets(j) << s
                 held.append(key)
                 size += len(key)
                 if size >= COMBINED:
@@ -264,7 +265,7 @@ def _unpacked(batch: pa.RecordBatch):
     """For each row: buckets by feature, the history of each (history, class) entry, its class and its count."""
     for *buckets, classes_each, k, n in zip(*(batch.column(c).to_pylist() for c in _PACKED), strict=True):
         each = np.frombuffer(classes_each, np.uint8)
-        yield [np.frombuffer(x, np.uint16).astype(np.int32) for x in buckets], np.repeat(np.arange(len(each)), each), np.frombuffer(k, np.uint8), np.frombuffer(n, np.uint32).astype(float)
+        yield [np.frombuffer(x, np.uint16).astype(np.intp) for x in buckets], np.repeat(np.arange(len(each)), each), np.frombuffer(k, np.uint8), np.frombuffer(n, np.uint32).astype(float)
 
 
 def _summed(packed: DataFrame, model: MaxEnt, expected: bool) -> tuple[np.ndarray, float]:
