@@ -1,5 +1,6 @@
 """Encoders against hand-computed values (FIXTURES.md section 4)."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from pricewise.operators import encoders as EN
@@ -62,3 +63,21 @@ def test_sorted_index_across_partitions(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", prev)
     assert got == {v: i for i, v in enumerate(sorted(vals))}
+
+
+def test_preprocessor_unknown_category(spark, tmp_path):
+    from pricewise.operators.features import FittedPreprocessor, ListingPreprocessor
+    schema = "train_id long, name string, item_description string, brand_name string, cat_main string, cat_sub1 string, cat_sub2 string, category_name string, shipping int, item_condition_id int, price double, label double"
+    row = lambda i, main: (i, "a b", "good c", "x", main, "s", "t", f"{main}/s/t", 1, 2, 10.0, 2.3)
+    fit, new = (spark.createDataFrame([row(i, m) for i, m in enumerate(mains)], schema) for mains in (["p", "q", None], ["q", "z"]))
+    options = {"include_tfidf": False, "include_keywords": False, "onehot_columns": ["cat_main"], "target_columns": [], "passthrough_columns": ["shipping"]}
+    slots = lambda pre, df: {r.train_id: r.features.toArray()[:3].tolist() for r in pre.transform(df).collect()}
+    assert slots(ListingPreprocessor(**options).fit(fit), new) == {0: [0, 1, 0], 1: [0, 0, 0]}
+    strict = ListingPreprocessor(**options, onehot_handle_unknown="error").fit(fit)
+    strict.save(str(tmp_path))
+    for pre in (strict, FittedPreprocessor.load(spark, str(tmp_path))):
+        assert slots(pre, fit) == {0: [1, 0, 0], 1: [0, 1, 0], 2: [0, 0, 1]}
+        with pytest.raises(Exception, match="unknown value in cat_main: z"):
+            pre.transform(new).collect()
+    with pytest.raises(ValueError):
+        ListingPreprocessor(**options, onehot_handle_unknown="skip")
