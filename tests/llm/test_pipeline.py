@@ -44,3 +44,12 @@ def test_stages_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_tokens_stage_with_clashing_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(3)
+    extra = docs.selectExpr("*", "'x' AS ids", "1 AS Parity", "2 AS n_tokens", "3 AS other")
+    got = corpus_pipeline.written(corpus_pipeline.tokens_stage(spark, extra, SF), "test-clash")
+    plain = corpus_pipeline.tokens_stage(spark, docs, SF)
+    assert sorted(got.columns) == sorted([*plain.columns, "other"])
+    assert got.filter("NOT parity OR other <> 3").count() == 0 and got.count() == 3
