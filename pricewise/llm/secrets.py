@@ -6,9 +6,10 @@ characters that holds a digit is a candidate. The network reads a candidate
 with its surrounding context, character by character: embedding, one
 convolution, ReLU, maximum over all positions and over the candidate's own,
 and a linear output. It learns from labelled findings - the secrets of the
-base findings against the other candidates - on a bounded sample
-(``SAMPLE``), is calibrated on a part of it that training did not see, and its
-threshold is the highest that keeps ``RECALL`` of that part's positives.
+base findings against the other candidates - on all of them, but for a fourth
+that calibrates it; its threshold is the highest that keeps ``RECALL`` of that
+fourth's positives. Tasks learn from ``ROWS_PER_TASK`` windows each, and their
+networks are averaged after every pass.
 Candidates at or above it are added as spans of kind ``model``; base spans
 always stay.
 
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricewise.llm.common import read, small_batches, written
+from pricewise.llm.common import read, release, small_batches, written
 
 KINDS = ("assign", "access", "hex", "model")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -39,8 +40,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # a run of fewer never passes; a run of more
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 DIGIT = re.compile(r"[0-9]")
 
-#: Most labelled candidates that are fetched for training, and the least of each kind.
-SAMPLE, LEAST = 6000, 20
+#: Labelled windows that one task learns from, and the least of each kind.
+ROWS_PER_TASK, LEAST = 20_000, 20
 RECALL = 0.98
 #: Context characters on each side, characters of the candidate, window length.
 SIDE, BODY, WIDTH = 24, 48, 96
@@ -98,6 +99,8 @@ class CharCNN:
     a: float = 1.0
     b: float = 0.0
     threshold: float = 1.0
+    #: Distinct labelled windows it was fitted and calibrated on.
+    windows: int = 0
 
     @classmethod
     def new(cls, seed: int = 7, dims: int = 8, filters: int = 24, taps: int = 5) -> CharCNN:
@@ -141,35 +144,20 @@ class CharCNN:
         dembed = np.stack([np.bincount(x.ravel(), de[:, :, c].ravel(), 128) for c in range(d)], axis=1)
         return [dembed, dk, dh.sum((0, 1)), pooled.T @ dz, np.array([dz.sum()])]
 
-    def fit(self, x, own, y, epochs: int = 6, rate: float = 0.01, batch: int = 128, seed: int = 7) -> None:
-        """Adam on the class-weighted logistic loss."""
+    def fit(self, x, own, y, weight, m, v, step: int, epoch: int, seed: int, rate: float = 0.01, batch: int = 128) -> int:
+        """One pass of Adam on the weighted logistic loss, from the moments ``m`` and ``v``
+        after ``step`` steps, which are updated; returns the steps so far."""
         params = [self.embed, self.kernel, self.bias, self.out, self.out_bias]
-        m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-        r, step = np.random.default_rng(seed), 0
-        for _ in range(epochs):
-            order = r.permutation(len(x))
-            for i in range(0, len(x), batch):
-                k = order[i : i + batch]
-                step += 1
-                for p, g, mm, vv in zip(params, self._gradients(x[k], own[k], y[k], weight[k]), m, v, strict=True):
-                    mm += 0.1 * (g - mm)
-                    vv += 0.001 * (g * g - vv)
-                    p -= rate * (mm / (1 - 0.9**step)) / (np.sqrt(vv / (1 - 0.999**step)) + 1e-8)
-
-    def calibrate(self, x, own, y, recall: float = RECALL) -> None:
-        """Platt's scaling on unseen candidates, then the highest threshold that keeps the recall."""
-        z = self.raw(x, own)
-        t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-        w = np.array([1.0, 0.0])
-        design = np.stack([z, np.ones_like(z)], axis=1)
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-            hess = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
-            w = w - np.linalg.solve(hess, design.T @ (p - t) + 1e-3 * (w - [1.0, 0.0]))
-        self.a, self.b = float(w[0]), float(w[1])
-        found = np.sort(self.score(x, own)[y == 1])
-        self.threshold = float(found[int(np.floor((1 - recall) * len(found)))])
+        r = np.random.default_rng(seed)
+        order = [r.permutation(len(x)) for _ in range(epoch + 1)][-1]
+        for i in range(0, len(x), batch):
+            k = order[i : i + batch]
+            step += 1
+            for p, g, mm, vv in zip(params, self._gradients(x[k], own[k], y[k], weight[k]), m, v, strict=True):
+                mm += 0.1 * (g - mm)
+                vv += 0.001 * (g * g - vv)
+                p -= rate * (mm / (1 - 0.9**step)) / (np.sqrt(vv / (1 - 0.999**step)) + 1e-8)
+        return step
 
 
 _CANDIDATE = "start int, end int, secret boolean, window string"
@@ -197,24 +185,105 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
         run, f"{schema}__base array<struct<kind: string, start: int, end: int>>, __candidates array<struct<{_CANDIDATE.replace(' ', ': ').replace(',:', ',')}>>")
 
 
-def train(found: DataFrame, sample: int = SAMPLE, seed: int = 7) -> CharCNN | None:
-    """Fit on at most ``sample`` distinct labelled windows, half of each kind at most,
-    chosen by hash; every fourth calibrates."""
+def _rounds(rows: DataFrame, net: CharCNN, ones: int, zeros: int, epochs: int, seed: int) -> None:
+    """``epochs`` passes over all (part, secret, window, n, h): in each, every part goes on
+    from the common state on its own rows, and the states are averaged by their rows."""
+    params = [net.embed, net.kernel, net.bias, net.out, net.out_bias]
+    sizes = [p.size for p in params]
+    state = (np.concatenate([np.concatenate([p.ravel() for p in params]), np.zeros(2 * sum(sizes))]), 0)
+
+    def run_epoch(epoch: int, shared):
+        def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            flat, step = shared.value
+            table = table.sort_by([("secret", "descending"), ("h", "ascending"), ("window", "ascending"), ("n", "ascending")])
+            x, own = encode(table["window"].to_pylist(), table["n"].to_numpy())
+            y = table["secret"].to_numpy().astype(float)
+            local = CharCNN.new(seed)
+            groups = [[a.reshape(p.shape).copy() for a, p in zip(np.split(g, np.cumsum(sizes)[:-1]), params, strict=True)] for g in np.split(flat, 3)]
+            local.embed, local.kernel, local.bias, local.out, local.out_bias = groups[0]
+            step = local.fit(x, own, y, np.where(y == 1, 0.5 / ones, 0.5 / zeros), groups[1], groups[2], step, epoch, seed + key[0].as_py())
+            out = np.concatenate([a.ravel() for g in groups for a in g])
+            return pa.table({"part": [key[0].as_py()], "state": [out.tobytes()], "step": [step], "rows": [len(y)]},
+                            schema=pa.schema([("part", pa.int32()), ("state", pa.binary()), ("step", pa.int64()), ("rows", pa.int64())]))
+        return run
+
+    for epoch in range(epochs):
+        shared = rows.sparkSession.sparkContext.broadcast(state)
+        parts = sorted(rows.groupBy("part").applyInArrow(run_epoch(epoch, shared), "part int, state binary, step long, rows long").collect())  # one state a part
+        weight = np.array([r["rows"] for r in parts], float)
+        state = (np.average([np.frombuffer(r["state"]) for r in parts], axis=0, weights=weight), max(r["step"] for r in parts))
+    net.embed, net.kernel, net.bias, net.out, net.out_bias = (a.reshape(p.shape) for a, p in zip(np.split(state[0][: sum(sizes)], np.cumsum(sizes)[:-1]), params, strict=True))
+
+
+def _calibrate(rows: DataFrame, net: CharCNN, recall: float = RECALL) -> None:
+    """Platt's scaling on unseen candidates, then the highest threshold that keeps the
+    recall; sums and ranks over all of them."""
+    shared = rows.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches):
+        for b in batches:
+            z = shared.value.raw(*encode(b.column("window").to_pylist(), b.column("n").to_numpy()))
+            yield pa.RecordBatch.from_arrays([b.column("secret"), pa.array(z, pa.float64())], names=["secret", "z"])
+
+    scored = written(rows.select("secret", "window", "n").mapInArrow(run, "secret boolean, z double"), "secret-scores")
+    ones, zeros = scored.agg(F.count_if("secret"), F.count_if(~F.col("secret"))).first()
+    w = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + F.exp(-F.greatest(F.least(F.col("z") * float(w[0]) + float(w[1]), F.lit(30.0)), F.lit(-30.0))))
+        gap = p - F.when(F.col("secret"), (ones + 1) / (ones + 2)).otherwise(1 / (zeros + 2))
+        d = p * (1 - p)
+        r = scored.agg(F.sum(d * F.col("z") * F.col("z")), F.sum(d * F.col("z")), F.sum(d), F.sum(gap * F.col("z")), F.sum(gap)).first()
+        hess = np.array([[r[0], r[1]], [r[1], r[2]]]) + 1e-3 * np.eye(2)
+        change = np.linalg.solve(hess, np.array([r[3], r[4]]) + 1e-3 * (w - [1.0, 0.0]))
+        w = w - change
+        if np.abs(change).max() < 1e-10:
+            break
+    net.a, net.b = float(w[0]), float(w[1])
+    found = scored.filter("secret").select((F.lit(net.a) * F.col("z") + F.lit(net.b)).alias("v"))
+    net.threshold = float(1 / (1 + np.exp(-np.clip(nth_smallest(found, "v", int(np.floor((1 - recall) * ones))), -30, 30))))
+    release(rows.sparkSession, scored, shuffles=False)
+
+
+def nth_smallest(df: DataFrame, column: str, n: int, fetched: int = 10_000, bins: int = 256) -> float:
+    """The value with ``n`` values before it in ascending order (finite, not null):
+    counts by bin narrow it down, then at most ``fetched`` values are ordered."""
+    while True:
+        low, high, count = df.agg(F.min(column), F.max(column), F.count(column)).first()
+        if low == high:
+            return low
+        if count <= fetched:
+            return sorted(r[0] for r in df.select(column).collect())[n]
+        at = F.least(F.floor((F.col(column) - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("int")
+        for r in df.groupBy(at.alias("bin")).agg(F.count(column).alias("n")).orderBy("bin").collect():  # at most ``bins`` rows
+            if n < r["n"]:
+                df = df.filter(at == r["bin"])
+                break
+            n -= r["n"]
+
+
+def train(found: DataFrame, seed: int = 7, epochs: int = 6) -> CharCNN | None:
+    """Fit on all distinct labelled windows, ``ROWS_PER_TASK`` in a task; every fourth by
+    hash calibrates instead."""
+    spark = found.sparkSession
     one = found.select(F.explode("__candidates").alias("c")).select("c.secret", "c.window", (F.col("c.end") - F.col("c.start")).alias("n")).distinct()
-    rows = []
-    for kind in (True, False):
-        part = one.filter(F.col("secret") == kind).withColumn("h", F.xxhash64("window", F.lit(seed)))
-        rows += part.orderBy("h", "window", "n").limit(sample // 2).collect()
-    y = np.array([float(r["secret"]) for r in rows])
-    if min(y.sum(), (1 - y).sum()) < LEAST:
+    rows = written(one.withColumn("h", F.xxhash64("window", F.lit(seed))), "secret-windows")
+    # Another hash decides if the first holds out no window of one kind.
+    apart = [F.pmod(F.xxhash64("window", F.lit(seed + k)), F.lit(4)) == 0 for k in range(16)]
+    sums = rows.agg(F.count_if("secret"), F.count_if(~F.col("secret")), *[F.count_if(a & (F.col("secret") == y)) for a in apart for y in (True, False)]).first()
+    ones, zeros, *split = sums
+    usable = [k for k in range(16) if 0 < split[2 * k] < ones and 0 < split[2 * k + 1] < zeros]
+    if min(ones, zeros) < LEAST or not usable:
+        release(spark, rows, shuffles=False)
         return None
-    x, own = encode([r["window"] for r in rows], np.array([r["n"] for r in rows]))
-    held = np.array([r["h"] % 4 == 0 for r in rows])
-    if not (held & (y == 1)).any() or not (held & (y == 0)).any():
-        held = np.arange(len(rows)) % 4 == 0
+    k = usable[0]
+    trained = ones + zeros - split[2 * k] - split[2 * k + 1]
+    parts = -(-trained // ROWS_PER_TASK)
     net = CharCNN.new(seed)
-    net.fit(x[~held], own[~held], y[~held])
-    net.calibrate(x[held], own[held], y[held])
+    learn = rows.filter(~apart[k]).withColumn("part", F.pmod("h", F.lit(parts)).cast("int"))
+    _rounds(learn, net, ones - split[2 * k], zeros - split[2 * k + 1], epochs, seed)
+    _calibrate(rows.filter(apart[k]), net)
+    net.windows = ones + zeros
+    release(spark, rows, shuffles=False)
     return net
 
 

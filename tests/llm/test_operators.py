@@ -489,6 +489,23 @@ def test_secrets(spark):
     assert score[0].min() > 0.8 and score[1].max() < 0.2
 
 
+def test_secrets_are_learnt_from_every_finding(spark, monkeypatch):
+    """More windows than were once sampled, learnt by several tasks."""
+    monkeypatch.setattr(secrets, "ROWS_PER_TASK", 2000)
+    r = random.Random(3)
+    docs = [f"{prose(r, 3)} password={r.getrandbits(80):020x} user{i}.{i % 9}@mail{i % 7}.example.com" for i in range(3600)]
+    net = secrets.train(written(secrets.scanned(frame(spark, docs)), "secret-test"))
+    assert net.windows == 7200
+    score = [net.score(*secrets.encode([secrets.window(t, s, e)], np.array([e - s]))) for t in docs[:40] for s, e, _ in secrets.candidates(t, secrets.base_findings(t))]
+    assert min(score[0::2]) > 0.8 and max(score[1::2]) < 0.2
+
+
+def test_nth_smallest(spark):
+    values = [random.Random(4).gauss(0, 1) for _ in range(500)] + [0.5] * 100
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert all(secrets.nth_smallest(df, "v", n, 10, 4) == sorted(values)[n] for n in (0, 7, 411, 599))
+
+
 def test_secrets_redacted(spark):
     docs = ODD + secret_docs()
     out = secrets.redacted(frame(spark, docs).withColumn("__x", F.lit(1)))
