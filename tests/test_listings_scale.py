@@ -23,3 +23,15 @@ def test_texts_are_cleaned_after_the_split(spark, sf_dir):
     plan = R.split_listings(spark, sf_dir, *R.TEXTS)._jdf.queryExecution().optimizedPlan()
     assert "\\[rm\\]" in plan.toString()
     assert not below_joins(plan)
+
+
+def test_compressed_tsv_is_small_and_read_back_whole(spark, tmp_path):
+    text = "line one\nsaid \"hi\"\tand " + "more words " * 200
+    rows = spark.createDataFrame([(i, "n", 1, None, "", 2.0, 0, text) for i in range(500)], SRC.RAW_SCHEMA)
+    sizes = []
+    for codec in ("none", "gzip"):
+        path = SRC.write_listings_tsv(rows, str(tmp_path / codec), 1, compression=codec)
+        sizes.append(sum(f.stat().st_size for f in (tmp_path / codec).glob("part-*")))
+        back = SRC.read_listings_tsv(spark, path)
+        assert back.count() == 500 and back.filter(F.col("item_description") == text).count() == 500
+    assert sizes[1] * 10 < sizes[0]
