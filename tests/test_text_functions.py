@@ -92,3 +92,10 @@ def test_price_band(spark):
 def test_meaningful_words(spark):
     df = spark.createDataFrame([("an iPhone", "is ok and works")], "n string, d string")
     assert df.select(TX.meaningful_words("n", "d").alias("m")).first().m == 3
+
+
+def test_meaningful_words_of_cleaned_texts(spark):
+    rows = [("İİ ab", "a\u3000bcd\x1fxyz  q"), (None, None), ("", "  "), ("\U0001f600\U0001f600 \U0001f600ab", "[rm] No")]
+    df = spark.createDataFrame(rows, "n string, d string").select(TX.clean_name("n").alias("n"), TX.clean_description("d").alias("d"))
+    got = df.select(TX.meaningful_words("n", "d").alias("a"), TX.meaningful_words("n", "d", cleaned=True).alias("b")).collect()
+    assert [r.b for r in got] == [r.a for r in got] and max(r.b for r in got) == 3
