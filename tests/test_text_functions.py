@@ -99,3 +99,13 @@ def test_meaningful_words_of_cleaned_texts(spark):
     df = spark.createDataFrame(rows, "n string, d string").select(TX.clean_name("n").alias("n"), TX.clean_description("d").alias("d"))
     got = df.select(TX.meaningful_words("n", "d").alias("a"), TX.meaningful_words("n", "d", cleaned=True).alias("b")).collect()
     assert [r.b for r in got] == [r.a for r in got] and max(r.b for r in got) == 3
+
+
+def test_ngrams_are_array_functions(spark):
+    """Up to three words, short and empty rows, stop words taken out first; no function that decodes every string."""
+    from pricewise.operators import tfidf as TF
+    df = spark.createDataFrame([(1, "red the wool a coat new"), (2, "the of"), (3, None), (4, "coat"), (5, "coat coat")], "train_id long, t string")
+    grams = lambda lo, hi: {r.train_id: r.terms for r in TF.listing_terms(df, ("t",), ngram_range=(lo, hi)).collect()}
+    assert grams(1, 2) == {1: ["red", "wool", "coat", "new", "red wool", "wool coat", "coat new"], 2: [], 3: [], 4: ["coat"], 5: ["coat", "coat", "coat coat"]}
+    assert grams(3, 3) == {1: ["red wool coat", "wool coat new"], 2: [], 3: [], 4: [], 5: []}
+    assert "UDF" not in TF.listing_terms(df, ("t",))._jdf.queryExecution().executedPlan().toString()
